@@ -141,3 +141,89 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(ATTEMPT_MESSAGES, F.col("l_partkey") % 4 + 1).alias("message"),
         F.col("l_shipdate").alias("ts"),
     )
+
+
+# ---- inputs for the text and nested-value functions -------------------------
+
+ACCEPTS = ("application/json", "application/problem+json", "application/vnd.api+json", "text/html")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def contact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text lines with phones, e-mails, IPs and secrets, one per event."""
+    x = _events_k(spark, sf_dir)
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    line = F.concat(
+        F.lit("Contact user"), uid.cast("string"), F.lit(" at +"), (uid % 9 + 1).cast("string"),
+        F.lpad((eid * 7919 % 1000000000).cast("string"), 9, "0"),
+        F.lit(" or u"), uid.cast("string"), F.lit("@example.com from "),
+        (k + 150).cast("string"), F.lit("."), (uid % 256).cast("string"), F.lit(".1."), (eid % 300).cast("string"),
+        F.lit(" password="), uid.cast("string"), F.lit(" token=abc"), k.cast("string"),
+        F.lit("&api_key=key"), eid.cast("string"), F.lit(" Authorization: Bearer tok."), k.cast("string"),
+        F.lit(" card 4111-1111-1111-"), F.lpad((eid % 10000).cast("string"), 4, "0"),
+    )
+    return x.select(eid.alias("id"), line.alias("text"))
+
+
+NESTED_TYPE = (
+    "struct<user:struct<name:string,password:string,email:string,age:int>,api_key:string,"
+    "access_token:string,tags:array<string>,note:string,attempts:int>"
+)
+
+
+def nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed nested payload per event (user object, secrets, tag list)."""
+    x = _events_k(spark, sf_dir)
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    payload = F.struct(
+        F.struct(
+            F.concat(F.lit("user"), uid.cast("string")).alias("name"),
+            F.concat(F.lit("pw"), k.cast("string")).alias("password"),
+            F.concat(F.lit("u"), uid.cast("string"), F.lit("@example.com")).alias("email"),
+            (k % 80 + 18).cast("int").alias("age"),
+        ).alias("user"),
+        F.concat(F.lit("key_"), eid.cast("string")).alias("api_key"),
+        F.concat(F.lit("tok_"), k.cast("string")).alias("access_token"),
+        F.array(F.col("event_type"), F.concat(F.lit("from 10.0."), (k % 256).cast("string"), F.lit("."), (uid % 256).cast("string"))).alias("tags"),
+        F.concat(F.lit("password="), uid.cast("string"), F.lit(" call +1234567"), F.lpad(uid.cast("string"), 4, "0")).alias("note"),
+        (k % 4).cast("int").alias("attempts"),
+    )
+    return x.select(eid.alias("id"), payload.alias("payload"))
+
+
+def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """map<string, array<string>> request headers per event."""
+    x = _events_k(spark, sf_dir)
+    uid, k = F.col("user_id"), F.col("k")
+    headers = F.create_map(
+        F.lit("Authorization"), F.array(F.concat(F.lit("Bearer t"), k.cast("string"))),
+        F.lit("Accept"), F.array(pick(ACCEPTS, F.col("event_id") % 4 + 1), F.lit("*/*")),
+        F.lit("X-Request-Id"), F.array(F.concat(F.lit("req-"), F.col("event_id").cast("string"))),
+        F.lit("Cookie"), F.array(F.concat(F.lit("session="), uid.cast("string"))),
+    )
+    return x.select(F.col("event_id").alias("id"), headers.alias("headers"))
+
+
+def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query text per event: back-ticked and bare-name shapes."""
+    x = _events_k(spark, sf_dir)
+    uid, et = F.col("user_id").cast("string"), F.col("event_type")
+    ticked = F.concat(F.lit("SELECT * FROM `"), et, F.lit("` WHERE `email` = \"u"), uid, F.lit("@example.com\""))
+    bare = F.concat(F.lit("SELECT id FROM "), et, F.lit(" JOIN users ON users.id = "), et, F.lit(".user_id WHERE name = \"x"), uid, F.lit("\""))
+    return x.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, ticked).otherwise(bare).alias("sql"))
+
+
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request path + Accept header per error row."""
+    e = errors(spark, sf_dir).select("id", "request_url")
+    path = F.regexp_replace(F.col("request_url"), r"^https?://[^/]+/", "")
+    path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("api/"), path)).otherwise(path)
+    return e.select("id", path.alias("path"), pick(ACCEPTS, F.col("id") % 4 + 1).alias("accept"))
