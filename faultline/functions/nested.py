@@ -166,5 +166,8 @@ def sanitize_headers(headers: Column, sensitive=C.SENSITIVE_HEADERS) -> Column:
 
 
 def merge_meta(base: Column, extra: Column) -> Column:
-    """Merge two maps, later keys win (needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN``)."""
-    return F.map_concat(F.coalesce(base, F.create_map().cast("map<string,string>")), F.coalesce(extra, F.create_map().cast("map<string,string>")))
+    """Merge two maps; keys of ``extra`` win.  Colliding keys are dropped
+    from ``base`` first, so no session dedup policy is needed."""
+    empty = F.create_map().cast("map<string,string>")
+    b, e = F.coalesce(base, empty), F.coalesce(extra, empty)
+    return F.map_concat(F.map_filter(b, lambda k, v: ~F.array_contains(F.map_keys(e), k)), e)

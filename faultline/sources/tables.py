@@ -227,3 +227,38 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.col("request_url"), r"^https?://[^/]+/", "")
     path = F.when(F.col("id") % 3 == 0, F.concat(F.lit("api/"), path)).otherwise(path)
     return e.select("id", path.alias("path"), pick(ACCEPTS, F.col("id") % 4 + 1).alias("accept"))
+
+
+VALIDATION_FIELDS_A = ("email", "age", "address.street", "profile.name")
+VALIDATION_FIELDS_B = ("password", "user.phone", "name", "items.0.sku")
+VALIDATION_MESSAGES_A = ("This field is required.", "Must be a valid email address.", "Must be numeric.", "Must be a string.", "Is invalid.")
+VALIDATION_MESSAGES_B = ("Is too long.", "Must be a valid email address.", "Has already been taken.")
+
+
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field -> messages maps for the 422 error rows."""
+    x = _events_k(spark, sf_dir).filter(F.col("k") % 9 == 4)
+    k = F.col("k")
+    fields = F.create_map(
+        pick(VALIDATION_FIELDS_A, k % 4 + 1),
+        F.array(pick(VALIDATION_MESSAGES_A, k % 5 + 1), pick(VALIDATION_MESSAGES_B, k % 3 + 1)),
+        pick(VALIDATION_FIELDS_B, F.col("user_id") % 4 + 1),
+        F.array(pick(VALIDATION_MESSAGES_A, (k + 2) % 5 + 1)),
+    )
+    return x.select(F.col("event_id").alias("id"), fields.alias("errors"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored stack traces: one frame array per error row."""
+    e = errors(spark, sf_dir).select("id", "occurrence_count")
+    frames = F.transform(
+        F.sequence(F.lit(1), F.col("occurrence_count") + 4),
+        lambda i: F.struct(
+            F.when(i % 5 != 0, F.concat(F.lit("/app/src/Frame"), i.cast("string"), F.lit(".php"))).alias("file"),
+            F.when(i % 7 != 0, (F.col("id") % 100 + i).cast("int")).alias("line"),
+            F.concat(F.lit("call"), i.cast("string")).alias("function"),
+            F.when(i % 2 == 0, F.lit("App\\Service")).alias("class"),
+            F.array(F.concat(F.lit("password="), F.col("id").cast("string")), F.lit("plain")).alias("args"),
+        ),
+    )
+    return e.select("id", frames.alias("trace"))
