@@ -32,7 +32,9 @@ CALLS = """calls AS (
     list_extract(list_value('api-service','database','payment-gateway','email-service','storage-service'), k % 5 + 1) AS service,
     CASE WHEN user_id % 5 < 2 THEN NULL ELSE list_extract(list_value('create_user','process_payment','send_email',
       'upload_file','fetch_data'), CAST(user_id % 5 + 1 AS INT)) END AS operation,
-    event_type <> 'error' AS ok
+    event_type <> 'error' AS ok,
+    list_extract(list_value('Connection timeout','Connection failed','API rate_limit exceeded',
+      'Authentication failed','Validation failed','Unknown error','HTTP 503 error','Network error'), k % 8 + 1) AS message
   FROM (SELECT e.*, CAST(json_extract(props, '$.k') AS INT) AS k FROM events e) x
 )"""
 
@@ -67,14 +69,14 @@ ATTEMPTS = """attempts AS (
 # errors rolled up per error_id (A12): first sighting's attributes.
 ROLLUP = """rollup AS (
   SELECT error_id,
-    arg_min(exception_class, (created_at, id)) AS exception_class,
-    arg_min(error_code, (created_at, id)) AS error_code,
-    arg_min(message, (created_at, id)) AS message,
-    arg_min(status_code, (created_at, id)) AS status_code,
-    arg_min(request_method, (created_at, id)) AS request_method,
-    arg_min(request_url, (created_at, id)) AS request_url,
-    arg_min(user_id, (created_at, id)) AS user_id,
-    arg_min(id, (created_at, id)) AS id,
+    arg_min_null(exception_class, (created_at, id)) AS exception_class,
+    arg_min_null(error_code, (created_at, id)) AS error_code,
+    arg_min_null(message, (created_at, id)) AS message,
+    arg_min_null(status_code, (created_at, id)) AS status_code,
+    arg_min_null(request_method, (created_at, id)) AS request_method,
+    arg_min_null(request_url, (created_at, id)) AS request_url,
+    arg_min_null(user_id, (created_at, id)) AS user_id,
+    arg_min_null(id, (created_at, id)) AS id,
     CAST(count(*) AS BIGINT) AS occurrence_count,
     min(created_at) AS first_occurred_at,
     max(created_at) AS last_occurred_at

@@ -189,8 +189,8 @@ def trend_rows(spark, sf):
     "daily_trends",
     with_(
         "err",
-        body=""", firsts AS (SELECT arg_min(created_at, (created_at, id)) AS created_at,
-    arg_min(error_code, (created_at, id)) AS error_code, arg_min(status_code, (created_at, id)) AS status_code
+        body=""", firsts AS (SELECT arg_min_null(created_at, (created_at, id)) AS created_at,
+    arg_min_null(error_code, (created_at, id)) AS error_code, arg_min_null(status_code, (created_at, id)) AS status_code
   FROM err GROUP BY error_id)
 SELECT CAST(created_at AS DATE) AS date, error_code, status_code, count(*) AS count,
   {HOURLY} AS hourly_distribution

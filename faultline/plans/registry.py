@@ -38,7 +38,6 @@ MODULES = (
     "q_functions",
     "q_redact",
     "q_joins",
-    "q_maintenance",
     "q_breaker",
     "q_render",
     "q_streaming",

@@ -94,6 +94,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(SERVICES, k % 5 + 1).alias("service"),
         F.when(F.col("user_id") % 5 >= 2, pick(OPERATIONS, F.col("user_id") % 5 + 1)).alias("operation"),
         (F.col("event_type") != "error").alias("ok"),
+        pick(MESSAGES, k % 8 + 1).alias("message"),
     )
 
 
