@@ -219,14 +219,17 @@ def replay(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_se
         KEY, "ts", "seq", F.lit(1).alias("kind"),
         F.struct(F.col("type").alias("type"), F.col("ts").alias("ts")).alias("e"),
     )
-    call_rows = c.select(KEY, "ts", "seq", F.lit(0).alias("kind"), F.lit(None).cast(ev_rows.schema["e"].dataType).alias("e"), "ok", "service", "operation")
+    extra = [x for x in calls.columns if x not in ("ts", "seq", "ok", "service", "operation")]
+    call_rows = c.select(
+        KEY, "ts", "seq", F.lit(0).alias("kind"), F.lit(None).cast(ev_rows.schema["e"].dataType).alias("e"), "ok", "service", "operation", *extra
+    )
     u = call_rows.unionByName(ev_rows, allowMissingColumns=True).withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
     u = last_before(u, F.col("e"), [F.col("bucket"), F.col("ts"), F.col("seq"), F.col("kind")], "bucket", "prev_event")
     rec = F.make_dt_interval(secs=F.lit(cfg.recovery_timeout_s))
     pe = F.col("prev_event")
     rejected = F.coalesce((pe.getField("type") == "T") & (F.col("ts") <= pe.getField("ts") + rec), F.lit(False))
     disp = F.when(rejected, F.lit("rejected")).when(F.col("ok"), F.lit("ok")).otherwise(F.lit("failed"))
-    out = u.filter(F.col("kind") == 0).select("seq", "ts", "service", "operation", "ok", KEY, disp.alias("disposition"))
+    out = u.filter(F.col("kind") == 0).select("seq", "ts", "service", "operation", "ok", *extra, KEY, disp.alias("disposition"))
     return out, ev
 
 
@@ -269,9 +272,28 @@ def breaker_fold(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), buc
     return final_state(disp, ev, cfg)
 
 
-def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600) -> DataFrame:
+def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), registry: DataFrame | None = None,
+                  bucket_seconds: int = 3600) -> DataFrame:
+    """Per call: ``ok``, ``failed`` or ``rejected`` (breaker open), and for the
+    last two the fallback that answers instead (registered strategy for
+    ``service.operation``, then ``service``, then the transient / permanent
+    default).  A rejected call carries the open-breaker error, which is not
+    transient."""
+    from faultline.functions.classify import is_transient
+    from faultline.operators.joins import fallback_resolution
+
     disp, _ = replay(calls, cfg, bucket_seconds)
-    return disp.drop(KEY)
+    disp = disp.drop(KEY)
+    if registry is None:
+        registry = calls.sparkSession.createDataFrame([], "key string, strategy string")
+    msg = F.when(F.col("disposition") == "rejected", F.lit("Circuit breaker is open"))
+    if "message" in disp.columns:
+        msg = msg.otherwise(F.col("message"))
+    bad = disp.filter(F.col("disposition") != "ok").withColumn("error_message", msg)
+    fb = fallback_resolution(bad, registry, is_transient(F.col("error_message"), F.lit(0)))
+    good = disp.filter(F.col("disposition") == "ok").withColumn("error_message", F.lit(None).cast("string"))
+    good = good.withColumn("fallback", F.lit(None).cast("string")).withColumn("fallback_source", F.lit(None).cast("string"))
+    return good.unionByName(fb).drop("error_message")
 
 
 def breaker_history(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600) -> DataFrame:

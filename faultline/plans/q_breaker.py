@@ -51,7 +51,28 @@ SELECT service, operation, arg_max(state, rn) AS state, CAST(arg_max(f, rn) AS B
 FROM fold GROUP BY service, operation"""
 )
 
-GUARDED_SQL = FOLD + "\nSELECT seq, ts, service, operation, ok, disp AS disposition FROM fold WHERE rn > 0"
+# registered fallback strategies (configuration): key -> strategy name
+FALLBACKS = (("payment-gateway.process_payment", "cached_payment_status"), ("database", "read_replica"))
+REG_SQL = " UNION ALL ".join(f"SELECT '{k}' AS key, '{v}' AS strategy" for k, v in FALLBACKS)
+TRANSIENT = (
+    "coalesce(regexp_matches(em, '(?i)(timeout|connection|network|temporary|temporarily)')"
+    " OR regexp_matches(em, '(503|502|504|429)'), false)"
+)
+GUARDED_SQL = (
+    FOLD
+    + f""",
+reg AS ({REG_SQL}),
+d AS (SELECT fo.seq, fo.ts, fo.service, fo.operation, fo.ok, c.message, fo.disp AS disposition,
+    CASE WHEN fo.disp = 'rejected' THEN 'Circuit breaker is open' ELSE c.message END AS em,
+    CASE WHEN fo.operation IS NOT NULL AND fo.operation <> '' THEN fo.service || '.' || fo.operation ELSE fo.service END AS full_key
+  FROM fold fo JOIN c ON c.seq = fo.seq WHERE fo.rn > 0)
+SELECT seq, ts, service, operation, ok, message, disposition,
+  CASE WHEN disposition = 'ok' THEN NULL ELSE coalesce(r1.strategy, r2.strategy,
+    CASE WHEN {TRANSIENT} THEN 'transient_error' ELSE 'permanent_error' END) END AS fallback,
+  CASE WHEN disposition = 'ok' THEN NULL WHEN r1.strategy IS NOT NULL THEN 'operation' WHEN r2.strategy IS NOT NULL THEN 'service'
+    ELSE 'default' END AS fallback_source
+FROM d LEFT JOIN reg r1 ON d.full_key = r1.key LEFT JOIN reg r2 ON d.service = r2.key"""
+)
 
 HISTORY_SQL = (
     FOLD
@@ -75,7 +96,8 @@ def breaker_fold(spark, sf):
 
 @query("guarded_calls", GUARDED_SQL)
 def guarded_calls(spark, sf):
-    return B.guarded_calls(_calls(spark, sf), CFG)
+    reg = spark.createDataFrame(list(FALLBACKS), "key string, strategy string")
+    return B.guarded_calls(T.calls(spark, sf), CFG, reg)
 
 
 @query("breaker_history", HISTORY_SQL)

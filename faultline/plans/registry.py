@@ -39,6 +39,7 @@ MODULES = (
     "q_redact",
     "q_joins",
     "q_breaker",
+    "q_retry",
     "q_render",
     "q_streaming",
 )
