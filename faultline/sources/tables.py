@@ -59,7 +59,11 @@ def pick(values, index: Column) -> Column:
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One error row per event; ``error_id`` repeats so roll-ups have work."""
-    e = read(spark, sf_dir, "events")
+    return errors_from_events(read(spark, sf_dir, "events"))
+
+
+def errors_from_events(e: DataFrame) -> DataFrame:
+    """The errors adapter over an events frame (batch or streaming)."""
     k = F.get_json_object("props", "$.k").cast("int")
     x = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
     kk = F.col("k")
@@ -86,7 +90,10 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call-outcome log keyed by (service, operation); operation may be null."""
-    e = read(spark, sf_dir, "events")
+    return calls_from_events(read(spark, sf_dir, "events"))
+
+
+def calls_from_events(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("seq"),
