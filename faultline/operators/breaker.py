@@ -30,6 +30,9 @@ stays short and a lost executor only recomputes one round.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +87,14 @@ def running_count(df: DataFrame, flag: Column, order: list[Column], bucket: str,
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint
+    folder and reading it back (computed once, unlike an unpersisted
+    ``checkpoint()``, which evaluates its plan twice)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "faultline", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def enrich_calls(calls: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> DataFrame:
@@ -173,14 +182,16 @@ def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     """Nodes reachable from each START with their distance ``d`` (pointer jumping)."""
     jump = _checkpoint(edges.filter(F.col("dst").isNotNull()).select("src", "dst"))
     reached = _checkpoint(nodes.filter(F.col("type") == "S").select("node", F.lit(0).cast("long").alias("d")))
+    n_reached = reached.count()
     step = 1
     for _ in range(max_rounds):
         # nodes with d in [step, 2*step): one jump of length `step` from d in [0, step)
         new = reached.join(jump, reached["node"] == jump["src"]).select(F.col("dst").alias("node"), (F.col("d") + step).alias("d"))
-        new = _checkpoint(new)
-        if not new.take(1):
-            break
         reached = _checkpoint(reached.unionByName(new))
+        n_now = reached.count()
+        if n_now == n_reached:
+            break
+        n_reached = n_now
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         jump = _checkpoint(j2)
         step *= 2
