@@ -98,15 +98,36 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def enrich_calls(calls: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> DataFrame:
-    """Per call: bucket, running failure count, the next call, and for
-    failures the first call after ts + recovery (and the call after that)."""
+    """Per call: bucket, running failure count ``cf`` and the next call ``nxt``.
+
+    One window pass over (key, bucket) gives the within-bucket running count
+    and ``lead``; a per-bucket summary (failure total, first call) with a
+    window over each key's buckets supplies the offset and the next bucket's
+    first call for the last call of a bucket."""
     c = with_key(calls).withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
-    c = running_count(c, ~F.col("ok"), [F.col("ts"), F.col("seq")], "bucket", "cf")
     info = F.struct(F.col("seq").alias("seq"), F.col("ts").alias("ts"), F.col("ok").alias("ok"))
-    # next call: last-before in descending order == first-after in ascending order
-    c = c.withColumn("rbucket", -F.col("bucket"))
-    c = last_before(c, info, [F.col("rbucket"), neg_time(F.col("ts")), -F.col("seq")], "rbucket", "nxt")
-    return c
+    w = Window.partitionBy(KEY, "bucket").orderBy("ts", "seq")
+    x = c.withColumn("_f", (~F.col("ok")).cast("long")).select(
+        "*",
+        F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cfw"),
+        F.lead(info, 1).over(w).alias("_nw"),
+    )
+    summary = c.groupBy(KEY, "bucket").agg(
+        F.count_if(~F.col("ok")).alias("_bt"), F.min_by(info, F.struct("ts", "seq")).alias("_first")
+    )
+    wb = Window.partitionBy(KEY).orderBy("bucket")
+    per_bucket = summary.select(
+        KEY,
+        "bucket",
+        F.coalesce(F.sum("_bt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.lead("_first", 1).over(wb).alias("_nb"),
+    )
+    y = x.join(per_bucket, on=[KEY, "bucket"], how="left")
+    return y.select(
+        *[col for col in c.columns],
+        (F.col("_cfw") + F.col("_off")).alias("cf"),
+        F.coalesce(F.col("_nw"), F.col("_nb")).alias("nxt"),
+    )
 
 
 def _first_after_time(c: DataFrame, queries: DataFrame, bucket_seconds: int) -> DataFrame:

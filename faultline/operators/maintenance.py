@@ -15,12 +15,16 @@ from faultline.operators import filters as P
 from faultline.operators.joins import ATTRS, error_occurrences
 
 
-def upsert_errors(table: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_errors(table: DataFrame, batch: DataFrame, sanitize=None) -> DataFrame:
     """Merge a batch of raw errors into the rolled-up error table.
 
     The batch is rolled up first (one row per error_id), then full-outer
     merged on error_id: counts add, first/last seen widen, and a known
-    error keeps its stored attributes."""
+    error keeps its stored attributes.  ``sanitize`` is an optional
+    ``DataFrame -> DataFrame`` hook applied to the batch first (custom
+    collector sanitising)."""
+    if sanitize is not None:
+        batch = sanitize(batch)
     b = error_occurrences(batch).alias("b")
     t = table.alias("t")
     j = t.join(b, F.col("t.error_id") == F.col("b.error_id"), "full_outer")

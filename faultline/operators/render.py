@@ -212,3 +212,39 @@ def trace_head(trace: Column, n: int = 10, cfg: C.RedactionConfig = C.RedactionC
             F.transform(fr.getField("args"), lambda a: RD.mask_secrets(a, cfg.mask_sensitive_data)).alias("args"),
         ),
     )
+
+
+def assemble_error_records(err: DataFrame, traces: DataFrame | None = None, cfg: C.RenderConfig = C.RenderConfig()) -> DataFrame:
+    """The stored error record: id, class, code, message, status, a context
+    (file / line / first trace frames, overlaid by the error's own context
+    values) and metadata with the recovery suggestion and documentation link."""
+    e = err
+    if traces is not None:
+        e = e.join(traces.select("id", "trace"), on="id", how="left")
+    else:
+        e = e.withColumn("trace", F.lit(None).cast("array<struct<file:string,line:int,function:string,class:string,args:array<string>>>"))
+    frames = trace_head(F.col("trace"), 10, cfg.redaction)
+    base = F.create_map(
+        F.lit("file"), F.coalesce(F.element_at(F.col("trace"), 1).getField("file"), F.lit("unknown")),
+        F.lit("line"), F.coalesce(F.element_at(F.col("trace"), 1).getField("line"), F.lit(0)).cast("string"),
+    )
+    own = F.create_map(F.lit("request_url"), F.col("request_url"), F.lit("request_method"), F.col("request_method"))
+    from faultline.functions.nested import merge_meta
+
+    sugg = CL.recovery_suggestion(F.col("message"), CL.is_transient(F.col("message"), F.col("status_code")))
+    meta = merge_meta(error_meta(e), F.create_map(F.lit("suggestion_type"), sugg.getField("type")))
+    return e.select(
+        "id",
+        F.struct(
+            F.col("error_id").alias("error_id"),
+            F.col("exception_class").alias("exception_class"),
+            F.coalesce(F.col("error_code"), CL.derived_error_code(F.col("exception_class"))).alias("error_code"),
+            public_message(F.col("message"), cfg).alias("message"),
+            CL.normalised_status(F.col("status_code")).alias("status_code"),
+            merge_meta(base, own).alias("context"),
+            frames.alias("trace"),
+            meta.alias("meta"),
+            sugg.getField("actions").alias("suggestions"),
+            F.struct(CL.problem_type_uri(F.coalesce(F.col("error_code"), CL.derived_error_code(F.col("exception_class")))).alias("documentation")).alias("links"),
+        ).alias("record"),
+    )

@@ -301,3 +301,25 @@ def api_requests(spark, sf):
 def trace_head(spark, sf):
     t = T.traces(spark, sf)
     return t.select("id", RN.trace_head(F.col("trace")).alias("trace"))
+
+
+@query("assemble_error_records")
+def assemble_error_records(spark, sf):
+    return RN.assemble_error_records(_err(spark, sf), T.traces(spark, sf))
+
+
+@query(
+    "status_share_bars",
+    with_(
+        "err",
+        body=f""", d AS (SELECT status_code, count(*) AS count,
+  CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS DOUBLE) AS percentage FROM err WHERE created_at >= {A} - INTERVAL 7 DAY GROUP BY 1)
+SELECT status_code, count, percentage, CAST(round(percentage / 100.0 * 30) AS INT) AS filled,
+  repeat('█', CAST(round(percentage / 100.0 * 30) AS INT)) || repeat('░', 30 - CAST(round(percentage / 100.0 * 30) AS INT)) AS bar FROM d""",
+    ),
+)
+def status_share_bars(spark, sf):
+    from faultline.operators import aggregates as AG
+    from faultline.operators import trends as TR
+
+    return TR.share_bars(AG.status_distribution(_err(spark, sf), AS_OF, 7), 30)

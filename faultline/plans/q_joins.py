@@ -200,12 +200,16 @@ def upsert_errors(spark, sf):
     "resolve_error",
     with_(
         "err",
-        body=f"""SELECT * REPLACE (CASE WHEN id = 1 THEN true ELSE is_resolved END AS is_resolved,
-  CASE WHEN id = 1 THEN {A} ELSE resolved_at END AS resolved_at) FROM err""",
+        body=f""", target AS (SELECT min(id) AS tid FROM err WHERE NOT is_resolved)
+SELECT * EXCLUDE (tid) REPLACE (CASE WHEN id = tid THEN true ELSE is_resolved END AS is_resolved,
+  CASE WHEN id = tid THEN {A} ELSE resolved_at END AS resolved_at) FROM err, target""",
     ),
 )
 def resolve_error(spark, sf):
-    return D.resolve_error(_err(spark, sf), 1, AS_OF)
+    """Resolve the oldest-id unresolved error (found with a one-row probe)."""
+    e = _err(spark, sf)
+    ident = e.filter(~F.col("is_resolved")).agg(F.min("id")).first()[0]
+    return D.resolve_error(e, ident, AS_OF)
 
 
 @query(
