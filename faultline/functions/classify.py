@@ -128,7 +128,9 @@ def is_open(state: Column, next_attempt_at: Column, as_of: Column) -> Column:
 
 
 def retry_after(state: Column, next_attempt_at: Column, as_of: Column) -> Column:
-    secs = F.unix_timestamp(next_attempt_at.cast("timestamp")) - F.unix_timestamp(as_of.cast("timestamp"))
+    from faultline.functions.formatting import epoch_seconds
+
+    secs = epoch_seconds(next_attempt_at) - epoch_seconds(as_of)
     return F.when(is_open(state, next_attempt_at, as_of), F.greatest(F.lit(0).cast("bigint"), secs))
 
 

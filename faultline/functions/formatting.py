@@ -19,6 +19,12 @@ def iso_string(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a zone-less timestamp (floor), independent
+    of the session time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def truncate(text: Column, n: int) -> Column:
     """First ``n`` characters plus ``...`` when longer than ``n``."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
@@ -32,7 +38,8 @@ def relative_time(ts: Column, as_of: Column) -> Column:
     """Human relative time against ``as_of``: ``5 minutes ago`` /
     ``2 hours from now``.  Units floor: seconds, minutes, hours, days (< 7),
     weeks (< 30 days), months (30-day), years (365-day)."""
-    secs = F.abs(F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp")))
+    # whole seconds between the two wall-clock times, independent of the session zone
+    secs = F.abs(epoch_seconds(as_of) - epoch_seconds(ts))
     days = F.floor(secs / 86400)
     amount = (
         F.when(secs < 60, _unit(secs, "second"))

@@ -42,13 +42,18 @@ from faultline.session import ensure_checkpoint_dir
 KEY = "bkey"
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long")
+    return F.floor(_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def neg_time(ts: Column) -> Column:
     """Order key that sorts timestamps descending when sorted ascending."""
-    return -F.unix_micros(ts.cast("timestamp"))
+    return -_micros(ts)
 
 
 def with_key(calls: DataFrame) -> DataFrame:

@@ -232,7 +232,16 @@ def list_sorted(spark, sf):
     return TK.list_sorted(_err(spark, sf), "occurrence_count", "asc", 25, {"status": "unresolved"})
 
 
-@query("dashboard_widgets")
+@query(
+    "dashboard_widgets",
+    with_(
+        "err",
+        body=f""", t AS (SELECT 'top_errors' AS widget, id, message, status_code FROM err WHERE {W7}
+    ORDER BY occurrence_count DESC, id DESC LIMIT 5),
+r AS (SELECT 'recent' AS widget, id, message, status_code FROM err ORDER BY created_at DESC, id DESC LIMIT 10)
+SELECT * FROM t UNION ALL SELECT * FROM r""",
+    ),
+)
 def dashboard_widgets(spark, sf):
     return TK.dashboard_widgets(_err(spark, sf), AS_OF, 7)
 
