@@ -365,7 +365,7 @@ def retention_count(spark, sf):
 
 @query(
     "peak_hour",
-    with_("err", body=f"SELECT hour(created_at) AS hour, count(*) AS count FROM err WHERE {W7} GROUP BY 1 ORDER BY count DESC, hour LIMIT 1"),
+    with_("err", body=f"SELECT CAST(hour(created_at) AS INTEGER) AS hour, count(*) AS count FROM err WHERE {W7} GROUP BY 1 ORDER BY count DESC, hour LIMIT 1"),
 )
 def peak_hour(spark, sf):
     return AG.peak_hour(_err(spark, sf), AS_OF, 7)

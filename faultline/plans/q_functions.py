@@ -116,7 +116,7 @@ VALCODE_SQL = (
 FANOUT_SQL = f"""WITH {VAL_SRC},
 f AS (SELECT id, unnest(map_keys(errors)) AS field, unnest(map_values(errors)) AS messages FROM v),
 m AS (SELECT id, field, unnest(messages) AS message, unnest(range(1, len(messages) + 1)) AS pos FROM f)
-SELECT id, field, pos, '422' AS status, {VALCODE_SQL.format(m='message')} AS code, 'Validation Error' AS title,
+SELECT id, field, CAST(pos AS INTEGER) AS pos, '422' AS status, {VALCODE_SQL.format(m='message')} AS code, 'Validation Error' AS title,
   message AS detail, '/data/attributes/' || replace(field, '.', '/') AS pointer FROM m"""
 
 

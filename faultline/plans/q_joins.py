@@ -64,7 +64,7 @@ def errors_with_trends(spark, sf):
         body=""", cand AS (SELECT request_url, id AS related_id, created_at AS related_at,
     row_number() OVER (PARTITION BY request_url ORDER BY created_at DESC, id DESC) AS rn FROM err QUALIFY rn <= 6),
 pairs AS (SELECT e.id, c.related_id, c.related_at FROM err e JOIN cand c ON e.request_url = c.request_url WHERE e.id <> c.related_id)
-SELECT id, related_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY related_at DESC, related_id DESC) AS rank FROM pairs)
+SELECT id, related_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY related_at DESC, related_id DESC) AS rank FROM pairs)
 WHERE rank <= 5""",
     ),
 )

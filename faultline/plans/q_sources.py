@@ -118,7 +118,7 @@ UNION ALL SELECT 'metrics', 2, 'Unique Errors', CAST(u AS VARCHAR) FROM k
 UNION ALL SELECT 'metrics', 3, 'Resolved Errors', CAST(r AS VARCHAR) FROM k
 UNION ALL SELECT 'metrics', 4, 'Unresolved Errors', CAST(ur AS VARCHAR) FROM k
 UNION ALL SELECT 'metrics', 5, 'Average per Day', CAST(round(t / 7.0, 2) AS VARCHAR) FROM k
-UNION ALL SELECT 'top_errors', row_number() OVER (ORDER BY n DESC, error_code ASC NULLS FIRST, message),
+UNION ALL SELECT 'top_errors', CAST(row_number() OVER (ORDER BY n DESC, error_code ASC NULLS FIRST, message) AS INTEGER),
   coalesce(message, 'Unknown'), CAST(n AS VARCHAR) FROM g""".lstrip(),
     ).replace("\n, w AS", ",\nw AS", 1),
 )
@@ -184,7 +184,7 @@ SELECT 'stats' AS section, 1 AS ordinal, 'Total Errors' AS label, t AS value FRO
 UNION ALL SELECT 'stats', 2, 'Unique Errors', u FROM k
 UNION ALL SELECT 'stats', 3, 'Unresolved', ur FROM k
 UNION ALL SELECT 'stats', 4, 'Resolved', r FROM k
-UNION ALL SELECT 'top_errors', rk, message, occurrence_count FROM top WHERE rk <= 5""",
+UNION ALL SELECT 'top_errors', CAST(rk AS INTEGER), message, occurrence_count FROM top WHERE rk <= 5""",
     ).replace("\n, w AS", ",\nw AS", 1),
 )
 def doc_stats(spark, sf):
