@@ -99,7 +99,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "faultline", uuid.uuid4().hex)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def enrich_calls(calls: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> DataFrame:
@@ -159,7 +159,12 @@ def _first_after_time(c: DataFrame, queries: DataFrame, bucket_seconds: int) ->
 
 def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, bkey, type, seq, ts, cf) and successor edges
-    (src, dst, half_open_at, dst_via)."""
+    (src, dst, half_open_at, dst_via).
+
+    Every failure is a TRIP candidate.  A RESET can only follow a trip window
+    (trip -> first call after it succeeds -> the next call succeeds), so the
+    RESET candidates are exactly the RESET targets of the TRIP edges - far
+    fewer than all successes."""
     T_ = cfg.failure_threshold
     fails = c.filter(~F.col("ok")).select(KEY, "seq", "ts", "cf")
     succ = c.filter(F.col("ok")).select(KEY, "seq", "ts", "cf")
@@ -168,20 +173,6 @@ def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) ->
     node_id = lambda t, s: F.concat(F.lit(t), F.lit(":"), s.cast("string"))
     start_id = F.concat(F.lit("S:"), F.col(KEY))
 
-    nodes = (
-        keys.select(start_id.alias("node"), KEY, F.lit("S").alias("type"), F.lit(None).cast("long").alias("seq"),
-                    F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("cf"))
-        .unionByName(fails.select(node_id("T", F.col("seq")).alias("node"), KEY, F.lit("T").alias("type"), "seq", "ts", "cf"))
-        .unionByName(succ.select(node_id("R", F.col("seq")).alias("node"), KEY, F.lit("R").alias("type"), "seq", "ts", "cf"))
-    )
-
-    # START / RESET(j) -> TRIP at the threshold-th failure after j
-    closed_src = nodes.filter(F.col("type") != "T").select(F.col("node").alias("src"), KEY, (F.col("cf") + T_).alias("target"))
-    tgt = fails.select(KEY, F.col("cf").alias("target"), node_id("T", F.col("seq")).alias("dst"))
-    e_closed = closed_src.join(tgt, on=[KEY, "target"], how="inner").select(
-        "src", "dst", F.lit(None).cast("timestamp_ntz").alias("half_open_at"), F.lit("closed").alias("dst_via")
-    )
-
     # TRIP(i) -> first call k after ts_i + recovery, then the call after k
     q = fails.select(KEY, node_id("T", F.col("seq")).alias("qid"),
                      (F.col("ts") + F.make_dt_interval(secs=F.lit(cfg.recovery_timeout_s))).alias("qts"))
@@ -195,18 +186,42 @@ def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) ->
         .otherwise(node_id("R", k2.getField("seq")))
     )
     via = F.when(k.isNull(), F.lit(None)).when(~k.getField("ok"), F.lit("open")).otherwise(F.lit("half_open"))
-    e_trip = fa.select(
-        F.col("qid").alias("src"),
-        dst.alias("dst"),
-        F.when(k.isNotNull() & k.getField("ok"), k.getField("ts")).alias("half_open_at"),
-        via.alias("dst_via"),
+    e_trip = _checkpoint(
+        fa.select(
+            F.col("qid").alias("src"),
+            dst.alias("dst"),
+            F.when(k.isNotNull() & k.getField("ok"), k.getField("ts")).alias("half_open_at"),
+            via.alias("dst_via"),
+        )
+    )
+
+    resets = e_trip.filter(F.col("dst").startswith("R:")).select(F.col("dst").alias("node")).distinct()
+    r_nodes = succ.select(node_id("R", F.col("seq")).alias("node"), KEY, F.lit("R").alias("type"), "seq", "ts", "cf").join(
+        resets, on="node", how="left_semi"
+    )
+    nodes = (
+        keys.select(start_id.alias("node"), KEY, F.lit("S").alias("type"), F.lit(None).cast("long").alias("seq"),
+                    F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("cf"))
+        .unionByName(fails.select(node_id("T", F.col("seq")).alias("node"), KEY, F.lit("T").alias("type"), "seq", "ts", "cf"))
+        .unionByName(r_nodes)
+    )
+
+    # START / RESET(j) -> TRIP at the threshold-th failure after j
+    closed_src = nodes.filter(F.col("type") != "T").select(F.col("node").alias("src"), KEY, (F.col("cf") + T_).alias("target"))
+    tgt = fails.select(KEY, F.col("cf").alias("target"), node_id("T", F.col("seq")).alias("dst"))
+    e_closed = closed_src.join(tgt, on=[KEY, "target"], how="inner").select(
+        "src", "dst", F.lit(None).cast("timestamp_ntz").alias("half_open_at"), F.lit("closed").alias("dst_via")
     )
     return nodes, e_closed.unionByName(e_trip)
 
 
 def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Nodes reachable from each START with their distance ``d`` (pointer jumping)."""
-    jump = _checkpoint(edges.filter(F.col("dst").isNotNull()).select("src", "dst"))
+    # only nodes with a predecessor (or a START) can ever be on a path
+    live = edges.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("src")).unionByName(
+        nodes.filter(F.col("type") == "S").select(F.col("node").alias("src"))
+    )
+    jump = _checkpoint(edges.filter(F.col("dst").isNotNull()).select("src", "dst").join(live.distinct(), on="src", how="left_semi"))
     reached = _checkpoint(nodes.filter(F.col("type") == "S").select("node", F.lit(0).cast("long").alias("d")))
     n_reached = reached.count()
     step = 1
