@@ -15,6 +15,19 @@ from faultline import config as C
 from faultline.operators import filters as P
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put the columns of several single-row aggregates side by side without a
+    join: union them (missing columns null) and take each column's non-null
+    value in one tiny aggregation."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
 def _distinct(col: str, approx: bool) -> Column:
     return F.approx_count_distinct(col) if approx else F.count_distinct(F.col(col))
 
@@ -98,16 +111,16 @@ def list_summary(err: DataFrame, filters: dict | None = None) -> DataFrame:
     """Total / resolved / unresolved plus the most common status code
     (ties go to the lowest code)."""
     f = P.apply_filters(err, filters)
-    by_status = f.groupBy("status_code").agg(F.count(F.lit(1)).alias("n"))
-    top = by_status.agg(
-        F.max_by("status_code", F.struct(F.col("n"), -F.col("status_code"))).alias("top_status_code")
+    by_status = f.groupBy("status_code").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("resolved_at").isNotNull()).alias("r")
     )
-    tot = f.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("resolved_at").isNotNull()).alias("resolved"),
-    ).select("total", "resolved", (F.col("total") - F.col("resolved")).alias("unresolved"))
-    # both sides are single-row aggregates, so this join is 1 x 1
-    return tot.join(top, how="inner", on=F.lit(True))
+    # one row per status code, folded into the summary row
+    s = by_status.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("r"), F.lit(0)).alias("resolved"),
+        F.max_by("status_code", F.struct(F.col("n"), -F.col("status_code"))).alias("top_status_code"),
+    )
+    return s.select("total", "resolved", (F.col("total") - F.col("resolved")).alias("unresolved"), "top_status_code")
 
 
 def breaker_stats(cb: DataFrame, as_of) -> DataFrame:
@@ -167,7 +180,7 @@ def health_class(err: DataFrame, cb: DataFrame, as_of, days: int = 7) -> DataFra
     """EXCELLENT / GOOD / WARNING / CRITICAL from unresolved errors and open breakers."""
     u = P.since_days(err, as_of, days).agg(F.count_if(~F.col("is_resolved")).alias("unresolved"))
     o = cb.agg(F.count_if(F.col("state") == "open").alias("open_breakers"))
-    j = u.join(o, how="inner", on=F.lit(True))
+    j = one_row(u, o)
     uu, oo = F.col("unresolved"), F.col("open_breakers")
     cls = (
         F.when((uu == 0) & (oo == 0), "EXCELLENT")
@@ -187,7 +200,7 @@ def recommendations(err: DataFrame, as_of, days: int = 7) -> DataFrame:
         F.count_if(F.col("is_resolved")).alias("resolved"),
     )
     top = top_error_groups(err, as_of, days, 1).select(F.col("count").alias("top_count"), F.col("message").alias("top_message"))
-    j = k.join(top, how="left", on=F.lit(True))
+    j = one_row(k, top)
     res_rate = F.when(F.col("total") > 0, F.col("resolved") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
     rules = F.array(
         F.when(F.col("unresolved") > 10, F.lit("unresolved_attention")),

@@ -64,8 +64,8 @@ def analysis_report(err: DataFrame, as_of, days: int = 7, top_limit: int = 10) -
     top = _one_row_list(TK.top_errors(err, as_of, top_limit, days).withColumn("neg", -F.col("count")), "top_errors", ["neg", "id"])
     dist = _one_row_list(AG.status_distribution(err, as_of, days), "distribution", ["status_code"])
     trend = _one_row_list(TR.trend(err, as_of, days, "day"), "trends", ["period"])
-    # every side is a single-row aggregate: these joins are 1 x 1
-    j = kpis.join(top, F.lit(True)).join(dist, F.lit(True)).join(trend, F.lit(True))
+    # every part is a single-row aggregate: put them side by side
+    j = AG.one_row(kpis, top, dist, trend)
     body = F.struct(
         F.lit(f"{days} days").alias("period"),
         F.col("analytics"),
@@ -79,5 +79,5 @@ def analysis_report(err: DataFrame, as_of, days: int = 7, top_limit: int = 10) -
 def stats_report(err: DataFrame, cb: DataFrame, as_of, days: int = 7) -> DataFrame:
     kpis = AG.analytics_kpis(err, as_of, days).select(F.struct("*").alias("errors"))
     b = AG.breaker_stats(cb, as_of).select(F.struct("*").alias("circuit_breakers"))
-    j = kpis.join(b, F.lit(True))
+    j = AG.one_row(kpis, b)
     return j.select(F.to_json(F.struct(F.lit(days).alias("period_days"), "errors", "circuit_breakers")).alias("report"))
