@@ -157,3 +157,34 @@ def write_partitioned(err: DataFrame, path: str) -> None:
         .partitionBy("created_date")
         .parquet(path)
     )
+
+
+def breaker_record(cb: DataFrame, cond, ok: bool, as_of) -> DataFrame:
+    """Record one manual success or failure at ``as_of`` on the matching
+    breakers (one step of the breaker state machine, as a column update).
+
+    success: half_open -> closed with count 0; open whose next attempt has
+    passed -> half_open.  failure: count + 1, last failure = as_of, and at the
+    threshold open with next attempt = as_of + recovery_timeout seconds."""
+    t = P._ts(as_of)
+    hit = F.coalesce(cond, F.lit(False))
+    if ok:
+        to_closed = hit & (F.col("state") == "half_open")
+        to_half = hit & (F.col("state") == "open") & F.coalesce(F.col("next_attempt_at") < t, F.lit(False))
+        return cb.withColumns(
+            {
+                "state": F.when(to_closed, F.lit("closed")).when(to_half, F.lit("half_open")).otherwise(F.col("state")),
+                "failure_count": F.when(to_closed, F.lit(0)).otherwise(F.col("failure_count")),
+            }
+        )
+    count = F.col("failure_count") + 1
+    trip = hit & (count >= F.col("failure_threshold"))
+    return cb.withColumns(
+        {
+            "failure_count": F.when(hit, count).otherwise(F.col("failure_count")),
+            "last_failure_at": F.when(hit, t).otherwise(F.col("last_failure_at")),
+            "state": F.when(trip, F.lit("open")).otherwise(F.col("state")),
+            "opened_at": F.when(trip, t).otherwise(F.col("opened_at")),
+            "next_attempt_at": F.when(trip, t + F.make_dt_interval(secs=F.col("recovery_timeout"))).otherwise(F.col("next_attempt_at")),
+        }
+    )

@@ -282,3 +282,32 @@ FROM (SELECT *, coalesce(state = 'open' AND next_attempt_at < {A}, false) AS h F
 )
 def breaker_auto_reset(spark, sf):
     return D.breaker_auto_reset(T.breakers(spark, sf), AS_OF)
+
+
+@query(
+    "breaker_record_failure",
+    with_(
+        "cb",
+        body=f"""SELECT * EXCLUDE (hit, trip) REPLACE (CASE WHEN hit THEN failure_count + 1 ELSE failure_count END AS failure_count,
+  CASE WHEN hit THEN {A} ELSE last_failure_at END AS last_failure_at, CASE WHEN trip THEN 'open' ELSE state END AS state,
+  CASE WHEN trip THEN {A} ELSE opened_at END AS opened_at,
+  CASE WHEN trip THEN {A} + recovery_timeout * INTERVAL 1 SECOND ELSE next_attempt_at END AS next_attempt_at)
+FROM (SELECT *, service = 'database' AS hit, service = 'database' AND failure_count + 1 >= failure_threshold AS trip FROM cb)""",
+    ),
+)
+def breaker_record_failure(spark, sf):
+    return D.breaker_record(T.breakers(spark, sf), F.col("service") == "database", ok=False, as_of=AS_OF)
+
+
+@query(
+    "breaker_record_success",
+    with_(
+        "cb",
+        body=f"""SELECT * EXCLUDE (c, h) REPLACE (CASE WHEN c THEN 'closed' WHEN h THEN 'half_open' ELSE state END AS state,
+  CASE WHEN c THEN 0 ELSE failure_count END AS failure_count)
+FROM (SELECT *, service = 'api-service' AND state = 'half_open' AS c,
+  service = 'api-service' AND state = 'open' AND coalesce(next_attempt_at < {A}, false) AS h FROM cb)""",
+    ),
+)
+def breaker_record_success(spark, sf):
+    return D.breaker_record(T.breakers(spark, sf), F.col("service") == "api-service", ok=True, as_of=AS_OF)

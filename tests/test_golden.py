@@ -228,3 +228,25 @@ def test_retry_max(spark):
 def test_retry_success_after_transient(spark):
     r = RT.retry_outcomes(_attempts(spark, [(False, 500, "Connection timeout"), (False, 500, "Network error"), (True, 200, "")])).first()
     assert r.tries == 3 and r.outcome == "success" and r.backoff_ms == 3000.0
+
+
+def test_granularity_choice():
+    from faultline.operators.trends import granularity_for
+
+    assert granularity_for("1h") == "hour" and granularity_for("24h") == "hour"
+    assert granularity_for("7d") == "day" and granularity_for("30d") == "day" and granularity_for("90d") == "week"
+
+
+def test_manual_breaker_events(spark):
+    from faultline.operators.maintenance import breaker_record
+
+    cb = spark.createDataFrame(
+        [(1, "svc", None, "closed", 2, 3, 60, 3, None, None, None)],
+        "id long, service string, operation string, state string, failure_count int, failure_threshold int, recovery_timeout int, "
+        "success_threshold int, last_failure_at timestamp_ntz, opened_at timestamp_ntz, next_attempt_at timestamp_ntz",
+    )
+    opened = breaker_record(cb, F.col("id") == 1, ok=False, as_of=NOW).first()
+    assert opened.state == "open" and opened.failure_count == 3 and opened.next_attempt_at == NOW + dt.timedelta(seconds=60)
+    later = NOW + dt.timedelta(seconds=61)
+    half = breaker_record(breaker_record(cb, F.col("id") == 1, ok=False, as_of=NOW), F.col("id") == 1, ok=True, as_of=later).first()
+    assert half.state == "half_open" and half.failure_count == 3
