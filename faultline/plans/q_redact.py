@@ -263,25 +263,52 @@ def sanitize_request_data(spark, sf):
     return p.select("id", *_flatten(out))
 
 
-@query("redact_nested")
+REDACT_NESTED_SQL = (
+    "WITH "
+    + PAYLOAD_SRC
+    + f""",
+r1 AS ({_redact_stage('p', IP_STEP)}),
+r2 AS ({_redact_stage('r1', EMAIL_STEP)}),
+r3 AS ({_redact_stage('r2', PHONE_STEP)})
+SELECT id, user_name, user_password, user_email, user_age, api_key, access_token, tags, note, attempts FROM r3"""
+)
+
+SANITIZE_CTX_SQL = (
+    "WITH "
+    + PAYLOAD_SRC
+    + f""",
+s AS (SELECT id, user_name, {M} AS user_password, user_email, user_age, {M} AS api_key, {M} AS access_token, tags, note, attempts FROM p)
+SELECT id, user_name, user_password, user_email, user_age, api_key, access_token, tags, note, attempts FROM s"""
+)
+
+HEADERS_SQL = """SELECT event_id AS id, MAP {'Authorization': '[REDACTED]',
+  'Accept': list_extract(['application/json', 'application/problem+json', 'application/vnd.api+json', 'text/html'], CAST(event_id % 4 + 1 AS INT)),
+  'X-Request-Id': 'req-' || CAST(event_id AS VARCHAR), 'Cookie': '[REDACTED]'} AS headers FROM events"""
+
+META_MERGE_SQL = """SELECT event_id AS id, MAP {'request_id': 'req-' || CAST(event_id AS VARCHAR), 'source': 'worker',
+  'accept': list_extract(['application/json', 'application/problem+json', 'application/vnd.api+json', 'text/html'], CAST(event_id % 4 + 1 AS INT))} AS meta
+FROM events"""
+
+
+@query("redact_nested", REDACT_NESTED_SQL)
 def redact_nested(spark, sf):
     p = T.nested_payloads(spark, sf)
-    return p.select("id", N.redact_nested(F.col("payload"), _payload_type(p)).alias("payload"))
+    return p.select("id", *_flatten(N.redact_nested(F.col("payload"), _payload_type(p))))
 
 
-@query("sanitize_context")
+@query("sanitize_context", SANITIZE_CTX_SQL)
 def sanitize_context(spark, sf):
     p = T.nested_payloads(spark, sf)
-    return p.select("id", N.sanitize_context(F.col("payload"), _payload_type(p)).alias("payload"))
+    return p.select("id", *_flatten(N.sanitize_context(F.col("payload"), _payload_type(p))))
 
 
-@query("sanitize_headers")
+@query("sanitize_headers", HEADERS_SQL)
 def sanitize_headers(spark, sf):
     h = T.request_headers(spark, sf)
     return h.select("id", N.sanitize_headers(F.col("headers")).alias("headers"))
 
 
-@query("meta_merge")
+@query("meta_merge", META_MERGE_SQL)
 def meta_merge(spark, sf):
     h = T.request_headers(spark, sf)
     base = F.create_map(F.lit("request_id"), F.concat(F.lit("req-"), F.col("id").cast("string")), F.lit("source"), F.lit("api"))
