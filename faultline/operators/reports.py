@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from faultline import config as C
 from faultline.operators import aggregates as AG
-from faultline.operators import filters as P
 from faultline.operators import topk as TK
 from faultline.operators import trends as TR
 

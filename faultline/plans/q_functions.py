@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from faultline import config as C
 from faultline.functions import classify as CL
-from faultline.functions import nested as N
 from faultline.operators import render as RN
 from faultline.plans.oracle import with_
 from faultline.plans.registry import query

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline import config as C
 from faultline.functions import nested as N
 from faultline.functions import redact as RD
 from faultline.plans.registry import query

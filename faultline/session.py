@@ -6,7 +6,6 @@ The library never creates a session inside an operator; callers pass one in.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
