@@ -33,7 +33,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from faultline import config as C
@@ -228,8 +228,10 @@ def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     for _ in range(max_rounds):
         # nodes with d in [step, 2*step): one jump of length `step` from d in [0, step)
         new = reached.join(jump, reached["node"] == jump["src"]).select(F.col("dst").alias("node"), (F.col("d") + step).alias("d"))
-        reached = _checkpoint(reached.unionByName(new))
-        n_now = reached.count()
+        # the row count comes back with the write itself (no extra job)
+        obs = Observation()
+        reached = _checkpoint(reached.unionByName(new).observe(obs, F.count(F.lit(1)).alias("n")))
+        n_now = obs.get["n"]
         if n_now == n_reached:
             break
         n_reached = n_now
