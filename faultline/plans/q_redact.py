@@ -53,7 +53,7 @@ DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 
 def staged(src: str, key: str, steps: list[str], out: str = "text") -> str:
     """``WITH s0 AS src, s1 AS (step over s0.t) ...`` returning (key, out)."""
-    ctes = [src.replace(" AS (", " AS (", 1)]
+    ctes = [src]
     prev = src.split(" AS ", 1)[0]
     col = "text"
     for i, step in enumerate(steps):

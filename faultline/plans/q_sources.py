@@ -42,7 +42,7 @@ def trend_table(spark, sf):
     return TR.daily_trends(_err(spark, sf), count_mode="occurrences")
 
 
-@query("scan_trends", with_("err", body=", " + TREND_SQL + " SELECT * FROM trend").replace("\n, trend", ",\ntrend", 1))
+@query("scan_trends", with_("err", body=", " + TREND_SQL + " SELECT * FROM trend"))
 def scan_trends(spark, sf):
     return trend_table(spark, sf)
 
@@ -117,8 +117,8 @@ UNION ALL SELECT 'metrics', 3, 'Resolved Errors', CAST(r AS VARCHAR) FROM k
 UNION ALL SELECT 'metrics', 4, 'Unresolved Errors', CAST(ur AS VARCHAR) FROM k
 UNION ALL SELECT 'metrics', 5, 'Average per Day', CAST(round(t / 7.0, 2) AS VARCHAR) FROM k
 UNION ALL SELECT 'top_errors', CAST(row_number() OVER (ORDER BY n DESC, error_code ASC NULLS FIRST, message) AS INTEGER),
-  coalesce(message, 'Unknown'), CAST(n AS VARCHAR) FROM g""".lstrip(),
-    ).replace("\n, w AS", ",\nw AS", 1),
+  coalesce(message, 'Unknown'), CAST(n AS VARCHAR) FROM g""",
+    ),
 )
 def export_analytics_rows(spark, sf):
     e = _err(spark, sf)
@@ -163,7 +163,7 @@ def cli_export_json(spark, sf):
   ('SERVER_ERROR', 500, 'Internal Server Error', 'An unexpected error occurred on the server', 'Database connection failed')),
 s AS (SELECT status_code, count(*) AS n FROM err GROUP BY 1)
 SELECT code, status, title, description, example, coalesce(n, 0) AS errors FROM cat LEFT JOIN s ON s.status_code = cat.status""",
-    ).replace("\n, cat(", ",\ncat(", 1),
+    ),
 )
 def error_catalogue_coverage(spark, sf):
     return RP.error_catalogue_coverage(spark, _err(spark, sf))
@@ -183,7 +183,7 @@ UNION ALL SELECT 'stats', 2, 'Unique Errors', u FROM k
 UNION ALL SELECT 'stats', 3, 'Unresolved', ur FROM k
 UNION ALL SELECT 'stats', 4, 'Resolved', r FROM k
 UNION ALL SELECT 'top_errors', CAST(rk AS INTEGER), message, occurrence_count FROM top WHERE rk <= 5""",
-    ).replace("\n, w AS", ",\nw AS", 1),
+    ),
 )
 def doc_stats(spark, sf):
     return RP.doc_stats(_err(spark, sf), AS_OF, 30)
