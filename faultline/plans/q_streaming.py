@@ -6,30 +6,50 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.plans.q_breaker import CFG
+from faultline.plans.oracle import HOURLY_SQL, with_
+from faultline.plans.q_breaker import CFG, FOLD_SQL
 from faultline.plans.registry import query
+
+ATTRS = "exception_class, error_code, message, status_code, request_method, request_url, user_id"
+LIVE_SQL = with_(
+    "err",
+    body="""SELECT id, error_id, message, error_code, status_code, occurrence_count, request_url, request_method,
+  CAST(NULL AS VARCHAR) AS ip_address, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, is_resolved FROM err""",
+)
+TRENDS_SQL = with_(
+    "err",
+    body="""SELECT CAST(created_at AS DATE) AS date, error_code, status_code, CAST(count(*) AS BIGINT) AS count,
+  {HOURLY} AS hourly_distribution FROM err GROUP BY ALL""",
+)
+COLLECT_SQL = with_("rollup", body=f"SELECT error_id, id, {ATTRS}, occurrence_count, first_occurred_at, last_occurred_at FROM rollup")
+FIRST_SQL = with_(
+    "rollup",
+    body=", r AS (SELECT first_occurred_at AS created_at, error_code, status_code FROM rollup) "
+    "SELECT CAST(created_at AS DATE) AS date, error_code, status_code, count(*) AS count, {HOURLY} AS hourly_distribution "
+    "FROM r GROUP BY ALL",
+)
 from faultline.streaming import jobs as S
 
 
-@query("stream_live_feed")
+@query("stream_live_feed", LIVE_SQL)
 def stream_live_feed(spark, sf):
     _, table = S.live_feed(spark, sf, available_now=True)
     return spark.read.parquet(table)
 
 
-@query("stream_daily_trends")
+@query("stream_daily_trends", TRENDS_SQL)
 def stream_daily_trends(spark, sf):
     _, table = S.daily_trend_stream(spark, sf, available_now=True)
     return S.latest_per_key(spark, table, ["date", "error_code", "status_code"])
 
 
-@query("stream_collect")
+@query("stream_collect", COLLECT_SQL)
 def stream_collect(spark, sf):
     _, table = S.collect_stream(spark, sf, available_now=True)
     return S.latest_per_key(spark, table, ["error_id"])
 
 
-@query("stream_breaker")
+@query("stream_breaker", FOLD_SQL)
 def stream_breaker(spark, sf):
     _, table = S.breaker_stream(spark, sf, CFG, available_now=True)
     out = S.latest_per_key(spark, table, ["service", "operation"])
@@ -38,3 +58,10 @@ def stream_breaker(spark, sf):
         *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_failure_at", "opened_at", "next_attempt_at")],
         "calls", "rejected", "trips",
     )
+
+
+@query("stream_first_sighting_trends", FIRST_SQL)
+def stream_first_sighting_trends(spark, sf):
+    """First-sighting trends kept current from the continuously collected roll-up."""
+    _, table = S.collect_stream(spark, sf, available_now=True)
+    return S.first_sighting_trends(S.latest_per_key(spark, table, ["error_id"]))

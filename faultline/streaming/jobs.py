@@ -9,7 +9,8 @@ and write each micro-batch's changed rows to an ``epoch=N`` partition with
 partition, so the sink is idempotent.  Readers take the latest row per key.
 
 Event time: the driver tables hold zone-less timestamps; watermarks need
-``TIMESTAMP``, so the adapters cast in the session zone (UTC).
+``TIMESTAMP``, so event time is the wall clock read as UTC (independent of
+the session zone), while labels (date, hour) come from the zone-less value.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type strin
 DEFAULT_WATERMARK = "1 hour"
 
 
+def wall_clock_instant(ts):
+    """The zone-less event time as an instant, read as UTC whatever the
+    session zone, so event-time windows line up with calendar days."""
+    from faultline.operators.breaker import _micros
+
+    return F.timestamp_micros(_micros(ts))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for ``name`` under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
@@ -92,17 +101,18 @@ def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refr
 # ---- X6: running daily trends ----------------------------------------------------
 
 
-def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str = DEFAULT_WATERMARK, available_now: bool = True, refresh: str = "5 seconds"):
+def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str = DEFAULT_WATERMARK, available_now: bool = True,
+                       refresh: str = "5 seconds"):
     """Per (day, error_code, status_code): count and 24 hourly slots, kept
     current in update mode; late rows older than the watermark are dropped."""
-    err = T.errors_from_events(event_stream(spark, sf_dir)).withColumn("event_ts", F.col("created_at").cast("timestamp"))
-    hour = F.hour("event_ts")
+    err = T.errors_from_events(event_stream(spark, sf_dir)).withColumn("event_ts", wall_clock_instant(F.col("created_at")))
+    hour = F.hour("created_at")
     slots = [F.count_if(hour == h).cast("int") for h in range(24)]
     agg = (
         err.withWatermark("event_ts", watermark)
-        .groupBy(F.window("event_ts", "1 day").alias("w"), "error_code", "status_code")
+        .groupBy(F.window("event_ts", "1 day").alias("w"), F.to_date("created_at").alias("date"), "error_code", "status_code")
         .agg(F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution"))
-        .select(F.to_date(F.col("w.start")).alias("date"), "error_code", "status_code", "count", "hourly_distribution")
+        .select("date", "error_code", "status_code", "count", "hourly_distribution")
     )
     out = shared_dir(spark, "daily_trends")
     table = os.path.join(out, "table")
@@ -133,6 +143,16 @@ def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True,
     return _run(w, available_now, refresh), table
 
 
+def first_sighting_trends(rollup: DataFrame) -> DataFrame:
+    """Trend rows that count first sightings only, from the collected roll-up
+    (one row per error_id with its first sighting's time and attributes)."""
+    hour = F.hour("first_occurred_at")
+    slots = [F.count_if(hour == h).cast("int") for h in range(24)]
+    return rollup.groupBy(F.to_date("first_occurred_at").alias("date"), "error_code", "status_code").agg(
+        F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution")
+    )
+
+
 # ---- X2: breaker state machine as a stateful stream --------------------------------
 
 BREAKER_STATE = "state string, failures long, next_attempt timestamp, opened timestamp, last_failure timestamp, calls long, rejected long, trips long"

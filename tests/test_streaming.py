@@ -48,3 +48,12 @@ def test_sinks_use_shared_checkpoint_dir(spark, sf):
     strip = lambda p: p.replace("file:", "")
     assert strip(table).startswith(strip(spark.sparkContext.getCheckpointDir()))
     assert spark.read.parquet(table).count() == T.errors(spark, sf).count()
+
+
+def test_first_sighting_trends_equal_batch(spark, sf):
+    _, table = S.collect_stream(spark, sf)
+    got = S.first_sighting_trends(S.latest_per_key(spark, table, ["error_id"]))
+    want = TR.daily_trends(T.errors(spark, sf), "first")
+    cols = ["date", "error_code", "status_code", "count", "hourly_distribution"]
+    n = lambda df: sorted((r[0], r[1] or "", r[2], r[3], tuple(r[4])) for r in df.select(*cols).collect())
+    assert n(got) == n(want)
