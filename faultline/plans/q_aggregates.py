@@ -388,6 +388,19 @@ def analysis_report(spark, sf):
     return RP.analysis_report(_err(spark, sf), AS_OF, 7)
 
 
-@query("stats_report")
+STATS_REPORT_SQL = with_(
+    "err",
+    "cb",
+    body=f""", k AS ({KPI_SQL}), b AS ({BSTATS_SQL})
+SELECT json_object('period_days', 7,
+  'errors', json_object('total_errors', total_errors, 'unique_errors', unique_errors, 'unresolved_errors', unresolved_errors,
+    'resolved_errors', resolved_errors, 'resolution_rate', resolution_rate, 'avg_errors_per_day', avg_errors_per_day,
+    'affected_users', affected_users, 'avg_response_time', avg_response_time),
+  'circuit_breakers', json_object('total', total, 'open', open, 'half_open', half_open, 'closed', closed,
+    'recent_failures', recent_failures))::VARCHAR AS report FROM k, b""",
+)
+
+
+@query("stats_report", STATS_REPORT_SQL)
 def stats_report(spark, sf):
     return RP.stats_report(_err(spark, sf), T.breakers(spark, sf), AS_OF, 7)
