@@ -60,7 +60,8 @@ def _one_row_list(df: DataFrame, name: str, order_cols) -> DataFrame:
 def analysis_report(err: DataFrame, as_of, days: int = 7, top_limit: int = 10) -> DataFrame:
     """Period, KPIs, top errors, status distribution and daily trend as one JSON row."""
     kpis = AG.analytics_kpis(err, as_of, days).select(F.struct("*").alias("analytics"))
-    top = _one_row_list(TK.top_errors(err, as_of, top_limit, days).withColumn("neg", -F.col("count")), "top_errors", ["neg", "id"])
+    ranked = TK.top_errors(err, as_of, top_limit, days).withColumn("neg", -F.col("count")).withColumn("nid", -F.col("id"))
+    top = _one_row_list(ranked, "top_errors", ["neg", "nid"])
     dist = _one_row_list(AG.status_distribution(err, as_of, days), "distribution", ["status_code"])
     trend = _one_row_list(TR.trend(err, as_of, days, "day"), "trends", ["period"])
     # every part is a single-row aggregate: put them side by side
@@ -68,7 +69,7 @@ def analysis_report(err: DataFrame, as_of, days: int = 7, top_limit: int = 10) -
     body = F.struct(
         F.lit(f"{days} days").alias("period"),
         F.col("analytics"),
-        F.transform("top_errors", lambda s: s.dropFields("neg")).alias("top_errors"),
+        F.transform("top_errors", lambda s: s.dropFields("neg", "nid")).alias("top_errors"),
         F.col("distribution"),
         F.col("trends"),
     )

@@ -383,7 +383,27 @@ def error_rate_pct(spark, sf):
     return AG.error_rate_pct(T.calls(spark, sf))
 
 
-@query("analysis_report")
+ANALYSIS_REPORT_SQL = with_(
+    "err",
+    body=f""", k AS ({KPI_SQL}),
+t AS ({TOP_ROWS_SQL}),
+d AS (SELECT status_code, count(*) AS count,
+  CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS DOUBLE) AS percentage FROM err WHERE {W7} GROUP BY 1),
+p AS (SELECT strftime(created_at, '%Y-%m-%d') AS period, count(*) AS count FROM err WHERE {W7} GROUP BY 1)
+SELECT json_object('period', '7 days',
+  'analytics', (SELECT json_object('total_errors', total_errors, 'unique_errors', unique_errors, 'unresolved_errors', unresolved_errors,
+    'resolved_errors', resolved_errors, 'resolution_rate', resolution_rate, 'avg_errors_per_day', avg_errors_per_day,
+    'affected_users', affected_users, 'avg_response_time', avg_response_time) FROM k),
+  'top_errors', (SELECT list(CASE WHEN code IS NULL
+      THEN json_object('id', id, 'message', message, 'status_code', status_code, 'count', count, 'endpoint', endpoint)
+      ELSE json_object('id', id, 'message', message, 'code', code, 'status_code', status_code, 'count', count, 'endpoint', endpoint) END
+    ORDER BY count DESC, id DESC) FROM t),
+  'distribution', (SELECT list(json_object('status_code', status_code, 'count', count, 'percentage', percentage) ORDER BY status_code) FROM d),
+  'trends', (SELECT list(json_object('period', period, 'count', count) ORDER BY period) FROM p))::VARCHAR AS report""",
+)
+
+
+@query("analysis_report", ANALYSIS_REPORT_SQL)
 def analysis_report(spark, sf):
     return RP.analysis_report(_err(spark, sf), AS_OF, 7)
 
