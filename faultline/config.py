@@ -46,6 +46,29 @@ TAG_PATTERNS = (
     ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
 )
 
+# Partial-mask PII patterns, applied in this order: ip, email, phone.
+PII_IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+PII_EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PII_PHONE_PATTERN = r"\+[1-9]\d{7,14}"
+
+# Secret masking in free text, applied in this order ($1 keeps the prefix).
+SECRET_PATTERNS = (
+    (r"(password=)[^\s&]+", "$1" + MASK_STRING),
+    (r"(token=)[^\s&]+", "$1" + MASK_STRING),
+    (r"(api_key=)[^\s&]+", "$1" + MASK_STRING),
+    (r"(Authorization:\s*Bearer\s+)\S+", "$1" + MASK_STRING),
+    (r"(Authorization:\s*Basic\s+)\S+", "$1" + MASK_STRING),
+    (r"\b\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}\b", "****-****-****-****"),
+)
+
+# Query-text sanitising, applied in this order.
+SQL_SANITIZE_PATTERNS = (
+    (r'"([^"]+)"', "[value]"),
+    (r"`([^`]+)`\s*=", "[column] ="),
+    (r"`([^`]+)`", "[table]"),
+    (r"\b(FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z_]\w*)", "$1 [table]"),
+)
+
 # Error categories by status code.
 CATEGORIES = (
     ("client_error", (400, 401, 403, 404, 422, 429)),

@@ -26,12 +26,22 @@ from faultline import config as C
 NW_BEFORE = r"(?<![A-Za-z0-9_])"
 NW_AFTER = r"(?![A-Za-z0-9_])"
 
-# Patterns (Java regex); equal to the reproduced patterns except ``\b`` is
-# spelled as an ASCII look-around.
-IP_RE = NW_BEFORE + r"(?:\d{1,3}\.){3}\d{1,3}" + NW_AFTER
-EMAIL_RE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_RE = r"\+[1-9]\d{7,14}"
-CARD_RE = NW_BEFORE + r"\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}" + NW_AFTER
+
+
+def java_regex(pattern: str) -> str:
+    """The configured pattern with ``\b`` spelled as ASCII look-arounds (Java's
+    ``\b`` treats accented letters as word characters)."""
+    out = pattern
+    if out.startswith(r"\b"):
+        out = NW_BEFORE + out[2:]
+    if out.endswith(r"\b"):
+        out = out[:-2] + NW_AFTER
+    return out
+
+
+IP_RE = java_regex(C.PII_IP_PATTERN)
+EMAIL_RE = java_regex(C.PII_EMAIL_PATTERN)
+PHONE_RE = java_regex(C.PII_PHONE_PATTERN)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -137,23 +147,11 @@ def tag_redact(text: Column, enabled: bool = True) -> Column:
         return text
     out = text
     for name, pattern in C.TAG_PATTERNS:
-        java = pattern.replace(r"\b", "")
-        if pattern.startswith(r"\b"):
-            java = NW_BEFORE + java
-        if pattern.endswith(r"\b"):
-            java = java + NW_AFTER
-        out = F.regexp_replace(out, java, f"[{name}:REDACTED]")
+        out = F.regexp_replace(out, java_regex(pattern), f"[{name}:REDACTED]")
     return out
 
 
-SECRET_RULES = (
-    (r"(password=)[^\s&]+", "$1" + C.MASK_STRING),
-    (r"(token=)[^\s&]+", "$1" + C.MASK_STRING),
-    (r"(api_key=)[^\s&]+", "$1" + C.MASK_STRING),
-    (r"(Authorization:\s*Bearer\s+)\S+", "$1" + C.MASK_STRING),
-    (r"(Authorization:\s*Basic\s+)\S+", "$1" + C.MASK_STRING),
-    (CARD_RE, "****-****-****-****"),
-)
+SECRET_RULES = tuple((java_regex(p), r) for p, r in C.SECRET_PATTERNS)
 
 
 def mask_secrets(text: Column, enabled: bool = True) -> Column:
@@ -171,12 +169,7 @@ def mask_secrets(text: Column, enabled: bool = True) -> Column:
     return let(text, body)
 
 
-SQL_RULES = (
-    (r'"([^"]+)"', "[value]"),
-    (r"`([^`]+)`\s*=", "[column] ="),
-    (r"`([^`]+)`", "[table]"),
-    (NW_BEFORE + r"(FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z_]\w*)", "$1 [table]"),
-)
+SQL_RULES = tuple((java_regex(p), r) for p, r in C.SQL_SANITIZE_PATTERNS)
 
 
 def sanitize_sql(sql: Column, enabled: bool = True, production: bool = True) -> Column:

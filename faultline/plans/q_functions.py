@@ -300,7 +300,7 @@ TRACE_SQL = with_(
     "err",
     body=""", f AS (SELECT id, unnest(range(1, LEAST(occurrence_count + 4, 10) + 1)) AS i FROM err)
 SELECT id, CAST(i AS INTEGER) AS pos,
-  CASE WHEN i % 5 <> 0 THEN '/app/src/Frame' || CAST(i AS VARCHAR) || '.php' ELSE 'unknown' END AS file,
+  CASE WHEN i % 5 <> 0 THEN '/app/src/frame_' || CAST(i AS VARCHAR) ELSE 'unknown' END AS file,
   CASE WHEN i % 7 <> 0 THEN CAST(id % 100 + i AS INTEGER) ELSE 0 END AS line,
   'call' || CAST(i AS VARCHAR) AS function,
   CASE WHEN i % 2 = 0 THEN 'App\\Service' END AS class,

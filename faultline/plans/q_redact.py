@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline import config as C
+
 from faultline.functions import nested as N
 from faultline.functions import redact as RD
 from faultline.plans.registry import query
 from faultline.sources import tables as T
 
-IP_SQL = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-EMAIL_SQL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE_SQL = r"\+[1-9]\d{7,14}"
-CARD_SQL = r"\b\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}\b"
+# RE2 keeps the configured patterns as they are (``\b`` included)
+IP_SQL = C.PII_IP_PATTERN
+EMAIL_SQL = C.PII_EMAIL_PATTERN
+PHONE_SQL = C.PII_PHONE_PATTERN
 
 F_IP = (
     "CASE WHEN list_bool_and(list_transform(string_split({m}, '.'), lambda o: regexp_full_match(o, '0|[1-9][0-9]{{0,2}}')"
@@ -123,14 +125,12 @@ def _esc(p: str) -> str:
     return p.replace("{", "{{").replace("}", "}}")
 
 
-SECRET_STEPS = [
-    "regexp_replace({t}, '(password=)[^\\s&]+', '\\1***REDACTED***', 'g')",
-    "regexp_replace({t}, '(token=)[^\\s&]+', '\\1***REDACTED***', 'g')",
-    "regexp_replace({t}, '(api_key=)[^\\s&]+', '\\1***REDACTED***', 'g')",
-    "regexp_replace({t}, '(Authorization:\\s*Bearer\\s+)\\S+', '\\1***REDACTED***', 'g')",
-    "regexp_replace({t}, '(Authorization:\\s*Basic\\s+)\\S+', '\\1***REDACTED***', 'g')",
-    "regexp_replace({t}, '" + _esc(CARD_SQL) + "', '****-****-****-****', 'g')",
-]
+def _replace_step(pattern: str, repl: str) -> str:
+    """A DuckDB regexp_replace step template (``{t}`` is the input)."""
+    return "regexp_replace({t}, '" + _esc(pattern) + "', '" + _esc(repl.replace("$1", "\\1")) + "', 'g')"
+
+
+SECRET_STEPS = [_replace_step(p, r) for p, r in C.SECRET_PATTERNS]
 
 
 @query("mask_secrets_documents", staged(DOCS, "doc_id", SECRET_STEPS))
@@ -147,12 +147,7 @@ SQLTXT = """sqls AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0
   THEN concat('SELECT * FROM `', event_type, '` WHERE `email` = "u', CAST(user_id AS VARCHAR), '@example.com"')
   ELSE concat('SELECT id FROM ', event_type, ' JOIN users ON users.id = ', event_type, '.user_id WHERE name = "x', CAST(user_id AS VARCHAR), '"') END AS text
   FROM events)"""
-SQL_STEPS = [
-    """regexp_replace({t}, '"([^"]+)"', '[value]', 'g')""",
-    "regexp_replace({t}, '`([^`]+)`\\s*=', '[column] =', 'g')",
-    "regexp_replace({t}, '`([^`]+)`', '[table]', 'g')",
-    "regexp_replace({t}, '\\b(FROM|JOIN|INTO|UPDATE)\\s+([a-zA-Z_]\\w*)', '\\1 [table]', 'g')",
-]
+SQL_STEPS = [_replace_step(p, r) for p, r in C.SQL_SANITIZE_PATTERNS]
 
 
 @query("sanitize_sql", staged(SQLTXT, "id", SQL_STEPS, out="sql"))

@@ -175,14 +175,9 @@ def cli_export_json(spark, sf):
     "error_catalogue_coverage",
     with_(
         "err",
-        body=""", cat(code, status, title, description, example) AS (VALUES
-  ('BAD_REQUEST', 400, 'Bad Request', 'The request was invalid or malformed', 'Invalid JSON payload'),
-  ('UNAUTHORIZED', 401, 'Unauthorized', 'Authentication is required to access this resource', 'Missing or invalid API token'),
-  ('FORBIDDEN', 403, 'Forbidden', 'You do not have permission to access this resource', 'Insufficient privileges'),
-  ('RESOURCE_NOT_FOUND', 404, 'Not Found', 'The requested resource does not exist', 'User ID not found'),
-  ('VALIDATION_FAILED', 422, 'Validation Failed', 'The request data failed validation', 'Email field is required'),
-  ('RATE_LIMIT_EXCEEDED', 429, 'Rate Limit Exceeded', 'Too many requests, please slow down', 'Maximum 100 requests per minute'),
-  ('SERVER_ERROR', 500, 'Internal Server Error', 'An unexpected error occurred on the server', 'Database connection failed')),
+        body=", cat(code, status, title, description, example) AS (VALUES "
+        + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in C.ERROR_CATALOGUE)
+        + """),
 s AS (SELECT status_code, count(*) AS n FROM err GROUP BY 1)
 SELECT code, status, title, description, example, coalesce(n, 0) AS errors FROM cat LEFT JOIN s ON s.status_code = cat.status""",
     ),

@@ -262,7 +262,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.transform(
         F.sequence(F.lit(1), F.col("occurrence_count") + 4),
         lambda i: F.struct(
-            F.when(i % 5 != 0, F.concat(F.lit("/app/src/Frame"), i.cast("string"), F.lit(".php"))).alias("file"),
+            F.when(i % 5 != 0, F.concat(F.lit("/app/src/frame_"), i.cast("string"))).alias("file"),
             F.when(i % 7 != 0, (F.col("id") % 100 + i).cast("int")).alias("line"),
             F.concat(F.lit("call"), i.cast("string")).alias("function"),
             F.when(i % 2 == 0, F.lit("App\\Service")).alias("class"),
