@@ -19,7 +19,7 @@ def _ts(value) -> Column:
     if isinstance(value, Column):
         return value
     if isinstance(value, datetime):
-        value = value.strftime("%Y-%m-%d %H:%M:%S")
+        value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
     elif isinstance(value, date):
         value = value.strftime("%Y-%m-%d") + " 00:00:00"
     elif isinstance(value, str) and len(value) == 10:
