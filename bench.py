@@ -46,14 +46,18 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # warm the JVM
 
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         best = None
-        for _ in range(repeat):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+        try:
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+        except Exception as e:  # keep measuring the others; report the failure
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -64,6 +68,7 @@ def main() -> None:
                 "queries": times,
                 "sf": float(m.group(1)) if m else None,
                 "cpus": cpus,
+                **({"failed": failed} if failed else {}),
             }
         )
     )
