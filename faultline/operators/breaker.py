@@ -222,7 +222,7 @@ def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
         nodes.filter(F.col("type") == "S").select(F.col("node").alias("src"))
     )
     jump = _checkpoint(edges.filter(F.col("dst").isNotNull()).select("src", "dst").join(live.distinct(), on="src", how="left_semi"))
-    reached = _checkpoint(nodes.filter(F.col("type") == "S").select("node", F.lit(0).cast("long").alias("d")))
+    reached = nodes.filter(F.col("type") == "S").select("node", F.lit(0).cast("long").alias("d"))
     n_reached = reached.count()
     step = 1
     for _ in range(max_rounds):
@@ -247,11 +247,10 @@ def replay(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_se
     Returns ``(calls_with_disposition, path_events)``."""
     c = _checkpoint(enrich_calls(calls, cfg, bucket_seconds))
     nodes, edges = candidate_edges(c, cfg, bucket_seconds)
-    nodes = _checkpoint(nodes)
     edges = _checkpoint(edges)
     reached = path_nodes(nodes, edges)
     ev = reached.join(nodes, on="node").join(edges.withColumnRenamed("src", "node"), on="node", how="left")
-    ev = _checkpoint(ev.select("node", KEY, "type", "seq", "ts", "cf", "d", "dst", "half_open_at", "dst_via"))
+    ev = ev.select("node", KEY, "type", "seq", "ts", "cf", "d", "dst", "half_open_at", "dst_via")
 
     # how each path event was entered (the via of its predecessor edge)
     entered = ev.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("node"), F.col("dst_via").alias("entered_via"))
