@@ -108,3 +108,19 @@ def test_equals_sequential_fold(spark, seed):
     got, got_disp = spark_fold(spark, rows, cfg, bucket_seconds=rnd.choice([60, 600, 86400]))
     assert got == want
     assert got_disp == want_disp
+
+
+def test_hot_key_equals_sequential_fold(spark):
+    """One breaker holds most of the calls, spread over many time buckets."""
+    rnd = random.Random(7)
+    cfg = C.BreakerConfig(failure_threshold=3, recovery_timeout_s=600)
+    rows, seq = [], 0
+    for key, n in ((("hot", "op"), 900), (("cold", None), 30), (("warm", "x"), 60)):
+        t = T0
+        for _ in range(n):
+            t = t + dt.timedelta(seconds=rnd.choice([0, 20, 60, 240, 900]))
+            rows.append((seq, t, key[0], key[1], rnd.random() < 0.6))
+            seq += 1
+    want, want_disp = py_fold(rows, cfg)
+    got, got_disp = spark_fold(spark, rows, cfg, bucket_seconds=1800)
+    assert got == want and got_disp == want_disp

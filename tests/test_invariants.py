@@ -23,3 +23,22 @@ def test_redaction_idempotent(spark, sf):
 def test_secret_mask_idempotent(spark, sf):
     d = T.contact_lines(spark, sf).select(RD.mask_secrets(F.col("text")).alias("t"))
     assert d.filter(F.col("t") != RD.mask_secrets(F.col("t"))).count() == 0
+
+
+def test_related_errors_with_a_hot_endpoint(spark):
+    """A third of the rows on one endpoint: the bounded candidate join still
+    returns, for every error, the 5 newest others (checked by brute force)."""
+    import datetime as dt
+
+    from faultline.operators.joins import related_errors
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 3 == 0 else f"u{i % 7}", t0 + dt.timedelta(seconds=(i * 37) % 500)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, request_url string, created_at timestamp_ntz")
+    got = {(r.id, r.rank): r.related_id for r in related_errors(df, 5).collect()}
+    want = {}
+    for i, u, ts in rows:
+        others = sorted((r for r in rows if r[1] == u and r[0] != i), key=lambda r: (r[2], r[0]), reverse=True)[:5]
+        for k, r in enumerate(others, start=1):
+            want[(i, k)] = r[0]
+    assert got == want
