@@ -250,3 +250,26 @@ def test_manual_breaker_events(spark):
     later = NOW + dt.timedelta(seconds=61)
     half = breaker_record(breaker_record(cb, F.col("id") == 1, ok=False, as_of=NOW), F.col("id") == 1, ok=True, as_of=later).first()
     assert half.state == "half_open" and half.failure_count == 3
+
+
+def test_approx_distinct_close(spark, sf):
+    from faultline.sources import tables as T
+
+    e = T.errors(spark, sf)
+    exact = AG.analytics_kpis(e, T.AS_OF, 7).first()
+    approx = AG.analytics_kpis(e, T.AS_OF, 7, approx=True).first()
+    assert approx.total_errors == exact.total_errors
+    assert abs(approx.unique_errors - exact.unique_errors) <= 0.1 * exact.unique_errors + 1
+
+
+def test_breaker_identifier_and_overlapping_categories(spark):
+    df = spark.createDataFrame([("svc", None, 500), ("svc", "op", 429)], "s string, o string, c int")
+    rows = df.select(CL.breaker_identifier(F.col("s"), F.col("o")).alias("i"), CL.category_list(F.col("c")).alias("k")).collect()
+    assert rows[0].i == "circuit_breaker:svc" and rows[1].i == "circuit_breaker:svc:op"
+    assert rows[0].k == ["server_error", "critical"] and rows[1].k == ["client_error", "recoverable"]
+
+
+def test_auto_interval():
+    from faultline.operators.trends import auto_interval
+
+    assert auto_interval(1) == "hour" and auto_interval(2) == "day"
