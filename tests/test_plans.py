@@ -32,3 +32,10 @@ def test_time_filter_reaches_scan(spark, sf, name):
     p = plan(QUERIES[name](spark, sf))
     scan = [line for line in p.split("\n") if "FileScan parquet" in line]
     assert scan and all("ts#" in line and ">= 20" in line for line in scan)
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_reads_the_driver_tables(spark, sf, name):
+    """Every registered query scans the given parquet tables (its work grows with them)."""
+    p = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in p and "parquet" in p
