@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.common import load
+from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
 
@@ -27,3 +28,8 @@ def query(name: str):
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(load(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
+@query("op7_source_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
