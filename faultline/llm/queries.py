@@ -10,6 +10,7 @@ from faultline.llm.common import load
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
+from faultline.llm.surrogates import replace_private
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +34,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_private(load(spark, sf_dir, "documents").select("doc_id", "text"))
