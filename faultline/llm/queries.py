@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm.common import load
+from faultline.llm.common import crc_mod, load
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
 from faultline.llm.surrogates import replace_private
+from faultline.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +40,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_private(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_toxicity_pu")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 3) == 1
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, load(spark, sf_dir, "labels"), held_out, threshold=0.7)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
