@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.bpe import digests, encode_decode
 from faultline.llm.common import crc_mod, load
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
@@ -48,3 +50,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, load(spark, sf_dir, "labels"), held_out, threshold=0.7)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op5_bpe_segment_tree")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
