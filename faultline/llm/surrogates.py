@@ -271,8 +271,10 @@ def _resolved(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame | No
         now = scratch.write(drawn.select("kind", "canon", "attempt", fresh.alias("s")), f"drawn-{i}")
 
 
-def replace_private(docs: DataFrame, key: str = "faultline", text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, and ``n_entities`` long added.
+def replace_private(
+    docs: DataFrame, key: str = "faultline", text: str = "text", id_col: str = "doc_id", count_col: str = "n_entities"
+) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced, and the number of entities added as ``count_col`` long.
 
     Detected: e-mail addresses, secrets after a word such as ``password=``,
     access key ids, IPv4 and IPv6 addresses, card numbers, social security
@@ -282,7 +284,7 @@ def replace_private(docs: DataFrame, key: str = "faultline", text: str = "text",
     A null text stays null with 0 entities; an empty or long text is treated
     whole; documents without an entity come back unchanged; repeated rows are
     treated alike; an empty table gives an empty result; other columns are kept,
-    but for one named n_entities, which is replaced.
+    but for one named as ``count_col``, which is replaced.
     """
     scratch = Scratch(docs.sparkSession, "surrogates")
     found = F.regexp_extract_all(F.col(text), F.lit(ALL), F.lit(0))
@@ -290,7 +292,6 @@ def replace_private(docs: DataFrame, key: str = "faultline", text: str = "text",
     seen = scratch.write(each.select("id", "u.kind", "u.canon").distinct(), "seen")
     entities = scratch.write(seen.select("kind", "canon").distinct(), "entities")
     redrawn = _resolved(scratch, entities, key)
-    docs = docs.drop("n_entities")
     if redrawn is None:
         docs = docs.withColumn("__again", F.lit(None).cast("map<string,int>"))
     else:
@@ -307,4 +308,4 @@ def replace_private(docs: DataFrame, key: str = "faultline", text: str = "text",
     joined = _let(parts, lambda p: F.concat(F.element_at(p, 1), F.array_join(F.zip_with(stand, rest(p), lambda s, q: F.concat(s, q)), "")))
     has = F.col(text).rlike(ALL)
     count = F.when(has, F.regexp_count(F.col(text), F.lit(ALL))).otherwise(0).cast("long")
-    return docs.withColumns({"n_entities": count, text: F.when(has, joined).otherwise(F.col(text))}).drop("__again")
+    return docs.withColumns({count_col: count, text: F.when(has, joined).otherwise(F.col(text))}).drop("__again")

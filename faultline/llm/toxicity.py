@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash buckets of features.
@@ -140,9 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     return fit(take(1), take(2), prior)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``score`` double from 0 to 1 and ``predicted`` int (1 if score >= threshold) added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """The score of a text column as a column: double from 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for texts in batches:
             yield pd.Series(map(one, texts), dtype="float64")
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.7) -> DataFrame:
@@ -159,6 +159,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, threshold: float = 0.
     ``held_out`` is a condition on doc_id.  Null and empty texts get the score
     of a text without words; long texts are read whole; labels that are null or
     repeat are taken once (toxic if any row says so); without positives every
-    score is below 1e-5; an empty table gives an empty result; columns named score or predicted are replaced, others kept.
+    score is below 1e-5; an empty table gives an empty result; columns named
+    score or predicted are replaced, others kept.
     """
-    return score(docs.drop("score", "predicted"), train(docs, labels, held_out), threshold)
+    scored = docs.withColumn("score", score(docs.sparkSession, train(docs, labels, held_out)))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
