@@ -13,6 +13,7 @@ from faultline.llm.common import crc_mod, load
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
+from faultline.llm.suffix_lm import lm_scores
 from faultline.llm.surrogates import replace_private
 from faultline.llm.toxicity import toxicity
 
@@ -59,6 +60,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query("op8_suffix_tree_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
