@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.bpe import digests, encode_decode
 from faultline.llm.common import crc_mod, load
+from faultline.llm.html_crf import extract
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
@@ -65,6 +66,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+@query("op9_html_crf")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
