@@ -206,7 +206,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS) -> F
     lse = lambda z, axis: np.logaddexp(*np.moveaxis(z, axis, 0))
     for t in range(1, steps + 1 if pages else 1):
         emit, start, move = w[: 2 * k].reshape(k, 2), w[2 * k : 2 * k + 2], w[2 * k + 2 :].reshape(2, 2)
-        e = (flat @ emit).reshape(len(pages), long, 2)
+        e = (flat @ emit.astype(np.float32)).astype(np.float64).reshape(len(pages), long, 2)
         fwd, bwd = np.zeros_like(e), np.zeros_like(e)
         fwd[:, 0] = start + e[:, 0]
         for j in range(1, long):
@@ -217,7 +217,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS) -> F
         node = np.exp(fwd + bwd - z) * on[..., None]
         edge = np.exp(fwd[:, :-1, :, None] + move + (e + bwd)[:, 1:, None, :] - z[..., None]) * on[:, 1:, None, None]
         g = np.concatenate([
-            (flat.T @ (node - truth).reshape(-1, 2)).ravel(),
+            (flat.T @ (node - truth).reshape(-1, 2).astype(np.float32)).ravel(),
             (node[:, 0] - truth[:, 0]).sum(0),
             (edge.sum((0, 1)) - moves).ravel(),
         ]) / len(pages) + 2e-3 * w
