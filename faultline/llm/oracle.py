@@ -49,3 +49,23 @@ run AS (SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, tar
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
 copies AS (SELECT *, whole + CASE WHEN middle < rest THEN 1 ELSE 0 END AS copies FROM run)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM copies"""
+
+_UNIT = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings)"""
+
+SQL["op1_pivot_near_dedup"] = f"""
+WITH RECURSIVE {_UNIT},
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND array_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(vec_id, m) AS BIGINT) AS component_id,
+  vec_id = least(vec_id, m) AS kept
+FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+SQL["op6_ann_collision"] = f"""
+WITH {_UNIT},
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, array_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5"""

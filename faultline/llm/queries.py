@@ -7,13 +7,16 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm.bpe import digests, encode_decode
+from faultline.llm.collision_ann import nearest_vectors
 from faultline.llm.common import crc_mod, load
 from faultline.llm.html_crf import extract
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
+from faultline.llm.pivot_dedup import near_duplicates
 from faultline.llm.suffix_lm import lm_scores
 from faultline.llm.surrogates import replace_private
 from faultline.llm.toxicity import toxicity
@@ -71,6 +74,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query("op1_pivot_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query("op6_ann_collision")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
