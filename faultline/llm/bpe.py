@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import ship
+
 #: Fixed value: white space as the vocabulary's pattern means it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern that cuts text into pieces before merging.
@@ -165,6 +167,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     ids or decoded.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared, name = spark.sparkContext.broadcast(Vocabulary(path)), uuid.uuid4().hex
     kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     schema = docs.select(*kept).schema.add("ids", "binary").add("decoded", "string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,28 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors once an application, so that tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):
+        # read by the driver alone, which serves it
+        path = os.path.join(tempfile.mkdtemp(prefix="faultline-code-"), "faultline_code.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 class Scratch:
     """Tables that cut lineage, written under the shared ``spark.checkpoint.dir``.
 
@@ -34,6 +59,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, op: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark)}/{op}-{uuid.uuid4().hex[:12]}"
 

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import ship
+
 #: Pages read for training (smallest id hashes, of at most so many characters), pages laid out, and training steps.
 SAMPLE, SAMPLE_CHARS, LAID_OUT, STEPS = 300, 50_000, 700, 120
 
@@ -361,6 +363,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     treated alike; an empty table gives an empty result; other columns are
     kept, but for those named text or n_chars.
     """
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(train(pages.withColumnRenamed(html_col, "html")))
 
     @F.pandas_udf("string")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.llm.common import ship
+
 #: Hash buckets of features.
 BITS = 22
 #: Lengths of word beginnings that are features beside the whole word: inflected and compounded insults share them.
@@ -117,6 +119,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     """Fits on bounded samples of the labelled rows for which ``held_out`` is false."""
+    ship(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
@@ -142,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
 
 def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a text column as a column: double from 0 to 1."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
