@@ -20,6 +20,7 @@ from faultline.llm.pivot_dedup import near_duplicates
 from faultline.llm.suffix_lm import lm_scores
 from faultline.llm.surrogates import replace_private
 from faultline.llm.toxicity import toxicity
+from faultline.llm.url_cascade import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,6 +85,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op2_url_cascade")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
