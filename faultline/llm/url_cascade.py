@@ -20,13 +20,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import LOWER, UPPER, Scratch
 
 #: Bits of the first level of a cascade that may be broadcast (64 MB).
 MOST_BITS = 1 << 29
+#: The place of a key that no cascade holds.
+NOWHERE = (1 << 31) - 1
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -131,8 +134,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "ur
 
     ``rules`` are (host, path, verdict) with the verdicts allow and block.  A
     rule fits its host and all subdomains if the URL's path starts with the
-    rule's; the longest rule that fits decides, and is returned as host + path
-    (of the same rule twice, the first).  Without one, rule is null and the
+    rule's; the longest rule that fits decides (of equally long ones the first
+    by code point), and is returned as host + path.  Of one rule given twice the
+    first counts.  Without one, rule is null and the
     URL, being in no cascade, gets ``default``.
 
     A null URL and one without ``://`` have an empty host and path and no rule;
@@ -162,45 +166,43 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "ur
     marked = scratch.write(universe.join(listing, "key", "left"), "marked")
     total, known = marked.agg(F.count("*"), F.count("verdict")).first()
     slices = _size(known, total - known, True)[0] // most_bits + 1 if known else 1
-    out = urls.withColumn("__hit", F.lit(None).cast("struct<at:int,verdict:string>"))
+    out = urls.withColumns({"__at": F.lit(NOWHERE), "__verdict": F.lit(None).cast("string")})
     for g in range(slices):
         part = marked.where(F.pmod("h1", F.lit(slices)) == g)
         made = {
             v: build(scratch, part.where(F.col("verdict") == v), part.where(F.col("verdict").isNull() | (F.col("verdict") != v)), f"{v}-{g}")
             for v in ("allow", "block")
         }
-        out = out.withColumn("__hit", _earliest(F.col("__hit"), _probe(spark, made, slices, g, names)))
-        if slices > 1:
-            out = scratch.write(out, f"slice-{g}")
-    rule = F.try_element_at(names, F.col("__hit")["at"] + 1)
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(F.col("__hit")["verdict"], F.lit(default))}).drop("__hit")
-
-
-def _earliest(a: Column, b: Column) -> Column:
-    return F.when(a.isNull() | (b["at"] < a["at"]), b).otherwise(a)
-
-
-def _probe(spark: SparkSession, made: dict[str, Cascade], slices: int, g: int, names: Column) -> Column:
-    """The place of the first of a row's keys that a cascade holds, and its verdict; null if none."""
-    shared = spark.sparkContext.broadcast(made)
-
-    @F.pandas_udf("at int, verdict string")
-    def first(h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
-        n = np.array([len(x) for x in h1])
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        a = np.concatenate([np.asarray(x, np.int64) for x in h1]) if len(row) else np.empty(0, np.int64)
-        b = np.concatenate([np.asarray(x, np.int64) for x in h2]) if len(row) else np.empty(0, np.int64)
-        at, verdict = np.full(len(n), np.iinfo(np.int32).max), np.full(len(n), None, object)
-        here = a % slices == g
-        for v, cascade in shared.value.items():
-            hit = np.zeros(len(a), bool)
-            hit[here] = cascade.contains(a[here], b[here])
-            best = np.full(len(n), np.iinfo(np.int32).max)
-            np.minimum.at(best, row[hit], place[hit])
-            better = best < at
-            at[better], verdict[better] = best[better], v
-        return pd.DataFrame({"at": at.astype(np.int32), "verdict": verdict})
-
-    got = first(F.transform(names, lambda k: F.xxhash64(k)), F.transform(names, lambda k: F.xxhash64(F.lit(1), k)))
-    return F.when(got["verdict"].isNotNull(), got)
+        out = _probe(out, made, slices, g, names)
+        out = scratch.write(out, f"slice-{g}") if slices > 1 else out
+    rule = F.when(F.col("__at") < NOWHERE, F.try_element_at(names, F.col("__at") + 1))
+    return out.withColumns({"rule": rule, "verdict": F.coalesce("__verdict", F.lit(default))}).drop("__at", "__verdict")
+
+
+def _probe(urls: DataFrame, made: dict[str, Cascade], slices: int, g: int, names: Column) -> DataFrame:
+    """``urls`` with __at, the place of the first of a row's keys that a cascade so far holds (or NOWHERE), and its __verdict."""
+    shared = urls.sparkSession.sparkContext.broadcast(made)
+    kept = [c for c in urls.columns if c not in ("__at", "__verdict")]
+    hashes = [F.transform(names, lambda k: F.xxhash64(k)), F.transform(names, lambda k: F.xxhash64(F.lit(1), k))]
+
+    def run(batches):
+        for b in batches:
+            n = np.diff(b.column(len(kept) + 2).offsets.to_numpy())
+            h1, h2 = (b.column(len(kept) + i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at, verdict = b.column(len(kept)).to_numpy(zero_copy_only=False).copy(), b.column(len(kept) + 1).to_numpy(zero_copy_only=False).copy()
+            here = h1 % slices == g
+            for v, cascade in shared.value.items():
+                hit = np.zeros(len(h1), bool)
+                hit[here] = cascade.contains(h1[here], h2[here])
+                best = np.full(len(n), NOWHERE)
+                np.minimum.at(best, row[hit], place[hit])
+                sooner = best < at
+                at[sooner], verdict[sooner] = best[sooner], v
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[: len(kept)], pa.array(at, pa.int32()), pa.array(verdict, pa.string())], [*kept, "__at", "__verdict"]
+            )
+
+    rows = urls.select(*kept, "__at", "__verdict", hashes[0].alias("__h1"), hashes[1].alias("__h2"))
+    return rows.mapInArrow(run, urls.select(*kept, "__at", "__verdict").schema)
