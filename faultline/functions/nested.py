@@ -63,7 +63,7 @@ def mask_leaves(cfg: C.RedactionConfig = C.RedactionConfig()) -> Leaf:
         if not cfg.mask_sensitive_data:
             return v
         if _key_contains(key, cfg.mask_patterns):
-            return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(F.lit(C.MASK_STRING))
+            return F.lit(C.MASK_STRING)
         plain = RD.mask_secrets(v) if _is_string(dtype) else v
         if key_col is not None:
             masked = F.lit(C.MASK_STRING)
@@ -132,26 +132,28 @@ def sanitize_request_data(col: Column, dtype: T.DataType, keys=C.SENSITIVE_KEYS)
     return walk(col, dtype, exact_key_leaves(keys))
 
 
-def secure_pipeline(col: Column, dtype: T.DataType, mask: bool = True, redact_pii: bool = True) -> Column:
-    """Secret masking then PII redaction, each switchable."""
+def secure_pipeline(
+    col: Column, dtype: T.DataType, mask: bool = True, redact_pii: bool = True, cfg: C.RedactionConfig = C.RedactionConfig()
+) -> Column:
+    """Secret masking by ``cfg`` then PII redaction, each switchable."""
     out, out_type = col, dtype
-    if mask:
-        out = walk(out, out_type, mask_leaves())
-        out_type = _masked_type(out_type)
+    if mask and cfg.mask_sensitive_data:
+        out = walk(out, out_type, mask_leaves(cfg))
+        out_type = _masked_type(out_type, None, cfg.mask_patterns)
     if redact_pii:
         out = walk(out, out_type, redact_leaves())
     return out
 
 
-def _masked_type(dtype: T.DataType, key: str | None = None) -> T.DataType:
+def _masked_type(dtype: T.DataType, key: str | None = None, patterns=C.MASK_PATTERNS) -> T.DataType:
     """Type after ``mask_leaves``: sensitive scalar leaves become strings."""
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(f.name, _masked_type(f.dataType, f.name), True) for f in dtype.fields])
+        return T.StructType([T.StructField(f.name, _masked_type(f.dataType, f.name, patterns), True) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
-        return T.ArrayType(_masked_type(dtype.elementType, None), True)
+        return T.ArrayType(_masked_type(dtype.elementType, None, patterns), True)
     if isinstance(dtype, T.MapType):
-        return T.MapType(dtype.keyType, T.StringType() if not isinstance(dtype.valueType, (T.StructType, T.ArrayType, T.MapType)) else _masked_type(dtype.valueType), True)
-    if _key_contains(key, C.MASK_PATTERNS):
+        return T.MapType(dtype.keyType, T.StringType() if not isinstance(dtype.valueType, (T.StructType, T.ArrayType, T.MapType)) else _masked_type(dtype.valueType, None, patterns), True)
+    if _key_contains(key, patterns):
         return T.StringType()
     return dtype
 

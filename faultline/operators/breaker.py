@@ -154,7 +154,7 @@ def _first_after_time(c: DataFrame, queries: DataFrame, bucket_seconds: int) ->
     # it in ascending order (kind 0 < 1), so they are not "after" it.
     order = [F.col("rbucket"), neg_time(F.col("t")), -F.col("kind"), -F.col("o")]
     r = last_before(u, F.col("info"), order, "rbucket", "first_after")
-    return r.filter(F.col("kind") == 1).select("qid", "first_after")
+    return r.filter(F.col("kind") == 1).select(KEY, "qid", "first_after")
 
 
 def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +170,8 @@ def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) ->
     succ = c.filter(F.col("ok")).select(KEY, "seq", "ts", "cf")
     keys = c.select(KEY).distinct()
 
-    node_id = lambda t, s: F.concat(F.lit(t), F.lit(":"), s.cast("string"))
+    # ``seq`` may repeat across breakers, so a node names its breaker too
+    node_id = lambda t, s: F.concat(F.lit(t), F.lit(":"), s.cast("string"), F.lit(":"), F.col(KEY))
     start_id = F.concat(F.lit("S:"), F.col(KEY))
 
     # TRIP(i) -> first call k after ts_i + recovery, then the call after k
@@ -238,6 +239,8 @@ def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         jump = _checkpoint(j2)
         step *= 2
+    else:
+        raise RuntimeError(f"the path of events is longer than 2^{max_rounds}")
     return reached
 
 

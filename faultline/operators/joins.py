@@ -67,10 +67,11 @@ def related_errors(err: DataFrame, limit: int = 5) -> DataFrame:
         .withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= limit + 1)
     )
-    pairs = err.select("id", "request_url").join(cand, on="request_url").filter(F.col("id") != F.col("related_id"))
-    per_error = Window.partitionBy("id").orderBy(F.col("related_at").desc(), F.col("related_id").desc())
-    ranked = pairs.withColumn("rank", F.row_number().over(per_error)).filter(F.col("rank") <= limit)
-    return ranked.select("id", "related_id", "rank")
+    # one array of at most limit + 1 ids an endpoint, newest first: the join needs no second ranking
+    newest_ids = cand.groupBy("request_url").agg(F.array_sort(F.collect_list(F.struct("rn", "related_id"))).alias("newest"))
+    others = F.slice(F.filter("newest", lambda x: x["related_id"] != F.col("id")), 1, limit)
+    ranked = err.select("id", "request_url").join(newest_ids, on="request_url").select("id", F.posexplode(others).alias("pos", "x"))
+    return ranked.select("id", F.col("x.related_id").alias("related_id"), (F.col("pos") + 1).alias("rank"))
 
 
 def related_for(err: DataFrame, ident: int, limit: int = 5) -> DataFrame:
@@ -139,9 +140,10 @@ def fallback_resolution(failed: DataFrame, registry: DataFrame, transient: Colum
     """Fallback for each failed call: ``service.operation`` strategy, else the
     ``service`` strategy, else the transient / permanent default.
 
-    ``registry`` (key, strategy) is configuration - a handful of rows - so
-    both lookups broadcast it."""
-    reg = F.broadcast(registry)
+    ``registry`` (key, strategy) has no size bound, so the joins carry no
+    hint.  A key that is registered more than once counts once (its smallest
+    strategy), so no call is multiplied."""
+    reg = registry.groupBy("key").agg(F.min("strategy").alias("strategy"))
     full_key = F.when(F.col("operation").isNotNull() & (F.col("operation") != ""), F.concat_ws(".", "service", "operation")).otherwise(
         F.col("service")
     )

@@ -1,8 +1,9 @@
 """Table maintenance as copy-on-write DataFrames.
 
-Each operator returns the *new* table (or the changed rows).  Persisting is
-the caller's ``write`` - e.g. dynamic partition overwrite by ``created_date``
-(see ``write_partitioned``), so a purge rewrites only the touched days.
+Each operator returns the *new* table (or the changed rows).
+``write_partitioned`` persists it by day; with ``whole=True`` it also removes
+the days that a purge or delete has emptied.  ``touched_days`` cuts a table to the days that a change of
+a few rows touches, so resolving one error rewrites one day.
 """
 
 from __future__ import annotations
@@ -147,16 +148,38 @@ def breaker_auto_reset(cb: DataFrame, as_of) -> DataFrame:
     )
 
 
-def write_partitioned(err: DataFrame, path: str) -> None:
-    """Persist the errors table partitioned by day with dynamic overwrite:
-    only the days present in ``err`` are replaced."""
-    (
-        err.withColumn("created_date", F.to_date("created_at"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("created_date")
-        .parquet(path)
-    )
+def touched_days(err: DataFrame, cond, day_col: str = "created_at") -> DataFrame:
+    """The rows of the days on which a row meets ``cond``: what a change of
+    those rows has to rewrite (with ``write_partitioned``)."""
+    day = F.to_date(day_col)
+    days = err.filter(cond).select(day.alias("_day")).distinct()
+    return err.join(days, day.eqNullSafe(F.col("_day")), "left_semi")
+
+
+def write_partitioned(err: DataFrame, path: str, whole: bool = False, day_col: str | None = None) -> list[str]:
+    """Persist an errors table partitioned by day with dynamic overwrite.
+
+    ``whole``: ``err`` is the whole new table, so days of the stored table that
+    it no longer has are removed and their folders returned; after a purge or a
+    delete this is the form to use, or emptied days would stay behind.
+    Otherwise only the days present in ``err`` are replaced.  The day is that of ``created_at``, or of ``first_occurred_at``
+    for a rolled-up table without it."""
+    day_col = day_col or ("created_at" if "created_at" in err.columns else "first_occurred_at")
+    out = err.withColumn("created_date", F.to_date(day_col))
+    spark = err.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = {s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()} if fs.exists(hadoop) else set()
+    emptied: list[str] = []
+    if whole and before:
+        # one row a day; read before the write, as err may be derived from the stored table
+        null_day = "__HIVE_DEFAULT_PARTITION__"
+        kept = {f"created_date={r[0] or null_day}" for r in out.select(F.col("created_date").cast("string")).distinct().collect()}
+        emptied = sorted(d for d in before - kept if d.startswith("created_date="))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+    for name in emptied:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(hadoop, name), True)
+    return emptied
 
 
 def breaker_record(cb: DataFrame, cond, ok: bool, as_of) -> DataFrame:

@@ -70,7 +70,7 @@ def backoff_schedule(services: DataFrame, strategies: DataFrame | None = None, c
     defaults.  ``max_retries`` tries mean ``max_retries - 1`` sleeps."""
     s = services.select("service").distinct()
     if strategies is not None:
-        s = s.join(F.broadcast(strategies), on="service", how="left")
+        s = s.join(strategies.dropDuplicates(["service"]), on="service", how="left")
     else:
         s = s.select("service", *[F.lit(None).alias(c) for c in ("max_retries", "base_delay_ms", "multiplier")])
     mx = F.coalesce(F.col("max_retries"), F.lit(cfg.max_retries))

@@ -6,6 +6,7 @@ The library never creates a session inside an operator; callers pass one in.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,12 +25,12 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "faultline") -> SparkSession:
+def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "faultline", driver_memory: str = "12g") -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "16g")
+    builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -40,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we make a scratch folder.
+    as is.  Only when it is unset and the master is local (tests) do we make a
+    scratch folder; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="faultline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -2,8 +2,9 @@
 
 Sources are file streams over the events parquet; sinks are tables written
 under the cluster's shared ``spark.checkpoint.dir`` (never a machine-local
-folder), with their stream checkpoints next to them, so a restarted query
-resumes exactly where it stopped.  Aggregating streams run in *update* mode
+folder), with their stream checkpoints next to them, so a query restarted
+with the same ``path`` resumes exactly where it stopped.  ``max_files`` bounds
+the files, and so the rows, of a micro-batch.  Aggregating streams run in *update* mode
 and write each micro-batch's changed rows to an ``epoch=N`` partition with
 ``foreachBatch``; re-running an epoch after a failure overwrites the same
 partition, so the sink is idempotent.  Readers take the latest row per key.
@@ -28,7 +29,6 @@ from faultline.session import ensure_checkpoint_dir
 from faultline.sources import tables as T
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-DEFAULT_WATERMARK = "1 hour"
 
 
 def wall_clock_instant(ts):
@@ -39,8 +39,12 @@ def wall_clock_instant(ts):
     return F.timestamp_micros(_micros(ts))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for ``name`` under the shared checkpoint directory."""
+def shared_dir(spark: SparkSession, name: str, path: str | None = None) -> str:
+    """The folder of a stream's table and checkpoint: ``path`` if given, so a
+    restarted job goes on where it stopped; else a fresh one under the shared
+    checkpoint directory."""
+    if path:
+        return path
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -80,18 +84,19 @@ def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 # ---- X7: live feed -------------------------------------------------------------
 
 
-def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "10 seconds"):
+def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "10 seconds",
+              path: str | None = None, max_files: int | None = None):
     """New error rows in the live-feed shape, appended to a parquet table.
 
     Returns ``(query, table_path)``."""
     from faultline.functions.formatting import iso_string
 
-    err = T.errors_from_events(event_stream(spark, sf_dir))
+    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
     rows = err.select(
         "id", "error_id", "message", "error_code", "status_code", "occurrence_count", "request_url", "request_method",
         F.lit(None).cast("string").alias("ip_address"), iso_string(F.col("created_at")).alias("created_at"), "is_resolved",
     )
-    out = shared_dir(spark, "live_feed")
+    out = shared_dir(spark, "live_feed", path)
     w = rows.writeStream.format("parquet").option("path", os.path.join(out, "table")).option(
         "checkpointLocation", os.path.join(out, "_checkpoint")
     )
@@ -101,20 +106,22 @@ def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refr
 # ---- X6: running daily trends ----------------------------------------------------
 
 
-def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str = DEFAULT_WATERMARK, available_now: bool = True,
-                       refresh: str = "5 seconds"):
+def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str | None = None, available_now: bool = True,
+                       refresh: str = "5 seconds", path: str | None = None, max_files: int | None = None):
     """Per (day, error_code, status_code): count and 24 hourly slots, kept
-    current in update mode; late rows older than the watermark are dropped."""
-    err = T.errors_from_events(event_stream(spark, sf_dir)).withColumn("event_ts", wall_clock_instant(F.col("created_at")))
+    current in update mode.  By default every row counts, however late: the
+    state is one row a day and code.  With ``watermark`` older days leave the
+    state, and rows later than that are dropped."""
+    err = T.errors_from_events(event_stream(spark, sf_dir, max_files)).withColumn("event_ts", wall_clock_instant(F.col("created_at")))
     hour = F.hour("created_at")
     slots = [F.count_if(hour == h).cast("int") for h in range(24)]
     agg = (
-        err.withWatermark("event_ts", watermark)
+        (err.withWatermark("event_ts", watermark) if watermark else err)
         .groupBy(F.window("event_ts", "1 day").alias("w"), F.to_date("created_at").alias("date"), "error_code", "status_code")
         .agg(F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution"))
         .select("date", "error_code", "status_code", "count", "hourly_distribution")
     )
-    out = shared_dir(spark, "daily_trends")
+    out = shared_dir(spark, "daily_trends", path)
     table = os.path.join(out, "table")
     w = agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
     return _run(w, available_now, refresh), table
@@ -123,12 +130,13 @@ def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str = DEFAUL
 # ---- X1: continuous collect (occurrence roll-up) -------------------------------
 
 
-def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "5 seconds"):
+def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "5 seconds",
+                   path: str | None = None, max_files: int | None = None):
     """Roll incoming errors up per error_id (count, first/last seen, first
     sighting's attributes) with Spark's built-in streaming aggregation state."""
     from faultline.operators.joins import ATTRS
 
-    err = T.errors_from_events(event_stream(spark, sf_dir))
+    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
     first = F.min_by(F.struct(F.col("id"), *[F.col(a) for a in ATTRS]), F.struct("created_at", "id"))
     agg = err.groupBy("error_id").agg(
         first.alias("f"),
@@ -137,7 +145,7 @@ def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True,
         F.max("created_at").alias("last_occurred_at"),
     )
     flat = agg.select("error_id", "f.id", *[f"f.{a}" for a in ATTRS], "occurrence_count", "first_occurred_at", "last_occurred_at")
-    out = shared_dir(spark, "collect")
+    out = shared_dir(spark, "collect", path)
     table = os.path.join(out, "table")
     w = flat.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
     return _run(w, available_now, refresh), table
@@ -202,13 +210,14 @@ def _breaker_step(cfg: C.BreakerConfig):
     return step
 
 
-def breaker_stream(spark: SparkSession, sf_dir: str, cfg: C.BreakerConfig = C.BreakerConfig(), available_now: bool = True, refresh: str = "15 seconds"):
+def breaker_stream(spark: SparkSession, sf_dir: str, cfg: C.BreakerConfig = C.BreakerConfig(), available_now: bool = True, refresh: str = "15 seconds",
+                   path: str | None = None, max_files: int | None = None):
     """Breaker states kept current from a call stream (``applyInPandasWithState``)."""
-    calls = T.calls_from_events(event_stream(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    calls = T.calls_from_events(event_stream(spark, sf_dir, max_files)).withColumn("ts", F.col("ts").cast("timestamp"))
     out_df = calls.select("seq", "ts", "service", "operation", "ok").groupBy("service", "operation").applyInPandasWithState(
         _breaker_step(cfg), BREAKER_OUT, BREAKER_STATE, "update", GroupStateTimeout.NoTimeout
     )
-    out = shared_dir(spark, "breakers")
+    out = shared_dir(spark, "breakers", path)
     table = os.path.join(out, "table")
     w = out_df.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
     return _run(w, available_now, refresh), table
