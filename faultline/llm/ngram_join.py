@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ from faultline.llm.common import Scratch, components, small
 #: Rows of a bucket compared by one task.
 BLOCK = 256
 #: Packed signatures that one task sorts, in bytes.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 8 << 20
+#: Signatures of a batch that are packed at once.
+SLICE = 250_000
 #: Groups of up to this many differing shingles are enumerated over 3 partitions of which 1 may differ.
 N2, K2 = 3, 1
 
@@ -50,7 +53,7 @@ class _Words(dict):
     """Hashes of words; emptied when it grows past its bound, so long tasks stay small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -126,63 +129,69 @@ class Bands:
         return np.concatenate(out)
 
 
+def _rows(batch: pa.RecordBatch):
+    """(doc_id, text) of a batch one by one, so that only one text is a Python string at a time."""
+    for doc, text in zip(batch.column(0), batch.column(1)):
+        yield doc.as_py(), text.as_py()
+
+
 def _info(n: int):
     def run(batches):
         words = _Words()
         for b in batches:
-            sets = [shingle_set(t, n, words) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "n": [len(s) for s in sets],
-                "f1": [int(np.sum(mix(s), dtype=np.uint64).astype(np.int64)) for s in sets],
-                "f2": [int(np.sum(mix(s ^ _C1), dtype=np.uint64).astype(np.int64)) for s in sets],
-                "sketch": [sketch(s) for s in sets],
-            })
+            rows = []
+            for doc, text in _rows(b):
+                s = shingle_set(text, n, words)
+                f1, f2 = (int(np.sum(mix(x), dtype=np.uint64).astype(np.int64)) for x in (s, s ^ _C1))
+                rows.append((doc, len(s), f1, f2, sketch(s)))
+            if rows:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "sketch"]), preserve_index=False)
 
     return run
 
 
 def _sign(n: int, num: int, den: int, parts: int):
-    """Rows (part, doc_id, sigs, shared): the signatures of a document by the task that will sort them.
+    """Rows (part, docs, sigs, shared): signatures and their documents, packed by the task that will sort them.
 
-    Within one batch, equal sets are signed once, and a signature of several
-    documents travels once to its task; all its documents are named in
-    ``shared``, which goes to a task by the document's id instead.  So the
-    entries of one hot signature in its task are as many as batches.
+    Within one slice of a batch, equal sets are signed once, and a signature of
+    several documents travels once to its task; all its documents are named in
+    a ``shared`` row, which goes to a task by the slice instead.  So the entries
+    of one hot signature in its task are as many as slices.
     """
 
+    def packed(ids: np.ndarray, sig: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((of, sig))
+        sig, of = sig[order], of[order]
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        several = ~(new & np.concatenate([new[1:], [True]]))
+        rows = []
+        if several.any():
+            part = int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(parts))
+            rows.append((part, ids[of[several]].tobytes(), sig[several].tobytes(), True))
+        sig, of = sig[new], of[new]
+        part = ((mix(sig) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, sig, docs = part[order], sig[order], ids[of[order]]
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+        rows += [(int(part[i]), docs[i:j].tobytes(), sig[i:j].tobytes(), False) for i, j in zip(cut, cut[1:])]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "docs", "sigs", "shared"])
+
     def run(batches):
         words, bands = _Words(), Bands(num, den)
         for b in batches:
-            ids, sigs, of, seen = [], [], [], set()
-            for doc, text in zip(b["doc_id"], b["text"]):
+            ids, sigs, of, seen, held = [], [], [], set(), 0
+            for at, (doc, text) in enumerate(_rows(b)):
                 s = shingle_set(text, n, words)
                 if len(s) and (key := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
                     seen.add(key)
                     sigs.append(bands.signatures(s))
                     of.append(np.full(len(sigs[-1]), len(ids), np.int32))
                     ids.append(doc)
-            if not ids:
-                continue
-            ids, sig, of = np.array(ids, np.int64), np.concatenate(sigs), np.concatenate(of)
-            order = np.lexsort((of, sig))
-            sig, of = sig[order], of[order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            shared = ~(new & np.concatenate([new[1:], [True]]))
-            rows = []
-            for keep, part, flag in (
-                (new, (mix(sig) >> np.uint64(32)) % np.uint64(parts), False),
-                (shared, mix(ids.astype(np.uint64))[of] % np.uint64(parts), True),
-            ):
-                p, o, s = part[keep].astype(np.int64), of[keep], sig[keep]
-                order = np.lexsort((o, p))
-                p, o, s = p[order], o[order], s[order]
-                if len(s):
-                    cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (o[1:] != o[:-1])]))
-                    end = [*cut[1:], len(s)]
-                    rows += [(int(p[i]), int(ids[o[i]]), s[i:j].tobytes(), flag) for i, j in zip(cut, end)]
-            for i in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[i : i + 20_000], columns=["part", "doc_id", "sigs", "shared"])
+                    held += len(sigs[-1])
+                if ids and (held >= SLICE or at == b.num_rows - 1):
+                    yield packed(np.array(ids, np.int64), np.concatenate(sigs), np.concatenate(of))
+                    ids, sigs, of, seen, held = [], [], [], set(), 0
 
     return run
 
@@ -191,18 +200,17 @@ def _shared(batches):
     """Of one task's packed signatures, the (sig, doc_id) rows of those that several documents have."""
     sigs, docs = [], []
     for b in batches:
-        for flag in (True, False):
-            rows = b[b["shared"] == flag]
-            if len(rows):
-                s = np.frombuffer(b"".join(rows["sigs"]), np.int64)
-                d = np.repeat(rows["doc_id"].to_numpy(np.int64), [len(x) // 8 for x in rows["sigs"]])
-                if flag:
-                    yield pd.DataFrame({"sig": s, "doc_id": d})
-                else:
-                    sigs.append(s)
-                    docs.append(d)
+        for s, d, flag in zip(b["sigs"], b["docs"], b["shared"]):
+            s, d = np.frombuffer(s, np.int64), np.frombuffer(d, np.int64)
+            if flag:
+                yield pd.DataFrame({"sig": s, "doc_id": d})
+            else:
+                sigs.append(s)
+                docs.append(d)
     if sigs:
         s, d = np.concatenate(sigs), np.concatenate(docs)
+        sigs.clear()
+        docs.clear()
         order = np.argsort(s, kind="stable")
         s, d = s[order], d[order]
         same = s[1:] == s[:-1]
@@ -281,19 +289,18 @@ class _Join:
                 out.append(int(np.bitwise_count(_fold(a, least) ^ _fold(b, least)).sum()) * (num + den) <= k)
             return pd.Series(out)
 
-        @F.pandas_udf("boolean")
-        def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for i, j in zip(x, y):
-                a, b = np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64)
-                both = int((np.searchsorted(a, b, "right") - np.searchsorted(a, b, "left")).sum())
-                out.append(den * both >= num * (len(a) + len(b) - both))
-            return pd.Series(out)
-
         def sets(batches):
             words = _Words()
             for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "items": [shingle_set(t, n, words).tobytes() for t in b["text"]]})
+                held, size = [], 0
+                for at, (doc, text) in enumerate(_rows(b)):
+                    held.append((doc, shingle_set(text, n, words).view(np.int64)))
+                    size += len(held[-1][1])
+                    if size >= SLICE or at == b.num_rows - 1:
+                        ends = np.cumsum([0, *(len(s) for _, s in held)])
+                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, s in held])))
+                        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), lists], ["doc_id", "items"])
+                        held, size = [], 0
 
         a = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -303,10 +310,12 @@ class _Join:
         if count:
             ids = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             found = self.docs.join(small(ids, 2 * count), "doc_id", "left_semi").select("doc_id", "text")
-            items = self.scratch.write(found.mapInPandas(sets, "doc_id long, items binary"), f"sets-{r}")
+            items = self.scratch.write(found.mapInArrow(sets, "doc_id long, items array<long>"), f"sets-{r}")
             x = items.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
             y = items.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-            got = self.scratch.write(cand.join(x, "a").join(y, "b").where(linked("x", "y")).select("a", "b"), f"links-{r}")
+            both = F.size(F.array_intersect("x", "y"))
+            linked = den * both >= num * (F.size("x") + F.size("y") - both)
+            got = self.scratch.write(cand.join(x, "a").join(y, "b").where(linked).select("a", "b"), f"links-{r}")
             self.links = got if self.links is None else self.links.union(got)
             self.scratch.drop(f"sets-{r}")
         self.round += 1
@@ -343,7 +352,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    info = scratch.write(docs.mapInPandas(_info(n), "doc_id long, n long, f1 long, f2 long, sketch binary"), "info")
+    info = scratch.write(docs.mapInArrow(_info(n), "doc_id long, n long, f1 long, f2 long, sketch binary"), "info")
     classes = info.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(
         info.select(F.col("doc_id").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep", "left_semi"), "reps"
@@ -357,8 +366,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     # about 2 bands * 1.5 signatures a differing shingle
     packed = 3 * 8 * total * (den - num) // num
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packed // TASK_BYTES + 1)
-    signed = docs.mapInPandas(_sign(n, num, den, parts), "part int, doc_id long, sigs binary, shared boolean")
-    dealt = signed.repartitionById(parts, F.col("part")).select("doc_id", "sigs", "shared")
+    signed = docs.mapInArrow(_sign(n, num, den, parts), "part int, docs binary, sigs binary, shared boolean")
+    dealt = signed.repartitionById(parts, F.col("part")).select("docs", "sigs", "shared")
     raw = scratch.write(dealt.mapInPandas(_shared, "sig long, doc_id long"), "raw")
     by_rep = raw.join(named.select("doc_id", "rep"), "doc_id").select("sig", "rep").distinct()
     shared = scratch.write(by_rep, "shared")
