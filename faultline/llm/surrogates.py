@@ -52,7 +52,8 @@ PHONE = (
 PERSON = (
     _B + r"(?=[\p{Lu}г])(?:" + _TITLES + r"\.?[ ]" + _WORD + r"(?:[ ]" + _WORD + r"){0,2}|" + _GIVEN + r"[ ]" + _WORD + r")"
 )
-ALL = "|".join([EMAIL, SECRET, AWS, IPV6, IPV4, CARD, SSN, IBAN, PHONE, PERSON])
+#: No entity starts within a word, so most places are left after one look back.
+ALL = _B + "(?:" + "|".join([EMAIL, SECRET, AWS, IPV6, IPV4, CARD, SSN, IBAN, PHONE, PERSON]) + ")"
 
 _HEX, _CONSONANTS = "0123456789abcdef", "bcdfghjklmnpqrst"
 _LATIN = (["b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "br", "st"], ["a", "e", "i", "o"])
@@ -227,25 +228,25 @@ def replaced(e: Column, again: Column, key: str) -> Column:
         n = F.coalesce(F.try_element_at(again, F.concat_ws("|", kind, canon)), F.lit(0))
         return surrogate(kind, canon, n, key)
 
-    def of(kind: Column) -> Column:
-        s = made(kind, _canon(kind, e))
-        value = _secret_value(e)
+    def name(x: Column) -> Column:
+        up = (F.upper(x["token"]) == x["token"]) & (F.length(x["token"]) > 1)
+        return _let(made(x["kind"], F.lower(x["token"])), lambda out: F.when(up, F.upper(out)).otherwise(F.initcap(out)))
 
-        def name(x: Column) -> Column:
-            out = made(x["kind"], F.lower(x["token"]))
-            up = (F.upper(x["token"]) == x["token"]) & (F.length(x["token"]) > 1)
-            return F.when(up, F.upper(out)).otherwise(F.initcap(out))
-
-        person = F.concat(_title(e), F.array_join(F.transform(_name_kinds(e), name), " "))
+    def shown(kind: Column, s: Column) -> Column:
+        value = _secret_value(e)
         return (
-            F.when(kind == "person", person)
-            .when(kind == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), s))
+            F.when(kind == "secret", F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(value)), s))
             .when(kind == "email", F.when(F.upper(e) == e, F.upper(s)).otherwise(s))
             .when(kind.isin("card", "phone", "ssn"), _refill(e, s, "[0-9]"))
             .when(kind == "iban", _refill(e, s, "[0-9A-Z]"))
             .otherwise(s)
         )
 
+    def of(kind: Column) -> Column:
+        person = F.concat(_title(e), F.array_join(F.transform(_name_kinds(e), name), " "))
+        other = _let(_canon(kind, e), lambda canon: _let(made(kind, canon), lambda s: shown(kind, s)))
+        return F.when(kind == "person", person).otherwise(other)
+
     return _let(kind_of(e), of)
 
 
