@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ship
+from faultline.llm.common import Scratch, ship
 
 #: Hash buckets of features.
 BITS = 22
@@ -66,7 +66,7 @@ class Model:
             for w in words(text):
                 f = seen.get(w)
                 if f is None:
-                    if len(seen) > 500_000:
+                    if len(seen) > 150_000:
                         seen.clear()
                     seen[w] = f = tuple(x for x in features(w) if x in weights)
                 if f:
@@ -76,37 +76,31 @@ class Model:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.3) -> Model:
+def fit(use: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.3) -> Model:
     """Trains by full-batch steps (Adam) on the non-negative risk with logistic loss.
 
-    Without positives or without unlabelled texts every text gets the prior.
+    ``use`` are the sorted features, the texts are arrays of those that they
+    have.  Without positives or without unlabelled texts every text gets the prior.
     """
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
         return Model({}, bias)
-    size = 1 << BITS
-    fp = np.bincount(np.concatenate(positive), minlength=size) / len(positive)
-    fu = np.bincount(np.concatenate(unlabelled), minlength=size) / len(unlabelled)
-    use = np.flatnonzero((fp >= LEAST_SHARE) & (fp * len(positive) >= 3) & (fp >= LEAST_LIFT * fu))
-    where = np.full(size, -1)
-    where[use] = np.arange(len(use))
-
     def matrix(rows):
         x = np.zeros((len(rows), len(use)), np.float32)
         for i, r in enumerate(rows):
-            at = where[r]
-            x[i, at[at >= 0]] = 1
+            x[i, np.searchsorted(use, r)] = 1
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
     w, m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     w[-1] = bias
     for t in range(1, rounds + 1):
-        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        v32 = w[:-1].astype(np.float32)
+        zp, zu = (xp @ v32).astype(np.float64) + w[-1], (xu @ v32).astype(np.float64) + w[-1]
         sp, su = _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
 
         def slope(p, u):
-            return np.append(xp.T @ p + xu.T @ u, p.sum() + u.sum())
+            return np.append(xp.T @ p.astype(np.float32) + xu.T @ u.astype(np.float32), p.sum() + u.sum())
 
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g = slope(-prior * sp, su)
@@ -119,7 +113,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     """Fits on bounded samples of the labelled rows for which ``held_out`` is false."""
-    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
@@ -135,12 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     def reduce(batches):
         for b in batches:
             bags = ({f for w in words(t) for f in features(w)} for t in b["text"])
-            yield pd.DataFrame({"p": b["p"], "u": b["u"], "ids": [np.array(sorted(x), np.int32).tobytes() for x in bags]})
-
-    got = rows.select("p", "u", "text").mapInPandas(reduce, "p int, u int, ids binary").collect()
-    bags = sorted((r["ids"], r["p"], r["u"]) for r in got)
-    take = lambda k: [np.frombuffer(x[0], np.int32) for x in bags if x[k]]
-    return fit(take(1), take(2), prior)
+            yield pd.DataFrame({"p": b["p"], "u": b["u"], "ids": [np.array(sorted(x), np.int32) for x in bags]})
+
+    bags = scratch.write(rows.select("p", "u", "text").mapInPandas(reduce, "p int, u int, ids array<int>"), "bags")
+    np_, nu = bags.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
+    if not np_ or not nu:
+        return fit(np.empty(0, np.int64), [], [], prior)
+    share = bags.select("p", "u", F.explode("ids").alias("id")).groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    useful = (F.col("p") >= max(3, LEAST_SHARE * np_)) & (F.col("p") / np_ >= LEAST_LIFT * F.col("u") / nu)
+    # a text of the sample has each at most once: few thousand features
+    use = sorted(r["id"] for r in share.where(useful).select("id").collect())
+    kept = bags.select("p", "u", F.sort_array(F.array_intersect("ids", F.lit(use).cast("array<int>"))).alias("ids")).collect()
+    texts = sorted((r["ids"], r["p"], r["u"]) for r in kept)
+    take = lambda k: [np.array(x[0], np.int64) for x in texts if x[k]]
+    return fit(np.array(use, np.int64), take(1), take(2), prior)
 
 
 def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
