@@ -97,8 +97,7 @@ def by_rules(url):
     return host, path, rule, verdict
 
 
-@pytest.mark.parametrize("most_bits", [1 << 29, 40])
-def test_url_rules(spark, most_bits):
+def test_url_rules_in_slices(spark):
     from faultline.llm.url_cascade import judge
 
     rng = random.Random(0)
@@ -106,7 +105,7 @@ def test_url_rules(spark, most_bits):
     urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en', '/en/x', '/de/', '/fr/1'])}{rng.choice(['', '?a=/en/', '#t', '?u=http://x.net/'])}" for _ in range(400)]
     urls += [None, "", "no scheme", "://", "://net/", "http://" + "a." * 5000 + "net/" + "x" * 50_000, urls[0]]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
-    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(df, RULES, most_bits=most_bits).collect()}
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(df, RULES, most_bits=40).collect()}
     assert out == {i: by_rules(u) for i, u in enumerate(urls)}
     assert judge(df.limit(0), RULES).count() == 0 and judge(df, []).where("verdict <> 'allow' or rule is not null").count() == 0
 
@@ -115,7 +114,7 @@ def test_cascade_is_exact(spark):
     from faultline.llm.common import Scratch
     from faultline.llm.url_cascade import build
 
-    keys = spark.range(5000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), "id").cache()
+    keys = spark.range(900).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), "id").cache()
     cascade = build(Scratch(spark, "test"), keys.where("id % 7 = 0"), keys.where("id % 7 <> 0"), "t")
     rows = keys.toPandas()
     assert (cascade.contains(rows["h1"].to_numpy(), rows["h2"].to_numpy()) == (rows["id"] % 7 == 0).to_numpy()).all()
