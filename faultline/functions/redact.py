@@ -8,8 +8,9 @@ pieces back together::
     out   = parts[0] || array_join(zip_with(ms, slice(parts, 2, size(ms)),
                                             (m, p) -> f(m) || p), '')
 
-Everything runs inside whole-stage codegen.  A cheap ``rlike`` guard skips
-the split/extract work for texts without a match.  Word boundaries are
+Everything runs in the JVM; the array lambdas are interpreted, outside the
+generated stage code (``tag_redact`` alone is inside).  A cheap ``rlike`` guard
+skips the split/extract work for texts without a match.  Word boundaries are
 written as ASCII look-arounds because Java's ``\\b`` treats accented letters
 as word characters.
 """

@@ -171,6 +171,11 @@ def require_one(df: DataFrame, what: str = "row") -> DataFrame:
     return df
 
 
+def by_id_or_fail(df: DataFrame, ident, what: str = "row") -> DataFrame:
+    """The row with the id; ``LookupError`` if there is none."""
+    return require_one(by_id(df, ident), f"{what} {ident}")
+
+
 def by_ids(df: DataFrame, ids) -> DataFrame:
     """Rows whose id is in ``ids``: a list literal or a DataFrame of ``id``.
 
@@ -195,7 +200,8 @@ def critical(err: DataFrame, codes=C.CRITICAL_STATUS) -> DataFrame:
 
 
 def critical_recent_unresolved(err: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    return unresolved(recent(err.filter(F.col("status_code") >= 500), as_of, hours))
+    """Unresolved server errors of the last ``hours``, newest first."""
+    return newest_first(unresolved(recent(err.filter(F.col("status_code") >= 500), as_of, hours)))
 
 
 def recoverable_request(method: Column, message: Column, status: Column) -> Column:

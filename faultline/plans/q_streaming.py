@@ -1,5 +1,5 @@
 """Registered streaming jobs (X1, X2, X6, X7), run with ``availableNow`` and
-read back from their shared-folder sinks.  Checked rows-only by the driver;
+read back from their shared-folder sinks.  Each has a DuckDB twin;
 ``tests/test_streaming.py`` checks stream == batch."""
 
 from __future__ import annotations

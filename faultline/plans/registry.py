@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
     ``sql`` is the DuckDB twin over the driver views; ``None`` marks an
-    operator that is checked rows-only (state machines over streams etc.).
+    operator that SQL cannot express, which is checked rows-only.
     """
 
     def deco(fn: QueryFn) -> QueryFn:

@@ -100,3 +100,12 @@ def test_a_struct_key_masks_null_leaves(spark):
 
     df = spark.createDataFrame([((None, "x"),)], "v struct<password:string,note:string>")
     assert df.select(mask_nested(F.col("v"), df.schema["v"].dataType).alias("v")).first().v.password is not None
+
+
+def test_a_missing_id_is_an_error(spark):
+    from faultline.operators.filters import by_id_or_fail
+
+    rows = spark.range(3)
+    assert by_id_or_fail(rows, 2).count() == 1
+    with pytest.raises(LookupError):
+        by_id_or_fail(rows, 7)
