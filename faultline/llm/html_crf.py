@@ -282,13 +282,13 @@ def laid_out(texts: list[str], rng: random.Random) -> tuple[str, list[int]]:
         if kind == "footer":
             mark = rng.choice(["&copy; ", "&#169; ", ""])
             return f"<{tag}{name}>{mark}{say(2, 20, 0)}</{tag}>"
-        if tag == "p":
-            return f"<p{name}>{say(4, 30, 0)}</p>"
+        if tag == "p" or rng.random() < 0.3:
+            return f"<{tag}{name}>{say(4, 30, 0)}</{tag}>"
         inner = "".join(
             rng.choice([lambda: f"<p>{say(4, 40, 0)}</p>", lambda: f"<h4>{say(1, 6, 0)}</h4>", lambda: f"<div>{link(2, 8)}</div>"])()
             for _ in range(rng.randint(1, 4))
         )
-        return f"<{tag}{name}>{inner}</{tag}>" if rng.random() < 0.6 else f"<{tag}{name}>{say(3, 25, 0)}</{tag}>" if not inner else f"<{tag}{name}>{inner}</{tag}>"
+        return f"<{tag}{name}>{inner}</{tag}>"
 
     def some(kinds: str, p: float) -> str:
         return "".join(around(k) for k in kinds.split() if rng.random() < p)
