@@ -54,8 +54,10 @@ def keys_of(host: Column, path: Column, labels: list[int], lengths: list[int]) -
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, hashes: int, bits: int) -> np.ndarray:
     """Bit numbers of keys, a row a key; every level uses other bits."""
-    a, b = h1.view(np.uint64) ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1), h2.view(np.uint64) | np.uint64(1)
-    a = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    a, b = h1.view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1), h2.view(np.uint64) | np.uint64(1)
+    a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    a = a ^ (a >> np.uint64(31))
     i = np.arange(hashes, dtype=np.uint64)
     return ((a[:, None] + i * b[:, None]) % np.uint64(bits)).astype(np.int64)
 
