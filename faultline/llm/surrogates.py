@@ -7,6 +7,7 @@ e-mail addresses, numbers and secrets their format; a card number that passes
 the Luhn check still does.  Surrogates are compared with one another and with
 all entities of the tables: of those that meet, all but one are drawn again,
 until different entities have different surrogates and none is a real entity.
+Draws that keep failing come from a wider space, so a free one is always found.
 """
 
 from __future__ import annotations
@@ -55,6 +56,10 @@ PERSON = (
 #: No entity starts within a word, so most places are left after one look back.
 ALL = _B + "(?:" + "|".join([EMAIL, SECRET, AWS, IPV6, IPV4, CARD, SSN, IBAN, PHONE, PERSON]) + ")"
 
+#: Attempts after which local parts of e-mail addresses and secrets get longer, by a letter an attempt, and after which
+#: numbers of a fixed length get letters in the places of digits, addresses all their digits.
+LONGER, LETTERS = 4, 8
+
 _HEX, _CONSONANTS = "0123456789abcdef", "bcdfghjklmnpqrst"
 _LATIN = (["b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "br", "st"], ["a", "e", "i", "o"])
 _CYRILLIC = (["б", "д", "ф", "г", "х", "к", "л", "м", "н", "п", "р", "с", "т", "в", "бр", "ст"], ["а", "е", "и", "о"])
@@ -76,7 +81,7 @@ def kind_of(e: Column) -> Column:
 
 
 def _secret_value(e: Column) -> Column:
-    return F.regexp_extract(e, r"^[^=:]*[=:][ ]?[\"']?(.*)$", 1)
+    return F.regexp_extract(e, r"(?s)^[^=:]*[=:][ ]?[\"']?(.*)$", 1)
 
 
 def _canon(kind: Column, e: Column) -> Column:
@@ -188,7 +193,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
         top = F.regexp_extract(canon, r"\.(com|net|org)$", 0)
         host = F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256), 1, 12), _HEX, _CONSONANTS)
-        email = F.concat(_shape(local, k), F.lit("@"), host, F.lit(".example"), F.when(top == "", ".com").otherwise(top))
+        # letters that a value gets besides its own; one without letters and digits is made up, as its shape says nothing
+        more = F.translate(F.substring(F.reverse(k), F.lit(1), F.greatest(attempt - LONGER + 1, F.lit(0))), _HEX, _CONSONANTS)
+        made_up = lambda s: F.translate(F.substring(k, F.lit(1), F.least(F.greatest(F.length(s), F.lit(12)), F.lit(32))), _HEX, _CONSONANTS)
+        longer = lambda s: F.concat(F.when(s.rlike(r"[0-9\p{L}]"), _shape(s, k)).otherwise(made_up(s)), more)
+        email = F.concat(longer(local), F.lit("@"), host, F.lit(".example"), F.when(top == "", ".com").otherwise(top))
         octet = lambda i: (F.conv(F.substring(k, 2 * i + 1, 2), 16, 10).cast("int") % 254 + 1).cast("string")
         ipv6 = _chars(canon, lambda c, i: F.when(c == ":", c).otherwise(_at(k, i)))
         body = F.concat(F.substring(canon, 1, 1), F.substring(_shape(canon, k), F.lit(2), F.length(canon) - 2))
@@ -196,15 +205,25 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         card = F.concat(body, F.coalesce(check, F.translate(F.substring(k, 64, 1), "abcdef", "012345")))
         keep4, rest = F.substring(canon, 1, 4), F.substring(canon, 5, 1 << 20)
         country = F.concat(F.substring(canon, 1, 2), _shape(F.substring(canon, 3, 1 << 20), k))
+        lettered = _chars(canon, lambda c, i: F.upper(F.translate(_at(k, i), _HEX, _CONSONANTS)))
+        kept = F.when(kind == "aws", 4).when(kind == "iban", 2).otherwise(0)
+        group = lambda i: F.substring(k, 4 * i + 1, 4)
+        wide, address = attempt >= LETTERS, kind.isin("ipv4", "ipv6")
         return (
             F.when(kind == "email", email)
+            .when(wide & address, F.concat(F.lit("2001:db8:"), F.concat_ws(":", *[group(i) for i in range(6)])))
+            .when(
+                wide & kind.isin("card", "aws", "iban", "phone", "ssn"),
+                F.concat(F.substring(canon, F.lit(1), kept), F.substring(lettered, kept + 1, F.length(canon))),
+            )
             .when(kind == "ipv4", F.concat_ws(".", *[octet(i) for i in range(4)]))
             .when(kind == "ipv6", ipv6)
             .when(kind == "card", card)
             .when(kind == "aws", F.concat(keep4, _shape(rest, k)))
             .when(kind == "iban", country)
-            .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _chars(canon, lambda c, i: _at(k, i)))
-            .when(kind.isin("phone", "ssn", "secret"), _shape(canon, k))
+            .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.concat(_chars(canon, lambda c, i: _at(k, i)), more))
+            .when(kind == "secret", longer(canon))
+            .when(kind.isin("phone", "ssn"), _shape(canon, k))
             .otherwise(_name(kind, canon, k, attempt))
         )
 
@@ -285,7 +304,10 @@ def replace_private(
     A null text stays null with 0 entities; an empty or long text is treated
     whole; documents without an entity come back unchanged; repeated rows are
     treated alike; an empty table gives an empty result; other columns are kept,
-    but for one named as ``count_col``, which is replaced.
+    but for one named as ``count_col``, which is replaced.  A secret without
+    letters or digits gets a made-up one.  After ``LONGER`` failed draws
+    surrogates of e-mail addresses and secrets are longer than what they stand
+    for; after ``LETTERS``, numbers hold letters and IPv4 addresses become IPv6.
     """
     scratch = Scratch(docs.sparkSession, "surrogates")
     found = F.regexp_extract_all(F.col(text), F.lit(ALL), F.lit(0))
