@@ -250,6 +250,84 @@ def test_suffix_tree_states_are_distributions(spark):
         assert math.isclose(mass.sum() + unknown, 1, rel_tol=1e-9)
 
 
+def _suffix_tree(texts, depth=None):
+    """States and pairs of every length by a plain count: {context: (passed, {word: probability})}."""
+    seqs = [[b"", *words(t), b""] for t in texts]
+    seen = Counter(w for s in seqs for w in s[1:])
+    total = sum(seen.values())
+    price = 0.5 * math.log(max(total, 2))
+    tree, d = {}, 0
+
+    def prob(c, w):
+        if not c:
+            return (seen[w] + 1) / (total + len(seen) + 1)
+        passed, own = tree[c]
+        return own[w] if w in own else passed * prob(c[1:], w)
+
+    while depth is None or d < depth:
+        d += 1
+        after = {}
+        for s in seqs:
+            for i in range(max(d, 1), len(s)):
+                c = tuple(s[i - d : i])
+                if d == 1 or c[1:] in tree:
+                    after.setdefault(c, Counter())[s[i]] += 1
+        new = {}
+        for c, n in after.items():
+            size = sum(n.values())
+            gain = {w: k * (math.log(k / size) - math.log(prob(c[1:], w))) for w, k in n.items() if k >= 2}
+            took = {w: g for w, g in gain.items() if g > price}
+            if sum(g - price for g in took.values()) > price:
+                passed = 1 - sum(n[w] - 0.75 for w in took) / size
+                new[c] = passed, {w: (n[w] - 0.75) / size + passed * prob(c[1:], w) for w in took}
+        if not new:
+            return tree, prob
+        tree |= new
+    return tree, prob
+
+
+def test_suffix_tree_of_any_depth(spark):
+    from faultline.llm.suffix_lm import lm_scores
+
+    rng = np.random.default_rng(9)
+    # a rare context among many words, and words that up to four words before them tell
+    texts = [" ".join(f"w{x}" for x in rng.integers(400, size=60)) for _ in range(400)]
+    texts += ["rare couple"] * 6 + ["k z a", "k y z b", "k x y z c", "p x y z d"] * 40
+    held = ["a rare couple", "p x y z d k x y z d", "w1 w2 p x y z c"]
+    df = spark.createDataFrame(list(enumerate(texts + held)), "doc_id long, text string")
+    out = {r.doc_id: r for r in lm_scores(df, F.col("doc_id") >= len(texts)).collect()}
+    tree, prob = _suffix_tree(texts)
+    assert max(map(len, tree)) >= 4 and (b"rare",) in tree
+    for i, t in enumerate(texts + held):
+        if i % 40 and i < len(texts):
+            continue
+        s, score = [b"", *words(t), b""], 0
+        for j in range(1, len(s)):
+            d = 0
+            while d < j and tuple(s[j - d - 1 : j]) in tree:
+                d += 1
+            score += math.log10(prob(tuple(s[j - d : j]), s[j]))
+        assert math.isclose(out[i].score, score, rel_tol=1e-9), t
+
+
+def test_suffix_tree_gathers_more_from_more(spark, monkeypatch):
+    import faultline.llm.suffix_lm as S
+    from faultline.llm.common import Scratch
+
+    # pairs used 3 times each: as many again in twice the text; a full filter and other chunks change nothing
+    def texts(n):
+        return spark.createDataFrame([(f"a{i} b{i}",) for i in range(n)] * 3, "text string")
+
+    small_, large = (S.train(Scratch(spark, "test"), texts(n))[1] for n in (1000, 4000))
+    assert large.pairs.count() >= 3.9 * small_.pairs.count() >= 3.9 * 1000
+    docs = texts(300).withColumn("doc_id", F.monotonically_increasing_id())
+    held = F.col("doc_id") % 5 == 0
+    whole = {r.doc_id: r.score for r in S.lm_scores(docs, held).collect()}
+    monkeypatch.setattr(S, "filter_of", lambda *_: np.full(S.BITS // 64, ~np.uint64(0)))
+    docs = spark.createDataFrame(docs.toPandas()).repartition(13)
+    assert whole == pytest.approx({r.doc_id: r.score for r in S.lm_scores(docs, held).collect()}, rel=1e-9)
+
+
 # ---- personal data -------------------------------------------------------------------
 
 
