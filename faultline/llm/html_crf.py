@@ -49,6 +49,8 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _END = {t: re.compile(rf"</{t}\b", re.I) for t in SKIP}
+#: Of these, all up to the end of the page belongs to one that is not closed; of the others, nothing.
+RAW = set("script style textarea title".split())
 
 
 class Block:
@@ -64,6 +66,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, list[str]]] = []
     run: list[str] = []
     linked, pos = 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -111,8 +114,13 @@ def blocks(page: str | None) -> list[Block]:
                 body = re.compile(r"</head\b|<body\b", re.I).search(page, pos)
                 pos = body.start() if body else pos
             elif not m[3].rstrip(">").endswith("/"):
-                end = _END[tag].search(page, pos)
-                pos = end.start() if end else len(page)
+                end = None if tag in unclosed else _END[tag].search(page, pos)
+                if end:
+                    pos = end.start()
+                elif tag in RAW:
+                    pos = len(page)
+                else:
+                    unclosed.add(tag)
         else:
             if tag in BLOCK:
                 p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
@@ -127,8 +135,7 @@ def blocks(page: str | None) -> list[Block]:
                             break
                 flush()
             names = [w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())] if "=" in m[3] else []
-            if len(stack) < 200:
-                stack.append((tag, names))
+            stack.append((tag, names))
     add(page[pos:])
     flush()
     return out

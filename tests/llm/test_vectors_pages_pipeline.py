@@ -214,3 +214,18 @@ def test_pipeline_stages(spark, sf):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_unclosed_elements_leave_the_rest_of_the_page():
+    from faultline.llm.html_crf import blocks
+
+    for tag in ("noscript", "template", "svg", "math", "iframe", "object", "select"):
+        got = blocks(f"<p>one</p><{tag}><article><p>two</p></article><nav>three</nav>")
+        assert [b.text for b in got] == ["one", "two", "three"], tag
+        assert "article" in got[1].path and "nav" in got[2].path
+        assert [b.text for b in blocks(f"<p>one</p><{tag}>no</{tag}><p>two</p>")] == ["one", "two"]
+    for tag in ("script", "style", "textarea", "title"):
+        assert [b.text for b in blocks(f"<p>one</p><{tag}><p>two</p>")] == ["one"]
+    got = blocks("<div>" + "<span>x " * 300 + "<article><div><p>two</p></div><p>three</p></article><footer>four</footer>")
+    assert [b.text for b in got[1:]] == ["two", "three", "four"]
+    assert "article" in got[1].path and "article" in got[2].path and "footer" in got[3].path and "div" in got[3].path
