@@ -16,6 +16,7 @@ from faultline.llm.html_crf import extract
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
 from faultline.llm.oracle import SQL
+from faultline.llm.packing import pack
 from faultline.llm.pivot_dedup import near_duplicates
 from faultline.llm.suffix_lm import lm_scores
 from faultline.llm.surrogates import replace_private
@@ -85,6 +86,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
+
+
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
