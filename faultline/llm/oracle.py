@@ -79,3 +79,64 @@ rules(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allo
 fit AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS i
   FROM p JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp))
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND i = 1"""
+
+_BIT = "list_reduce(list_prepend({0}, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: CAST(ord(ch) AS BIGINT))), "
+    "lambda acc, ch: " + _BIT.format("xor(acc, ch)") + "), 4294967295)"
+)
+
+
+def _step(state: str, edit: str, cost: str, line: str | None = None) -> str:
+    """The survivor of ``state`` after one more edit, with the line that it adds to the repaired text."""
+    text = f"{state}.r" if line is None else f"CASE WHEN {state}.r IS NULL THEN {line} ELSE {state}.r || chr(10) || {line} END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {text}}}"
+
+
+def _least(*paths: str) -> str:
+    return "list_min([" + ", ".join(paths) + "])"
+
+
+_KEPT = "CASE WHEN gone OR role[1:1] <> '{0}' THEN 1000000 ELSE 3 * cut END"
+_REROLED = "CASE WHEN gone THEN 1000000 ELSE 3 + 3 * cut END"
+_LINE, _USER, _ASSISTANT = "(role || ':' || text)", "('user:' || text)", "('assistant:' || text)"
+_NO = "{'c': 10000000, 'a': '', 'r': CAST(NULL AS VARCHAR)}"
+
+
+def _inserts(a: str, b: str, c: str, d: str) -> str:
+    """The columns s, y, u, w (nothing yet, after s, u, a) with inserted turns."""
+    u = _least(c, *(_step(x, "I", "3", "'user:'") for x in (a, b, d)))
+    return f"{a} AS s, {b} AS y, {u} AS u, {d} AS w"
+
+
+SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE crc AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE k <> 0),
+seen AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt),
+marked AS (SELECT conv_id, turn, role, text, CASE WHEN core = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN core[-1:] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS prev FROM seen),
+turns AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM marked),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND prev[1:1] || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id),
+first AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'r': CAST(NULL AS VARCHAR)}} AS s, {_NO} AS y, {_NO} AS u, {_NO} AS w FROM counts),
+walk AS (
+  SELECT conv_id, i, s, y, u, {_least("w", _step("u", "I", "3", "'assistant:'"))} AS w FROM (SELECT conv_id, i, {_inserts("s", "y", "u", "w")} FROM first)
+  UNION ALL
+  SELECT conv_id, i, s, y, u, {_least("w", _step("u", "I", "3", "'assistant:'"))} AS w FROM (SELECT conv_id, i, {_inserts("s", "y", "u", "w")} FROM (
+    SELECT t.conv_id, t.i, {_step("s", "D", "4")} AS s,
+      {_least(_step("y", "D", "4"), _step("s", "K", _KEPT.format("s"), _LINE))} AS y,
+      {_least(_step("u", "D", "4"), *(_step(x, "K", _KEPT.format("u"), _LINE) for x in "syw"), *(_step(x, "R", _REROLED, _USER) for x in "syw"))} AS u,
+      {_least(_step("w", "D", "4"), _step("u", "K", _KEPT.format("a"), _LINE), _step("u", "R", _REROLED, _ASSISTANT))} AS w
+    FROM walk JOIN turns t ON t.conv_id IS NOT DISTINCT FROM walk.conv_id AND t.i = walk.i + 1))),
+best AS (SELECT c.*, {_least("s", "w")} AS b FROM walk JOIN counts c ON c.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = c.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+  sha256(coalesce(b.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id"""

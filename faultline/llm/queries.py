@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from faultline.llm.bpe import digests, encode_decode
 from faultline.llm.collision_ann import nearest_vectors
 from faultline.llm.common import crc_mod, load
+from faultline.llm.conversations import damage, repairs
+from faultline.llm.conversations import digests as conversation_digests
 from faultline.llm.html_crf import extract
 from faultline.llm.mixing import mix_sources
 from faultline.llm.ngram_join import ngram_components
@@ -91,6 +93,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(repairs(damage(load(spark, sf_dir, "conversations"))))
+
+
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

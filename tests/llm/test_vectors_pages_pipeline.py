@@ -185,7 +185,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as E
 
     names = E.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, sf):
