@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.llm.bitsliced import Index
 from faultline.llm.bpe import digests, encode_decode
 from faultline.llm.collision_ann import nearest_vectors
 from faultline.llm.common import crc_mod, load
@@ -93,6 +94,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
 
 
+@query("op11_bitsliced_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Index(load(spark, sf_dir, "documents")).search(load(spark, sf_dir, "benchmark"), k=10)
+
+
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(repairs(damage(load(spark, sf_dir, "conversations"))))
