@@ -81,6 +81,15 @@ CRITICAL_STATUS = (500, 502)
 # Status-code defaults.
 STATUS_DEFAULT = 500
 STATUS_VALIDATION = 422
+VALIDATION_EXCEPTION = "ValidationException"
+VALIDATION_TITLE = "Validation Failed"
+VALIDATION_ITEM_TITLE = "Validation Error"
+VALIDATION_MESSAGE = "Validation failed"
+
+# GraphQL: metadata members that are not repeated among the extensions.
+GRAPHQL_LIFTED = ("locations", "line", "column", "path")
+# Causes rendered before the chain is cut off.
+CAUSES_DEPTH = 6
 
 # HTTP titles (default "Error").
 STATUS_TITLES = (
@@ -96,10 +105,8 @@ STATUS_TITLES = (
     (504, "Gateway Timeout"),
 )
 
-# Transient classification: case-insensitive words, case-sensitive numbers,
-# and transient status codes.
-TRANSIENT_WORDS = ("timeout", "connection", "network", "temporary", "temporarily")
-TRANSIENT_NUMBERS = ("503", "502", "504", "429")
+# Transient classification: patterns in a message (any case) and status codes.
+TRANSIENT_PATTERNS = ("timeout", "connection", "network", "temporary", "temporarily", "503", "502", "504", "429")
 TRANSIENT_STATUS = (429, 502, 503, 504)
 
 # Recovery suggestions: first keyword contained in the lower-cased message wins.
@@ -228,6 +235,12 @@ class RenderConfig:
     include_error_id: bool = True
     include_timestamp: bool = True
     include_suggestions: bool = True
+    include_error_codes: bool = True
+    include_request_id: bool = True
+    include_user_info: bool = False
     include_debug: bool = False
+    include_trace: bool = False
+    include_exception_chain: bool = False
     hide_message: bool = False
+    type_prefix: str = PROBLEM_TYPE_PREFIX
     redaction: RedactionConfig = field(default_factory=RedactionConfig)

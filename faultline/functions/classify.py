@@ -6,8 +6,6 @@ Each returns a ``Column`` built from ``when`` chains, literal maps and
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def derived_error_code(exception_class: Column) -> Column:
 def error_category(status: Column, exception_class: Column | None = None) -> Column:
     chain = F.when(status == 401, "authentication")
     if exception_class is not None:
-        chain = F.when(class_basename(exception_class) == "ValidationException", "validation").when(status == 401, "authentication")
+        chain = F.when(class_basename(exception_class) == C.VALIDATION_EXCEPTION, "validation").when(status == 401, "authentication")
     return (
         chain.when(status == 403, "authorization")
         .when(status == 404, "not_found")
@@ -75,14 +73,14 @@ def json_pointer(field: Column) -> Column:
     return F.concat(F.lit("/data/attributes/"), F.replace(field, F.lit("."), F.lit("/")))
 
 
-TRANSIENT_REGEX = "(?i)(" + "|".join(C.TRANSIENT_WORDS) + ")"
-TRANSIENT_NUMBER_REGEX = "(" + "|".join(C.TRANSIENT_NUMBERS) + ")"
+#: Digits have no case, so one expression serves words and numbers alike.
+TRANSIENT_REGEX = "(?i)(" + "|".join(C.TRANSIENT_PATTERNS) + ")"
 
 
 def is_transient(message: Column, status: Column) -> Column:
     """Message matches a transient pattern, or status is a transient code."""
     return F.coalesce(
-        message.rlike(TRANSIENT_REGEX) | message.rlike(TRANSIENT_NUMBER_REGEX) | status.isin(list(C.TRANSIENT_STATUS)),
+        message.rlike(TRANSIENT_REGEX) | status.isin(list(C.TRANSIENT_STATUS)),
         F.lit(False),
     )
 
@@ -150,6 +148,12 @@ def normalised_status(status: Column) -> Column:
     return F.when(status.between(400, 599), status).otherwise(F.lit(C.STATUS_DEFAULT))
 
 
+def response_status(status: Column, exception_class: Column) -> Column:
+    """The status of a response: validation exceptions always have their own."""
+    invalid = class_basename(exception_class) == C.VALIDATION_EXCEPTION
+    return F.when(invalid, F.lit(C.STATUS_VALIDATION)).otherwise(normalised_status(status))
+
+
 def accept_format(accept: Column, default: str = "jsend") -> Column:
     a = F.coalesce(accept, F.lit(""))
     return (
@@ -163,6 +167,3 @@ def is_api_request(accept: Column, path: Column) -> Column:
     a = F.coalesce(accept, F.lit(""))
     return a.contains("json") | F.coalesce(path.startswith("api/"), F.lit(False))
 
-
-def any_of(cols) -> Column:
-    return reduce(lambda x, y: x | y, cols)

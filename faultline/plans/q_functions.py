@@ -304,6 +304,7 @@ SELECT id, CAST(i AS INTEGER) AS pos,
   CASE WHEN i % 7 <> 0 THEN CAST(id % 100 + i AS INTEGER) ELSE 0 END AS line,
   'call' || CAST(i AS VARCHAR) AS function,
   CASE WHEN i % 2 = 0 THEN 'App\\Service' END AS class,
+  CASE WHEN i % 4 = 0 THEN '::' WHEN i % 2 = 0 THEN '->' END AS type,
   ['password=***REDACTED***', 'plain'] AS args
 FROM f""",
 )
@@ -314,44 +315,7 @@ def trace_head(spark, sf):
     """The first 10 frames of each stored trace, one row per frame."""
     t = T.traces(spark, sf)
     x = t.select("id", F.posexplode(RN.trace_head(F.col("trace"))).alias("p", "frame"))
-    return x.select("id", (F.col("p") + 1).alias("pos"), "frame.file", "frame.line", "frame.function", "frame.class", "frame.args")
-
-
-def _assemble_sql() -> str:
-    from faultline.plans.q_render import PUBLIC_SQL
-
-    t = _sugg_case(0)
-    return with_(
-        "err",
-        body=f""", pm AS ({PUBLIC_SQL}),
-x AS (SELECT err.*, pm.msg, {t} AS stype, {_sugg_case(2)} AS actions,
-    coalesce(error_code, {derived_sql('exception_class')}) AS code FROM err JOIN pm ON pm.id = err.id)
-SELECT id, error_id, exception_class, code AS error_code, msg AS message,
-  CASE WHEN status_code BETWEEN 400 AND 599 THEN status_code ELSE 500 END AS status_code,
-  MAP {{'file': '/app/src/frame_1', 'line': CAST(id % 100 + 1 AS VARCHAR), 'request_url': request_url,
-    'request_method': request_method}} AS context,
-  CASE WHEN id % 5 >= 2 THEN MAP {{'suggestion_type': stype}}
-    WHEN id % 10 = 0 THEN MAP {{'user_id': coalesce(user_id, 'guest'), 'request_id': 'req-' || CAST(id AS VARCHAR),
-      'api_token': 'tok-' || CAST(id AS VARCHAR), 'suggestion_type': stype}}
-    ELSE MAP {{'user_id': coalesce(user_id, 'guest'), 'request_id': 'req-' || CAST(id AS VARCHAR), 'suggestion_type': stype}} END AS meta,
-  actions AS suggestions, 'https://api.example.com/errors/' || lower(replace(code, '_', '-')) AS documentation,
-  CAST(least(occurrence_count + 4, 10) AS INTEGER) AS trace_frames
-FROM x""",
-    )
-
-
-@query("assemble_error_records", _assemble_sql())
-def assemble_error_records(spark, sf):
-    """Assembled error records, one column per record field (the trace head
-    is the ``trace_head`` query; here only its frame count)."""
-    r = RN.assemble_error_records(_err(spark, sf), T.traces(spark, sf))
-    rec = F.col("record")
-    return r.select(
-        "id",
-        *[rec.getField(c).alias(c) for c in ("error_id", "exception_class", "error_code", "message", "status_code", "context", "meta", "suggestions")],
-        rec.getField("links").getField("documentation").alias("documentation"),
-        F.size(rec.getField("trace")).alias("trace_frames"),
-    )
+    return x.select("id", (F.col("p") + 1).alias("pos"), "frame.file", "frame.line", "frame.function", "frame.class", "frame.type", "frame.args")
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultline import config as C
 
+from faultline.functions import jsontext as J
 from faultline.functions import nested as N
 from faultline.functions import redact as RD
 from faultline.plans.registry import query
@@ -308,3 +309,45 @@ def meta_merge(spark, sf):
     base = F.create_map(F.lit("request_id"), F.concat(F.lit("req-"), F.col("id").cast("string")), F.lit("source"), F.lit("api"))
     extra = F.create_map(F.lit("source"), F.lit("worker"), F.lit("accept"), F.element_at(F.col("headers")["Accept"], 1))
     return h.select("id", N.merge_meta(base, extra).alias("meta"))
+
+
+# ---- JSON text of unknown depth ---------------------------------------------------
+
+JSON_ROWS = "rows AS (SELECT event_id AS id, user_id AS uid, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)"
+
+
+def _json_sql(token: str, password: str, ssn: str, mail: str, detail: str, ip: str, secret: str, plain: str) -> str:
+    """The payloads shape by shape, with SQL for each of the places that a rule may rewrite."""
+    return f"""WITH {JSON_ROWS} SELECT id, CASE id % 8
+  WHEN 1 THEN '{{"user_id":' || uid || ',"api_token":"' || {token} || '","nested":{{"password":"' || {password} || '","deep":[{{"ssn":' || {ssn} || ',"ok":[1,2.5,"' || {mail} || '"]}}]}}}}'
+  WHEN 2 THEN '{{"line":"' || k || '","column":' || (id % 80) || ',"path":["user",0,"email"],"customField":"custom value","count":42}}'
+  WHEN 3 THEN '{{"locations":[{{"line":' || k || ',"column":2}}],"code":"META_CODE","category":"meta","type":"meta-type","title":"Meta title","status":418,"detail":"password=' || {detail} || '"}}'
+  WHEN 4 THEN '{{"timestamp":"meta time","error_id":"meta id","suggestion":"meta suggestion","instance":"meta instance","help":false,"documentation":null}}'
+  WHEN 5 THEN '{{}}'
+  WHEN 6 THEN '{{"note":"from ' || {ip} || ' \\"quoted\\" \\\\ é","Secret-Key":' || {secret} || ',"path":"no list","locations":"none","line":7}}'
+  WHEN 7 THEN {plain} END AS payload FROM rows"""
+
+
+_MAIL, _STARRED = "'u' || uid || '@example.com'", "'u' || repeat('*', least(length(CAST(uid AS VARCHAR)), 5)) || '@example.com'"
+_IP, _TOKEN, _PW = "'192.168.1.' || (k % 100)", "'tok-' || id", "'pw' || k"
+_QUOTED = f"""'"{C.MASK_STRING}"'"""
+JSON_SQL = {
+    "mask_json_text": _json_sql(M, M, _QUOTED, _MAIL, M, _IP, _QUOTED, f"'token={C.MASK_STRING} of ' || {_MAIL}"),
+    "redact_json_text": _json_sql(_TOKEN, _PW, "k", _STARRED, _PW, "'192.*.*.*'", "'null'", f"'token=tok' || k || ' of ' || {_STARRED}"),
+    "secure_json_text": _json_sql(M, M, _QUOTED, _STARRED, M, "'192.*.*.*'", _QUOTED, f"'token={C.MASK_STRING} of ' || {_STARRED}"),
+    "sanitize_json_context": _json_sql(M, M, "k", _MAIL, _PW, _IP, "'null'", f"'token=tok' || k || ' of ' || {_MAIL}"),
+    "sanitize_request_json": _json_sql(_TOKEN, f"'{C.KEY_REDACTED}'", "k", _MAIL, _PW, _IP, "'null'", f"'token=tok' || k || ' of ' || {_MAIL}"),
+}
+
+
+def _json_query(name: str, fn) -> None:
+    @query(name, JSON_SQL[name])
+    def run(spark, sf):
+        return T.json_payloads(spark, sf).select("id", fn(F.col("payload")).alias("payload"))
+
+
+_json_query("mask_json_text", J.mask_json)
+_json_query("redact_json_text", J.redact_json)
+_json_query("secure_json_text", J.secure_json)
+_json_query("sanitize_json_context", J.sanitize_json)
+_json_query("sanitize_request_json", J.sanitize_request_json)

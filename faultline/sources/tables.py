@@ -62,12 +62,13 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors_from_events(read(spark, sf_dir, "events"))
 
 
-def errors_from_events(e: DataFrame) -> DataFrame:
-    """The errors adapter over an events frame (batch or streaming)."""
+def errors_from_events(e: DataFrame, *keep: str) -> DataFrame:
+    """The errors adapter over an events frame (batch or streaming); columns named in ``keep`` stay."""
     k = F.get_json_object("props", "$.k").cast("int")
-    x = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
+    x = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"), *keep)
     kk = F.col("k")
     return x.select(
+        *keep,
         F.col("event_id").alias("id"),
         F.concat(F.lit("err_"), "event_type", F.lit("_"), kk.cast("string")).alias("error_id"),
         pick(EXCEPTION_CLASSES, kk % 6 + 1).alias("exception_class"),
@@ -243,30 +244,84 @@ VALIDATION_MESSAGES_A = ("This field is required.", "Must be a valid email addre
 VALIDATION_MESSAGES_B = ("Is too long.", "Must be a valid email address.", "Has already been taken.")
 
 
-def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """field -> messages maps for the 422 error rows."""
-    x = _events_k(spark, sf_dir).filter(F.col("k") % 9 == 4)
-    k = F.col("k")
-    fields = F.create_map(
+def _validation_map(k: Column, uid: Column) -> Column:
+    return F.create_map(
         pick(VALIDATION_FIELDS_A, k % 4 + 1),
         F.array(pick(VALIDATION_MESSAGES_A, k % 5 + 1), pick(VALIDATION_MESSAGES_B, k % 3 + 1)),
-        pick(VALIDATION_FIELDS_B, F.col("user_id") % 4 + 1),
+        pick(VALIDATION_FIELDS_B, uid % 4 + 1),
         F.array(pick(VALIDATION_MESSAGES_A, (k + 2) % 5 + 1)),
     )
-    return x.select(F.col("event_id").alias("id"), fields.alias("errors"))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored stack traces: one frame array per error row."""
-    e = errors(spark, sf_dir).select("id", "occurrence_count")
-    frames = F.transform(
-        F.sequence(F.lit(1), F.col("occurrence_count") + 4),
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field -> messages maps for the 422 error rows."""
+    x = _events_k(spark, sf_dir).filter(F.col("k") % 9 == 4)
+    return x.select(F.col("event_id").alias("id"), _validation_map(F.col("k"), F.col("user_id")).alias("errors"))
+
+
+def _text(*parts) -> Column:
+    """Literals and columns as one string."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON text of mixed types and depths, one per event (every eighth is null, some are no documents)."""
+    x = _events_k(spark, sf_dir)
+    return x.select(F.col("event_id").alias("id"), meta_text(F.col("event_id"), F.col("user_id"), F.col("k")).alias("payload"))
+
+
+def meta_text(eid: Column, uid: Column, k: Column) -> Column:
+    """Metadata of an error as JSON text: nested secrets, keys that collide with those of a body, GraphQL places, odd types."""
+    shape = eid % 8
+    return (
+        F.when(shape == 1, _text('{"user_id":', uid, ',"api_token":"tok-', eid, '","nested":{"password":"pw', k,
+                                 '","deep":[{"ssn":', k, ',"ok":[1,2.5,"u', uid, '@example.com"]}]}}'))
+        .when(shape == 2, _text('{"line":"', k, '","column":', eid % 80, ',"path":["user",0,"email"],"customField":"custom value","count":42}'))
+        .when(shape == 3, _text('{"locations":[{"line":', k, ',"column":2}],"code":"META_CODE","category":"meta","type":"meta-type",'
+                                '"title":"Meta title","status":418,"detail":"password=pw', k, '"}'))
+        .when(shape == 4, F.lit('{"timestamp":"meta time","error_id":"meta id","suggestion":"meta suggestion","instance":"meta instance",'
+                                '"help":false,"documentation":null}'))
+        .when(shape == 5, F.lit("{}"))
+        .when(shape == 6, _text('{"note":"from 192.168.1.', k % 100, ' \\"quoted\\" \\\\ é","Secret-Key":null,"path":"no list","locations":"none","line":7}'))
+        .when(shape == 7, _text("token=tok", k, " of u", uid, "@example.com"))
+    )
+
+
+def error_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors with what their responses are made of: meta, suggestion, link, validation messages, place and trace."""
+    e = read(spark, sf_dir, "events").withColumns({"__uid": F.col("user_id"), "__k": F.get_json_object("props", "$.k").cast("int")})
+    x = errors_from_events(e, "__uid", "__k")
+    k, uid, eid, message = F.col("__k"), F.col("__uid"), F.col("id"), F.col("message")
+    named = F.concat(message, _text(" for u", uid, "@example.com password=pw", k))
+    return x.withColumns({
+        "message": F.when(eid % 7 == 0, named).when(eid % 11 == 0, "").otherwise(message),
+        "meta": F.when(eid % 8 < 7, meta_text(eid, uid, k)),
+        "suggestion": F.when(k % 4 == 1, _text("Ask u", uid, "@example.com, then retry")).when(k % 4 == 2, "Retry later").when(k % 4 == 3, ""),
+        "link": F.when(k % 3 == 0, _text("https://docs.example.test/errors/", k)),
+        "validation": F.when((k % 6 == 0) & (eid % 10 > 0), _validation_map(k, uid)),
+        "file": _text("/app/src/file_", k, ".php"),
+        "line": k,
+        "context": F.when(eid % 3 == 0, _text('{"line":"', eid, '","tenant":{"id":', uid, "}}")),
+        "suggestions": F.when(eid % 4 == 0, F.array(F.lit("Retry"), F.lit("Ask support"))),
+        "trace": trace_column(eid, F.col("occurrence_count")),
+    }).drop("__uid", "__k")
+
+
+def trace_column(eid: Column, occurrences: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(1), occurrences + 4),
         lambda i: F.struct(
             F.when(i % 5 != 0, F.concat(F.lit("/app/src/frame_"), i.cast("string"))).alias("file"),
-            F.when(i % 7 != 0, (F.col("id") % 100 + i).cast("int")).alias("line"),
+            F.when(i % 7 != 0, (eid % 100 + i).cast("int")).alias("line"),
             F.concat(F.lit("call"), i.cast("string")).alias("function"),
             F.when(i % 2 == 0, F.lit("App\\Service")).alias("class"),
-            F.array(F.concat(F.lit("password="), F.col("id").cast("string")), F.lit("plain")).alias("args"),
+            F.when(i % 2 == 0, F.when(i % 4 == 0, F.lit("::")).otherwise(F.lit("->"))).alias("type"),
+            F.array(F.concat(F.lit("password="), eid.cast("string")), F.lit("plain")).alias("args"),
         ),
     )
-    return e.select("id", frames.alias("trace"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored stack traces: one frame array per error row."""
+    e = errors(spark, sf_dir)
+    return e.select("id", trace_column(F.col("id"), F.col("occurrence_count")).alias("trace"))

@@ -186,19 +186,6 @@ def test_transient(spark, message):
     assert df.select(CL.is_transient(F.col("m"), F.lit(500)).alias("t")).first().t
 
 
-def test_renderers_not_found(spark):
-    e = _err(spark, [{}])
-    bodies = {f: RN.render(e, f).first().body for f in ("jsend", "rfc7807", "jsonapi", "graphql")}
-    assert '"status":"fail"' in bodies["jsend"]
-    assert '"status":404' in bodies["rfc7807"] and '"title":"Not Found"' in bodies["rfc7807"]
-    assert '"status":"404"' in bodies["jsonapi"]
-    assert bodies["graphql"].endswith(',"data":null}') and '"category":"not_found"' in bodies["graphql"]
-    import json
-
-    for b in bodies.values():
-        json.loads(b)
-
-
 def test_validation_fanout(spark):
     v = spark.createDataFrame([(1, {"email": ["The email is required.", "Must be a valid email."], "age": ["Must be numeric."]})],
                               "id long, errors map<string,array<string>>")
