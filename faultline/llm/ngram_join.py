@@ -12,9 +12,10 @@ share a signature: no link is lost, and nothing is capped.
 
 Equal sets become one class before any pair is formed.  Classes that share a
 signature are compared with a hub of the shared bucket first; only buckets that
-still hold several components afterwards are compared pair by pair, in blocks.
-A parity sketch (whose Hamming distance never exceeds the sets' difference)
-throws out false candidates before the exact comparison of the sets.
+still hold several components afterwards are compared pair by pair, in blocks,
+within tasks that return no more links than join the block's components.  A
+parity sketch (whose Hamming distance never exceeds the sets' difference) throws
+out false candidates before the exact comparison of the sets.
 """
 
 from __future__ import annotations
@@ -220,26 +221,68 @@ def _shared(batches):
             yield pd.DataFrame({"sig": s[i : i + 200_000], "doc_id": d[i : i + 200_000]})
 
 
-def _in_blocks(num: int, den: int):
-    """Pairs of different components within each (sig, i, j) run whose sketches allow a link."""
+def _allowed(x: int, y: np.ndarray, size: np.ndarray, sk: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Those of ``y`` that sizes and sketches allow to be linked to x."""
+    lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+    y = y[hi * num <= lo * den]
+    far = np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64)
+    return y[far * (num + den) <= (size[x] + size[y]) * (den - num)]
+
+
+def _sides(run: pd.DataFrame, i: int, j: int):
+    """For each row of block i, the rows of block j that it is compared with."""
+    doc, side = run["rep"].to_numpy(np.int64), run["block"].to_numpy(np.int64)
+    right = np.flatnonzero(side == j)
+    for x in np.flatnonzero(side == i):
+        yield x, right[(doc[right] > doc[x]) if i == j else slice(None)]
+
+
+def _hopeful(num: int, den: int):
+    """The rows (sig, rep, comp) of a run that the sketches allow a link to another component."""
 
-    def pairs(run: pd.DataFrame, i: int, j: int):
-        doc, comp, size = (run[c].to_numpy(np.int64) for c in ("rep", "comp", "n"))
-        side = run["block"].to_numpy(np.int64)
+    def find(run: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+        comp, size = run["comp"].to_numpy(np.int64), run["n"].to_numpy(np.int64)
         least = min(map(len, run["sketch"]))
         sk = np.stack([_fold(np.frombuffer(x, np.uint8), least) for x in run["sketch"]])
-        left = np.flatnonzero(side == i)
-        right = np.flatnonzero(side == j)
+        on = np.zeros(len(run), bool)
+        for x, y in _sides(run, i, j):
+            y = _allowed(x, y[comp[y] != comp[x]], size, sk, num, den)
+            on[y] = True
+            on[x] |= len(y) > 0
+        return run.loc[on, ["sig", "rep", "comp"]]
+
+    return _by_run(find)
+
+
+def _in_blocks(num: int, den: int):
+    """Links (a, b) within a run that join its components: at most one fewer than it has.
+
+    Rows carry their sets, so a pair that the sketches allow is compared exactly
+    here, and a pair whose components have met is not compared at all.  What
+    leaves the task grows with the rows of a run, not with their pairs.
+    """
+
+    def find(run: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+        doc, sets = run["rep"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in run["items"]]
+        size = np.array([len(s) for s in sets])
+        least = max(64, 1 << (int(size.min()) - 1).bit_length()) // 8
+        sk = np.stack([_fold(np.frombuffer(sketch(s), np.uint8), least) for s in sets])
+        _, label = np.unique(run["comp"].to_numpy(np.int64), return_inverse=True)  # merged as links are found
         out = []
-        for x in left:
-            y = right[(doc[right] > doc[x]) if i == j else slice(None)]
-            lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            y = y[(comp[y] != comp[x]) & (hi * num <= lo * den)]
-            if len(y):
-                far = np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64)
-                y = y[far * (num + den) <= (size[x] + size[y]) * (den - num)]
-                out += [(min(doc[x], d), max(doc[x], d)) for d in doc[y]]
-        return out
+        for x, y in _sides(run, i, j):
+            for at in _allowed(x, y[label[y] != label[x]], size, sk, num, den).tolist():
+                if label[at] != label[x]:
+                    both = len(np.intersect1d(sets[x], sets[at], assume_unique=True))
+                    if den * both >= num * (size[x] + size[at] - both):
+                        label[label == label[at]] = label[x]
+                        out.append((min(doc[x], doc[at]), max(doc[x], doc[at])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return _by_run(find)
+
+
+def _by_run(find):
+    """Applies find(rows, i, j) to each (sig, i, j) run of sorted rows, across batch borders."""
 
     def run(batches):
         rest = None
@@ -252,22 +295,62 @@ def _in_blocks(num: int, den: int):
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
             ends = [*cut[1:], len(rest)]
             done = list(zip(cut, ends)) if b is None else list(zip(cut, ends))[:-1]
-            out: set = set()
-            for s, e in done:
-                if e - s > 1:
-                    out.update(pairs(rest.iloc[s:e], int(key[s, 1]), int(key[s, 2])))
+            out = [find(rest.iloc[s:e].reset_index(drop=True), int(key[s, 1]), int(key[s, 2])) for s, e in done if e - s > 1]
+            out = [o for o in out if len(o)]
             if out:
-                yield pd.DataFrame(sorted(out), columns=["a", "b"])
+                yield pd.concat(out, ignore_index=True)
             rest = None if b is None else rest.iloc[cut[-1] :]
 
     return run
 
 
+def _in_runs(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (sig, rep, comp, many, ..) dealt out as runs of two blocks of a bucket, sorted by (sig, i, j)."""
+    dealt = (
+        rows.withColumn("blocks", (F.col("many") / BLOCK).cast("int") + 1)
+        .withColumn("block", F.pmod(F.xxhash64("rep", "sig"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", *more)
+    )
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+
 def _then_none(batches):
     yield from batches
     yield None
 
 
+def _sets(n: int):
+    """(doc_id, items) with the shingle hashes of each text."""
+
+    def run(batches):
+        words = _Words()
+        for b in batches:
+            held, size = [], 0
+            for at, (doc, text) in enumerate(_rows(b)):
+                held.append((doc, shingle_set(text, n, words).view(np.int64)))
+                size += len(held[-1][1])
+                if size >= SLICE or at == b.num_rows - 1:
+                    ends = np.cumsum([0, *(len(s) for _, s in held)])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, s in held])))
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), lists], ["doc_id", "items"])
+                    held, size = [], 0
+
+    return run
+
+
+def _set_bytes(n: int):
+    """(rep, items) with the shingle hashes of each text as bytes."""
+
+    def run(batches):
+        words = _Words()
+        for b in batches:
+            for doc, text in _rows(b):
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([shingle_set(text, n, words).tobytes()], pa.binary())], ["rep", "items"])
+
+    return run
+
+
 class _Join:
     """State of one join: class table, known sets, links found so far."""
 
@@ -289,19 +372,6 @@ class _Join:
                 out.append(int(np.bitwise_count(_fold(a, least) ^ _fold(b, least)).sum()) * (num + den) <= k)
             return pd.Series(out)
 
-        def sets(batches):
-            words = _Words()
-            for b in batches:
-                held, size = [], 0
-                for at, (doc, text) in enumerate(_rows(b)):
-                    held.append((doc, shingle_set(text, n, words).view(np.int64)))
-                    size += len(held[-1][1])
-                    if size >= SLICE or at == b.num_rows - 1:
-                        ends = np.cumsum([0, *(len(s) for _, s in held)])
-                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for _, s in held])))
-                        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.int64()), lists], ["doc_id", "items"])
-                        held, size = [], 0
-
         a = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         fit = (F.greatest("na", "nb") * num <= F.least("na", "nb") * den) & near("sa", "sb", "na", "nb")
@@ -310,7 +380,7 @@ class _Join:
         if count:
             ids = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             found = self.docs.join(small(ids, 2 * count), "doc_id", "left_semi").select("doc_id", "text")
-            items = self.scratch.write(found.mapInArrow(sets, "doc_id long, items array<long>"), f"sets-{r}")
+            items = self.scratch.write(found.mapInArrow(_sets(n), "doc_id long, items array<long>"), f"sets-{r}")
             x = items.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
             y = items.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
             both = F.size(F.array_intersect("x", "y"))
@@ -321,6 +391,12 @@ class _Join:
         self.round += 1
         return count
 
+    def add(self, links: DataFrame) -> None:
+        """Adds pairs that are known to be linked."""
+        got = self.scratch.write(links, f"links-{self.round}")
+        self.links = got if self.links is None else self.links.union(got)
+        self.round += 1
+
     def labels(self) -> DataFrame:
         """(rep, comp) of the linked classes so far."""
         if self.links is None:
@@ -389,15 +465,18 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     if now:
         # Exact rest: every pair of different components within the buckets that are still mixed.
         two = mixed.where("many = 2").groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b")
-        blocks = (F.col("many") / BLOCK).cast("int") + 1
-        more = (
-            mixed.where("many > 2").join(reps, "rep")
-            .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "sig"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "n", "sketch")
-        )
-        runs = more.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        join.verify(two.union(runs.mapInPandas(_in_blocks(num, den), "a long, b long")).distinct())
+        join.verify(two.distinct())
+        left = _in_runs(mixed.where("many > 2").join(reps, "rep"), "n", "sketch")
+        # few rows have a candidate at all; only these are compared with their sets
+        hopeful = left.mapInPandas(_hopeful(num, den), "sig long, rep long, comp long").distinct()
+        hopeful = scratch.write(hopeful, "hopeful")
+        need = scratch.write(hopeful.select(F.col("rep").alias("doc_id")).distinct(), "need")
+        texts = docs.join(small(need, need.count()), "doc_id", "left_semi").select("doc_id", "text")
+        sets = scratch.write(texts.mapInArrow(_set_bytes(n), "rep long, items binary"), "sets")
+        many = hopeful.groupBy("sig").agg(F.count("*").alias("many"))
+        runs = _in_runs(hopeful.join(many, "sig").join(sets, "rep"), "items")
+        join.add(runs.mapInPandas(_in_blocks(num, den), "a long, b long").distinct())
+        scratch.drop("sets", "hopeful")
         labels = join.labels()
     comp = named.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return scratch.write(comp, "result")

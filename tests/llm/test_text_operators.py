@@ -76,6 +76,30 @@ def test_ngram_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == jaccard(rows, 2, 4, 5)
 
 
+def test_near_copies_leave_few_rows():
+    import pandas as pd
+
+    import faultline.llm.ngram_join as J
+
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    sets = [J.shingle_set(t, 2, J._Words()) for t in family(rng, base, 300, 10)]
+    run = pd.DataFrame({"sig": 1, "i": 0, "j": 0, "block": 0, "rep": range(300), "comp": range(300)})
+    run["n"], run["sketch"], run["items"] = [len(s) for s in sets], [J.sketch(s) for s in sets], [s.tobytes() for s in sets]
+    halves = [run.iloc[:77], run.iloc[77:]]
+    links = pd.concat(J._in_blocks(4, 5)(iter(halves)))
+    hopeful = pd.concat(J._hopeful(4, 5)(iter(halves)))
+    assert len(links) < 300 and len(hopeful) <= 300
+    near = {(i, j) for i in range(300) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert len(near) > 1000 and {x for p in near for x in p} <= set(hopeful["rep"])
+    label = list(range(300))
+    for pairs, into in ((near, label), (set(zip(links["a"], links["b"])), other := list(range(300)))):
+        for _ in range(300):
+            for a, b in pairs:
+                into[a] = into[b] = min(into[a], into[b])
+    assert label == other
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     from faultline.llm.ngram_join import Bands
 
