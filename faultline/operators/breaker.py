@@ -42,18 +42,23 @@ from faultline.session import ensure_checkpoint_dir
 KEY = "bkey"
 
 
-def _micros(ts: Column) -> Column:
+def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def from_micros(t: Column) -> Column:
+    """The zone-less timestamp of microseconds since 1970; the inverse of ``micros``."""
+    return F.timestamp_add("MICROSECOND", t, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def neg_time(ts: Column) -> Column:
     """Order key that sorts timestamps descending when sorted ascending."""
-    return -_micros(ts)
+    return -micros(ts)
 
 
 def with_key(calls: DataFrame) -> DataFrame:

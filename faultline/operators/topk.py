@@ -32,7 +32,11 @@ LIVE_COLUMNS = (
 
 def live_errors(err: DataFrame, limit: int = C.LIVE_FEED_LIMIT) -> DataFrame:
     """Newest ``limit`` errors in the 11-field feed shape."""
-    top = P.newest_first(err).limit(int(limit))
+    return live_shape(P.newest_first(err).limit(int(limit)))
+
+
+def live_shape(err: DataFrame) -> DataFrame:
+    """The 11 fields of the feed; those that ``err`` lacks are null."""
     cols = []
     for c in LIVE_COLUMNS:
         if c == "created_at":
@@ -41,7 +45,7 @@ def live_errors(err: DataFrame, limit: int = C.LIVE_FEED_LIMIT) -> DataFrame:
             cols.append(F.col(c))
         else:
             cols.append(F.lit(None).cast("string").alias(c))
-    return top.select(*cols)
+    return err.select(*cols)
 
 
 def top_errors(err: DataFrame, as_of, limit: int = 10, days: int = 7) -> DataFrame:

@@ -4,8 +4,6 @@ read back from their shared-folder sinks.  Each has a DuckDB twin;
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from faultline.plans.oracle import HOURLY_SQL, with_
 from faultline.plans.q_breaker import CFG, FOLD_SQL
 from faultline.plans.registry import query
@@ -39,29 +37,20 @@ def stream_live_feed(spark, sf):
 
 @query("stream_daily_trends", TRENDS_SQL)
 def stream_daily_trends(spark, sf):
-    _, table = S.daily_trend_stream(spark, sf, available_now=True)
-    return S.latest_per_key(spark, table, ["date", "error_code", "status_code"])
+    return S.daily_trend_stream(spark, sf, available_now=True)[1].read()
 
 
 @query("stream_collect", COLLECT_SQL)
 def stream_collect(spark, sf):
-    _, table = S.collect_stream(spark, sf, available_now=True)
-    return S.latest_per_key(spark, table, ["error_id"])
+    return S.collected(S.collect_stream(spark, sf, available_now=True)[1])
 
 
 @query("stream_breaker", FOLD_SQL)
 def stream_breaker(spark, sf):
-    _, table = S.breaker_stream(spark, sf, CFG, available_now=True)
-    out = S.latest_per_key(spark, table, ["service", "operation"])
-    return out.select(
-        "service", "operation", "state", "failure_count",
-        *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_failure_at", "opened_at", "next_attempt_at")],
-        "calls", "rejected", "trips",
-    )
+    return S.breaker_states(S.breaker_stream(spark, sf, CFG, available_now=True)[1])
 
 
 @query("stream_first_sighting_trends", FIRST_SQL)
 def stream_first_sighting_trends(spark, sf):
     """First-sighting trends kept current from the continuously collected roll-up."""
-    _, table = S.collect_stream(spark, sf, available_now=True)
-    return S.first_sighting_trends(S.latest_per_key(spark, table, ["error_id"]))
+    return S.first_sighting_trends(S.collected(S.collect_stream(spark, sf, available_now=True)[1]))

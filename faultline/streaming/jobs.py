@@ -1,23 +1,29 @@
 """Structured Streaming forms of the collectors.
 
-Sources are file streams over the events parquet; sinks are tables written
-under the cluster's shared ``spark.checkpoint.dir`` (never a machine-local
-folder), with their stream checkpoints next to them, so a query restarted
-with the same ``path`` resumes exactly where it stopped.  ``max_files`` bounds
-the files, and so the rows, of a micro-batch.  Aggregating streams run in *update* mode
-and write each micro-batch's changed rows to an ``epoch=N`` partition with
-``foreachBatch``; re-running an epoch after a failure overwrites the same
-partition, so the sink is idempotent.  Readers take the latest row per key.
-
-Event time: the driver tables hold zone-less timestamps; watermarks need
-``TIMESTAMP``, so event time is the wall clock read as UTC (independent of
-the session zone), while labels (date, hour) come from the zone-less value.
+Sources are file streams over ``events.parquet``, a folder of files that grows
+or a single file; ``max_files`` bounds the files, and so the rows, of a
+micro-batch.  Sinks are tables under the cluster's shared
+``spark.checkpoint.dir`` or in the caller's ``path``, with their stream
+checkpoints next to them: a job restarted with the same ``path`` goes on where
+it stopped.
+
+Roll-ups keep no state between micro-batches.  Each batch writes what it adds
+(counts, sums, first and last sightings) as partial rows to its own ``epoch=N``
+folder, which a repeated batch overwrites; ``PartialTable`` folds the partial
+rows of all epochs when it is read, and every so many epochs folds the earlier
+ones into one ``base=N`` folder.  So every row counts however late it is, and
+neither the state nor the number of folders grows with time.  The breaker
+machine is stateful, and forgets breakers that are back at rest.
+
+Event time is the zone-less wall clock of the events, in microseconds;
+nothing depends on the session's time zone.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from faultline import config as C
+from faultline.operators.breaker import micros, from_micros
 from faultline.session import ensure_checkpoint_dir
 from faultline.sources import tables as T
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
-
-def wall_clock_instant(ts):
-    """The zone-less event time as an instant, read as UTC whatever the
-    session zone, so event-time windows line up with calendar days."""
-    from faultline.operators.breaker import _micros
-
-    return F.timestamp_micros(_micros(ts))
+#: Epochs after which a table of partial rows folds the earlier ones.
+COMPACT_EVERY = 20
 
 
 def shared_dir(spark: SparkSession, name: str, path: str | None = None) -> str:
@@ -49,36 +50,95 @@ def shared_dir(spark: SparkSession, name: str, path: str | None = None) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) as Spark's readers see them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    """The events as a stream of files: all of the folder ``events.parquet``, as they arrive, or that one file."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    source = os.path.join(sf_dir, "events.parquet")
+    fs, path = _fs(spark, source)
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(source)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _run(writer, available_now: bool, processing_time: str | None):
     if available_now:
         q = writer.trigger(availableNow=True).start()
-    else:
-        q = writer.trigger(processingTime=processing_time or "5 seconds").start()
-    if available_now:
         q.awaitTermination()
-    return q
-
-
-def _epoch_sink(path: str):
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch_id}"))
-
-    return write
-
-
-def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Read an epoch-partitioned update sink: the newest row per key."""
-    df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c not in keys and c != "epoch"]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("r"))
-    return g.select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols])
+        return q
+    return writer.trigger(processingTime=processing_time or "5 seconds").start()
+
+
+class PartialTable:
+    """A table of partial rows by epoch under ``path``, with the ``fold`` that makes one row a key of many.
+
+    ``fold`` keeps the columns, so folding what was folded changes nothing.  A
+    folder counts once its write has committed (``_SUCCESS``); a ``base=N``
+    stands for all epochs before N.  Folders that a base replaces stay for one
+    more compaction, for readers that have listed them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fold: Callable[[DataFrame], DataFrame], every: int | None = None):
+        self.spark, self.path, self.fold = spark, path, fold
+        self.every = COMPACT_EVERY if every is None else every
+
+    def _folders(self) -> tuple[list[int], list[int]]:
+        """(bases, epochs) that are committed, ascending."""
+        fs, root = _fs(self.spark, self.path)
+        found: dict[str, list[int]] = {"base": [], "epoch": []}
+        if fs.exists(root):
+            for status in fs.listStatus(root):
+                kind, _, number = status.getPath().getName().partition("=")
+                done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+                if kind in found and fs.exists(done):
+                    found[kind].append(int(number))
+        return sorted(found["base"]), sorted(found["epoch"])
+
+    def _rows(self, until: int | None = None) -> DataFrame | None:
+        bases, epochs = self._folders()
+        bases = [b for b in bases if until is None or b <= until]
+        start = bases[-1] if bases else 0
+        folders = [f"base={start}"] if bases else []
+        folders += [f"epoch={e}" for e in epochs if e >= start and (until is None or e < until)]
+        return self.spark.read.parquet(*(os.path.join(self.path, f) for f in folders)) if folders else None
+
+    def append(self, rows: DataFrame, epoch: int) -> None:
+        """Writes the partial rows of one epoch; all epochs before it are committed, as streams run them in order."""
+        rows.write.mode("overwrite").parquet(os.path.join(self.path, f"epoch={epoch}"))
+        if epoch and epoch % self.every == 0:
+            self.compact(epoch)
+
+    def compact(self, until: int) -> None:
+        """Folds the epochs before ``until`` into one base, then removes what the base before that replaced."""
+        bases, epochs = self._folders()
+        rows = self._rows(until)
+        if rows is None or until in bases:
+            return
+        self.fold(rows).write.mode("overwrite").parquet(os.path.join(self.path, f"base={until}"))
+        fs, _ = _fs(self.spark, self.path)
+        if bases:
+            old = [f"base={b}" for b in bases[:-1]] + [f"epoch={e}" for e in epochs if e < bases[-1]]
+            for name in old:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, name)), True)
+
+    def read(self) -> DataFrame:
+        rows = self._rows()
+        if rows is None:
+            raise FileNotFoundError(f"no epoch of {self.path} is complete yet")
+        return self.fold(rows)
+
+
+def _partial_run(stream: DataFrame, table: PartialTable, make: Callable[[DataFrame, int], DataFrame], out: str, available_now: bool, refresh: str, mode: str):
+    write = lambda batch, epoch: table.append(make(batch, epoch), epoch)
+    w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", os.path.join(out, "_checkpoint"))
+    return _run(w, available_now, refresh), table
 
 
 # ---- X7: live feed -------------------------------------------------------------
@@ -89,13 +149,9 @@ def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refr
     """New error rows in the live-feed shape, appended to a parquet table.
 
     Returns ``(query, table_path)``."""
-    from faultline.functions.formatting import iso_string
+    from faultline.operators.topk import live_shape
 
-    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
-    rows = err.select(
-        "id", "error_id", "message", "error_code", "status_code", "occurrence_count", "request_url", "request_method",
-        F.lit(None).cast("string").alias("ip_address"), iso_string(F.col("created_at")).alias("created_at"), "is_resolved",
-    )
+    rows = live_shape(T.errors_from_events(event_stream(spark, sf_dir, max_files)))
     out = shared_dir(spark, "live_feed", path)
     w = rows.writeStream.format("parquet").option("path", os.path.join(out, "table")).option(
         "checkpointLocation", os.path.join(out, "_checkpoint")
@@ -105,119 +161,172 @@ def live_feed(spark: SparkSession, sf_dir: str, available_now: bool = True, refr
 
 # ---- X6: running daily trends ----------------------------------------------------
 
+TREND_KEYS = ["date", "error_code", "status_code"]
 
-def daily_trend_stream(spark: SparkSession, sf_dir: str, watermark: str | None = None, available_now: bool = True,
-                       refresh: str = "5 seconds", path: str | None = None, max_files: int | None = None):
-    """Per (day, error_code, status_code): count and 24 hourly slots, kept
-    current in update mode.  By default every row counts, however late: the
-    state is one row a day and code.  With ``watermark`` older days leave the
-    state, and rows later than that are dropped."""
-    err = T.errors_from_events(event_stream(spark, sf_dir, max_files)).withColumn("event_ts", wall_clock_instant(F.col("created_at")))
-    hour = F.hour("created_at")
-    slots = [F.count_if(hour == h).cast("int") for h in range(24)]
-    agg = (
-        (err.withWatermark("event_ts", watermark) if watermark else err)
-        .groupBy(F.window("event_ts", "1 day").alias("w"), F.to_date("created_at").alias("date"), "error_code", "status_code")
-        .agg(F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution"))
-        .select("date", "error_code", "status_code", "count", "hourly_distribution")
-    )
+
+def trend_partials(err: DataFrame, time: str = "created_at") -> DataFrame:
+    slots = [F.count_if(F.hour(time) == h).cast("int") for h in range(24)]
+    return err.groupBy(F.to_date(time).alias("date"), "error_code", "status_code").agg(F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution"))
+
+
+def fold_trends(rows: DataFrame) -> DataFrame:
+    slots = [F.sum(F.get("hourly_distribution", F.lit(h))).cast("int") for h in range(24)]
+    return rows.groupBy(*TREND_KEYS).agg(F.sum("count").alias("count"), F.array(*slots).alias("hourly_distribution"))
+
+
+def daily_trend_stream(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "5 seconds",
+                       path: str | None = None, max_files: int | None = None, compact_every: int | None = None):
+    """Per (day, error_code, status_code): count and 24 hourly slots.  Returns ``(query, PartialTable)``."""
     out = shared_dir(spark, "daily_trends", path)
-    table = os.path.join(out, "table")
-    w = agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
-    return _run(w, available_now, refresh), table
+    table = PartialTable(spark, os.path.join(out, "table"), fold_trends, compact_every)
+    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
+    return _partial_run(err, table, lambda batch, epoch: trend_partials(batch), out, available_now, refresh, "append")
 
 
 # ---- X1: continuous collect (occurrence roll-up) -------------------------------
 
 
-def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "5 seconds",
-                   path: str | None = None, max_files: int | None = None):
-    """Roll incoming errors up per error_id (count, first/last seen, first
-    sighting's attributes) with Spark's built-in streaming aggregation state."""
+def collect_partials(err: DataFrame) -> DataFrame:
+    """Occurrences by error_id with the attributes of the first sighting, ``first`` being ordered by time and id."""
     from faultline.operators.joins import ATTRS
 
-    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
-    first = F.min_by(F.struct(F.col("id"), *[F.col(a) for a in ATTRS]), F.struct("created_at", "id"))
-    agg = err.groupBy("error_id").agg(
-        first.alias("f"),
+    sighting = F.struct(F.col("created_at").alias("at"), F.col("id"), F.struct(*ATTRS).alias("attrs"))
+    return err.groupBy("error_id").agg(
+        F.min_by(sighting, F.struct("created_at", "id")).alias("first"),
         F.count(F.lit(1)).alias("occurrence_count"),
-        F.min("created_at").alias("first_occurred_at"),
         F.max("created_at").alias("last_occurred_at"),
     )
-    flat = agg.select("error_id", "f.id", *[f"f.{a}" for a in ATTRS], "occurrence_count", "first_occurred_at", "last_occurred_at")
+
+
+def fold_collected(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("error_id").agg(
+        F.min_by("first", F.struct("first.at", "first.id")).alias("first"),
+        F.sum("occurrence_count").alias("occurrence_count"),
+        F.max("last_occurred_at").alias("last_occurred_at"),
+    )
+
+
+def collected(table: PartialTable) -> DataFrame:
+    """The roll-up as ``error_occurrences`` has it: one row per error_id."""
+    return table.read().select(
+        "error_id", "first.id", "first.attrs.*", "occurrence_count", F.col("first.at").alias("first_occurred_at"), "last_occurred_at"
+    )
+
+
+def collect_stream(spark: SparkSession, sf_dir: str, available_now: bool = True, refresh: str = "5 seconds",
+                   path: str | None = None, max_files: int | None = None, compact_every: int | None = None):
+    """Roll incoming errors up per error_id (count, first/last seen, first sighting's attributes).
+
+    Returns ``(query, PartialTable)``; ``collected`` reads it."""
     out = shared_dir(spark, "collect", path)
-    table = os.path.join(out, "table")
-    w = flat.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
-    return _run(w, available_now, refresh), table
+    table = PartialTable(spark, os.path.join(out, "table"), fold_collected, compact_every)
+    err = T.errors_from_events(event_stream(spark, sf_dir, max_files))
+    return _partial_run(err, table, lambda batch, epoch: collect_partials(batch), out, available_now, refresh, "append")
 
 
 def first_sighting_trends(rollup: DataFrame) -> DataFrame:
     """Trend rows that count first sightings only, from the collected roll-up
     (one row per error_id with its first sighting's time and attributes)."""
-    hour = F.hour("first_occurred_at")
-    slots = [F.count_if(hour == h).cast("int") for h in range(24)]
-    return rollup.groupBy(F.to_date("first_occurred_at").alias("date"), "error_code", "status_code").agg(
-        F.count(F.lit(1)).alias("count"), F.array(*slots).alias("hourly_distribution")
-    )
+    return trend_partials(rollup, "first_occurred_at")
 
 
 # ---- X2: breaker state machine as a stateful stream --------------------------------
 
-BREAKER_STATE = "state string, failures long, next_attempt timestamp, opened timestamp, last_failure timestamp, calls long, rejected long, trips long"
+BREAKER_STATE = "state string, failures long, next_attempt long"
 BREAKER_OUT = (
-    "service string, operation string, state string, failure_count long, last_failure_at timestamp, "
-    "opened_at timestamp, next_attempt_at timestamp, calls long, rejected long, trips long"
+    "service string, operation string, state string, failure_count long, last_failure long, opened long, "
+    "next_attempt long, calls long, rejected long, trips long"
 )
+#: Columns of a call with its breaker's limits and the state that it had before the stream.
+LIMITS = ("threshold", "recovery", "start_state", "start_failures", "start_next")
+
+
+def _breaker_step(key, pdfs, state):
+    """Advances one breaker over its calls of a micro-batch, in (ts, seq) order; times are microseconds.
+
+    Only this breaker's slice of one micro-batch is in memory.  What is kept
+    between batches is how it differs from its start: a breaker that starts at
+    rest (closed, no failures) and is at rest again is forgotten.
+    """
+    batch = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+    first = batch.iloc[0]
+    threshold, wait = int(first["threshold"]), int(first["recovery"]) * 1_000_000
+    start = (first["start_state"], int(first["start_failures"]), None if pd.isna(first["start_next"]) else int(first["start_next"]))
+    st, f, nxt = state.get if state.exists else start
+    calls = rejected = trips = 0
+    last = opened = next_made = None
+    for t, ok in zip(batch["t"].tolist(), batch["ok"].tolist()):
+        calls += 1
+        if st == "open" and not (nxt is not None and nxt < t):
+            rejected += 1
+        elif ok:
+            if st == "half_open":
+                st, f = "closed", 0
+            elif st == "open":
+                st = "half_open"
+        else:
+            f += 1
+            last = t
+            if f >= threshold:
+                st, opened, nxt, trips = "open", t, t + wait, trips + 1
+                next_made = nxt
+    if (st, f) == ("closed", 0) and start[:2] == ("closed", 0):
+        if state.exists:
+            state.remove()
+    else:
+        state.update((st, f, nxt))
+    service, operation = key
+    row = [service, operation, st, f, last, opened, next_made, calls, rejected, trips]
+    kinds = [c.split()[0] for c in BREAKER_OUT.split(", ")]
+    yield pd.DataFrame([row], columns=kinds).astype({c: "Int64" for c in kinds[3:]})
+
+
+def fold_breakers(rows: DataFrame) -> DataFrame:
+    """The newest state of each breaker; counts add up and times only grow."""
+    return rows.groupBy("service", "operation").agg(
+        F.max_by("state", "epoch").alias("state"), F.max_by("failure_count", "epoch").alias("failure_count"),
+        *[F.max(c).alias(c) for c in ("last_failure", "opened", "next_attempt", "epoch")],
+        *[F.sum(c).alias(c) for c in ("calls", "rejected", "trips")],
+    )
+
+
+def breaker_states(table: PartialTable) -> DataFrame:
+    """One row per breaker as ``breaker_fold`` has it."""
+    times = (("last_failure", "last_failure_at"), ("opened", "opened_at"), ("next_attempt", "next_attempt_at"))
+    return table.read().select(
+        "service", "operation", "state", "failure_count", *[from_micros(F.col(a)).alias(b) for a, b in times], "calls", "rejected", "trips"
+    )
 
 
-def _breaker_step(cfg: C.BreakerConfig):
-    """Per key and micro-batch: advance the small breaker state over the
-    batch's calls in (ts, seq) order.  Only this key's slice of one
-    micro-batch is in memory; the state itself is a single row."""
-    rec = pd.Timedelta(seconds=cfg.recovery_timeout_s)
-
-    def step(key, pdfs, state):
-        if state.exists:
-            st, f, nxt, opened, lastf, n, rej, trips = state.get
-        else:
-            st, f, nxt, opened, lastf, n, rej, trips = "closed", 0, None, None, None, 0, 0, 0
-        frames = [p for p in pdfs]
-        if frames:
-            batch = pd.concat(frames).sort_values(["ts", "seq"])
-            for ts, ok in zip(batch["ts"], batch["ok"]):
-                n += 1
-                allowed = st in ("closed", "half_open") or (st == "open" and nxt is not None and nxt < ts)
-                if not allowed:
-                    rej += 1
-                    continue
-                if ok:
-                    if st == "half_open":
-                        st, f = "closed", 0
-                    elif st == "open":
-                        st = "half_open"
-                    continue
-                f += 1
-                lastf = ts
-                if f >= cfg.failure_threshold:
-                    st, opened, nxt, trips = "open", ts, ts + rec, trips + 1
-        state.update((st, f, nxt, opened, lastf, n, rej, trips))
-        svc, op = key
-        yield pd.DataFrame(
-            [{"service": svc, "operation": op, "state": st, "failure_count": f, "last_failure_at": lastf, "opened_at": opened,
-              "next_attempt_at": nxt, "calls": n, "rejected": rej, "trips": trips}]
-        )
-
-    return step
+def with_limits(calls: DataFrame, cfg: C.BreakerConfig, breakers: DataFrame | None) -> DataFrame:
+    """Calls with the limits and the stored state of their breaker (``LIMITS``), else those of ``cfg`` at rest."""
+    none = F.lit(None)
+    rest = {"threshold": F.lit(cfg.failure_threshold), "recovery": F.lit(cfg.recovery_timeout_s), "start_state": F.lit("closed"),
+            "start_failures": F.lit(0).cast("long"), "start_next": none.cast("long")}
+    if breakers is None:
+        return calls.withColumns(rest)
+    b = breakers.select(
+        F.col("service").alias("__s"), F.col("operation").alias("__o"), F.col("failure_threshold").alias("threshold"),
+        F.col("recovery_timeout").alias("recovery"), F.col("state").alias("start_state"),
+        F.col("failure_count").cast("long").alias("start_failures"), micros(F.col("next_attempt_at")).alias("start_next"),
+    )
+    same = F.col("service").eqNullSafe(F.col("__s")) & F.col("operation").eqNullSafe(F.col("__o"))
+    joined = calls.join(b, same, "left").drop("__s", "__o")
+    return joined.withColumns({c: F.coalesce(c, v) for c, v in rest.items()})
 
 
 def breaker_stream(spark: SparkSession, sf_dir: str, cfg: C.BreakerConfig = C.BreakerConfig(), available_now: bool = True, refresh: str = "15 seconds",
-                   path: str | None = None, max_files: int | None = None):
-    """Breaker states kept current from a call stream (``applyInPandasWithState``)."""
-    calls = T.calls_from_events(event_stream(spark, sf_dir, max_files)).withColumn("ts", F.col("ts").cast("timestamp"))
-    out_df = calls.select("seq", "ts", "service", "operation", "ok").groupBy("service", "operation").applyInPandasWithState(
-        _breaker_step(cfg), BREAKER_OUT, BREAKER_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+                   path: str | None = None, max_files: int | None = None, compact_every: int | None = None, breakers: DataFrame | None = None):
+    """Breaker states kept current from a call stream (``applyInPandasWithState``).
+
+    ``breakers`` gives stored breakers (service, operation, state, failure_count,
+    failure_threshold, recovery_timeout, next_attempt_at), one row a breaker,
+    whose limits and state calls start from; others follow ``cfg``.  Calls are
+    taken in the order of their files.  Returns ``(query, PartialTable)``;
+    ``breaker_states`` reads it."""
+    calls = T.calls_from_events(event_stream(spark, sf_dir, max_files)).select("seq", micros(F.col("ts")).alias("t"), "service", "operation", "ok")
+    keyed = with_limits(calls, cfg, breakers).groupBy("service", "operation")
+    states = keyed.applyInPandasWithState(_breaker_step, BREAKER_OUT, BREAKER_STATE, "update", GroupStateTimeout.NoTimeout)
     out = shared_dir(spark, "breakers", path)
-    table = os.path.join(out, "table")
-    w = out_df.writeStream.outputMode("update").foreachBatch(_epoch_sink(table)).option("checkpointLocation", os.path.join(out, "_checkpoint"))
-    return _run(w, available_now, refresh), table
+    table = PartialTable(spark, os.path.join(out, "table"), fold_breakers, compact_every)
+    return _partial_run(states, table, lambda batch, epoch: batch.withColumn("epoch", F.lit(epoch).cast("long")), out, available_now, refresh, "update")
