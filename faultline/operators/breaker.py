@@ -1,45 +1,48 @@
-"""Circuit-breaker replay over a call log (X2, X3, X4, X8) without
-collecting any key's log into one task.
-
-The breaker is a sequential state machine per (service, operation), but its
-state only changes at two kinds of *events*:
-
-* TRIP(i)  - an allowed failure at call i that reaches the threshold
-             (the state becomes open, next attempt = ts_i + recovery);
-* RESET(j) - a success at call j while half-open (closed, count 0).
-
-Between events the behaviour is fixed: after START or RESET(j) every call
-is allowed and the next event is the threshold-th failure after j; after
-TRIP(i) calls up to ts_i + recovery are rejected, the first later call k
-either fails (TRIP(k)) or succeeds (half-open) and then the call after k
-decides (TRIP or RESET).  So every candidate event has exactly one
-successor, computable for *all* candidates at once with set operations:
-
-* running failure counts and "next call after t" lookups are as-of
-  operations done skew-safely: windows are partitioned by
-  (key, time bucket) and stitched across buckets through a small per-bucket
-  summary (one row per non-empty bucket), so a hot key is spread over many
-  tasks;
-* the "threshold-th failure after j" is an equi-join on the running count.
-
-The events actually taken are the path from START through this successor
-graph.  It is found by pointer jumping (list ranking): O(log path) rounds of
-distributed joins, each checkpointed to ``spark.checkpoint.dir`` so lineage
-stays short and a lost executor only recomputes one round.
+"""Circuit-breaker replay over a call log.
+
+The breaker is a sequential state machine per (service, operation).  A log is
+range-partitioned by (service, operation, time) and cut into segments of at most
+SEGMENT calls, so a breaker with a third of all calls is spread over as many
+tasks as any other data.  Three passes replay it:
+
+1. each segment is reduced to what it does to any state that may enter it: a
+   few numbers for a closed or half-open breaker and, for an open one, a step
+   function of the time of its next attempt.  Between trips the machine moves by
+   lookups (the call after the wait, the threshold-th failure from here), so
+   one backward pass over a segment answers for all its calls;
+2. the segments of a breaker are composed in order, a summary row at a time,
+   which gives every segment the state that it starts in;
+3. each segment is replayed from that state, all of them in parallel.
+
+Limits and starting state belong to a breaker: its stored row gives its
+threshold, wait, state, failures and next attempt; others follow the config and
+start closed.  Lineage is cut by tables in the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
+from bisect import bisect_right
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import config as C
 from faultline.session import ensure_checkpoint_dir
 
-KEY = "bkey"
+KEY = ("service", "operation")
+#: Calls of a segment, which is what one task holds at a time.
+SEGMENT = 100_000
+CLOSED, OPEN, HALF = 0, 1, 2
+STATES = ("closed", "open", "half_open")
+NEVER = 1 << 62
 
 
 def micros(ts: Column) -> Column:
@@ -56,285 +59,316 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def neg_time(ts: Column) -> Column:
-    """Order key that sorts timestamps descending when sorted ascending."""
-    return -micros(ts)
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing a parquet table into the shared checkpoint
+    folder and reading it back (computed once, unlike an unpersisted
+    ``checkpoint()``, which evaluates its plan twice)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "faultline", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def with_key(calls: DataFrame) -> DataFrame:
-    """Null-safe single-column key for (service, operation)."""
-    return calls.withColumn(KEY, F.to_json(F.struct("service", "operation")))
+#: Columns of a call with its breaker's limits and the state that it had before the log.
+LIMITS = ("threshold", "recovery", "start_state", "start_failures", "start_next")
 
 
-def last_before(df: DataFrame, value: Column, order: list[Column], bucket: str, name: str, inclusive: bool = False) -> DataFrame:
-    """Add ``name`` = the last non-null ``value`` strictly before (or at, when
-    ``inclusive``) each row in ``order`` within its key.
+def with_limits(calls: DataFrame, cfg: C.BreakerConfig, breakers: DataFrame | None) -> DataFrame:
+    """Calls with the limits and the stored state of their breaker (``LIMITS``), else those of ``cfg`` at rest.
 
-    Skew-safe: the running window is partitioned by (key, bucket); values
-    from earlier buckets come from a per-bucket summary forward-filled over
-    the (few) buckets of each key.  ``order`` must start with the column the
-    bucket was derived from, so bucket order agrees with row order.
+    ``breakers`` has one row a breaker: service, operation, state, failure_count,
+    failure_threshold, recovery_timeout and next_attempt_at.
     """
-    frame_end = 0 if inclusive else -1
-    w = Window.partitionBy(KEY, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    x = df.withColumn("_v", value).withColumn("_within", F.last("_v", ignorenulls=True).over(w))
-    summary = x.filter(F.col("_v").isNotNull()).groupBy(KEY, bucket).agg(F.max_by("_v", F.struct(*order)).alias("_blast"))
-    buckets = x.select(KEY, bucket).distinct().join(summary, on=[KEY, bucket], how="left")
-    wb = Window.partitionBy(KEY).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(KEY, bucket, F.last("_blast", ignorenulls=True).over(wb).alias("_carry"))
-    out = x.join(carry, on=[KEY, bucket], how="left")
-    return out.withColumn(name, F.coalesce(F.col("_within"), F.col("_carry"))).drop("_v", "_within", "_carry")
+    rest = {"threshold": F.lit(cfg.failure_threshold), "recovery": F.lit(cfg.recovery_timeout_s), "start_state": F.lit("closed"),
+            "start_failures": F.lit(0).cast("long"), "start_next": F.lit(None).cast("long")}
+    if breakers is None:
+        return calls.withColumns(rest)
+    b = breakers.select(
+        F.col("service").alias("__s"), F.col("operation").alias("__o"), F.col("failure_threshold").alias("threshold"),
+        F.col("recovery_timeout").alias("recovery"), F.col("state").alias("start_state"),
+        F.col("failure_count").cast("long").alias("start_failures"), micros(F.col("next_attempt_at")).alias("start_next"),
+    )
+    same = F.col("service").eqNullSafe(F.col("__s")) & F.col("operation").eqNullSafe(F.col("__o"))
+    joined = calls.join(b, same, "left").drop("__s", "__o")
+    return joined.withColumns({c: F.coalesce(c, v) for c, v in rest.items()})
 
 
-def running_count(df: DataFrame, flag: Column, order: list[Column], bucket: str, name: str) -> DataFrame:
-    """Inclusive running count of ``flag`` per key, via bucket offsets."""
-    w = Window.partitionBy(KEY, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("_f", flag.cast("long")).withColumn("_within", F.sum("_f").over(w))
-    totals = x.groupBy(KEY, bucket).agg(F.sum("_f").alias("_bt"))
-    wb = Window.partitionBy(KEY).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(KEY, bucket, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
-    return x.join(offs, on=[KEY, bucket], how="left").withColumn(name, F.col("_within") + F.col("_off")).drop("_f", "_within", "_off")
+# ---- the machine --------------------------------------------------------------------
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing a parquet table into the shared checkpoint
-    folder and reading it back (computed once, unlike an unpersisted
-    ``checkpoint()``, which evaluates its plan twice)."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "faultline", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@dataclass(frozen=True)
+class State:
+    """kind, failures, next attempt; ``fresh`` while no call was let through yet."""
 
+    kind: int
+    failures: int
+    next: int = NEVER
+    fresh: bool = False
 
-def enrich_calls(calls: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> DataFrame:
-    """Per call: bucket, running failure count ``cf`` and the next call ``nxt``.
 
-    One window pass over (key, bucket) gives the within-bucket running count
-    and ``lead``; a per-bucket summary (failure total, first call) with a
-    window over each key's buckets supplies the offset and the next bucket's
-    first call for the last call of a bucket."""
-    c = with_key(calls).withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
-    info = F.struct(F.col("seq").alias("seq"), F.col("ts").alias("ts"), F.col("ok").alias("ok"))
-    w = Window.partitionBy(KEY, "bucket").orderBy("ts", "seq")
-    x = c.withColumn("_f", (~F.col("ok")).cast("long")).select(
-        "*",
-        F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cfw"),
-        F.lead(info, 1).over(w).alias("_nw"),
-    )
-    summary = c.groupBy(KEY, "bucket").agg(
-        F.count_if(~F.col("ok")).alias("_bt"), F.min_by(info, F.struct("ts", "seq")).alias("_first")
-    )
-    wb = Window.partitionBy(KEY).orderBy("bucket")
-    per_bucket = summary.select(
-        KEY,
-        "bucket",
-        F.coalesce(F.sum("_bt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.lead("_first", 1).over(wb).alias("_nb"),
-    )
-    y = x.join(per_bucket, on=[KEY, "bucket"], how="left")
-    return y.select(
-        *[col for col in c.columns],
-        (F.col("_cfw") + F.col("_off")).alias("cf"),
-        F.coalesce(F.col("_nw"), F.col("_nb")).alias("nxt"),
-    )
-
-
-def _first_after_time(c: DataFrame, queries: DataFrame, bucket_seconds: int) -> DataFrame:
-    """For each query row (bkey, qid, qts): the first call with ts > qts."""
-    calls_part = c.select(
-        KEY,
-        F.col("ts").alias("t"),
-        F.lit(0).alias("kind"),
-        F.col("seq").alias("o"),
-        F.lit(None).cast("string").alias("qid"),
-        F.struct(F.col("seq").alias("seq"), F.col("ts").alias("ts"), F.col("ok").alias("ok"), F.col("nxt").alias("nxt")).alias("info"),
-    )
-    q = queries.select(
-        KEY, F.col("qts").alias("t"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("o"), "qid",
-        F.lit(None).cast(calls_part.schema["info"].dataType).alias("info"),
-    )
-    u = calls_part.unionByName(q).withColumn("rbucket", -_bucket(F.col("t"), bucket_seconds))
-    # descending order: calls at the same instant as the query come *before*
-    # it in ascending order (kind 0 < 1), so they are not "after" it.
-    order = [F.col("rbucket"), neg_time(F.col("t")), -F.col("kind"), -F.col("o")]
-    r = last_before(u, F.col("info"), order, "rbucket", "first_after")
-    return r.filter(F.col("kind") == 1).select(KEY, "qid", "first_after")
-
-
-def candidate_edges(c: DataFrame, cfg: C.BreakerConfig, bucket_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, bkey, type, seq, ts, cf) and successor edges
-    (src, dst, half_open_at, dst_via).
-
-    Every failure is a TRIP candidate.  A RESET can only follow a trip window
-    (trip -> first call after it succeeds -> the next call succeeds), so the
-    RESET candidates are exactly the RESET targets of the TRIP edges - far
-    fewer than all successes."""
-    T_ = cfg.failure_threshold
-    fails = c.filter(~F.col("ok")).select(KEY, "seq", "ts", "cf")
-    succ = c.filter(F.col("ok")).select(KEY, "seq", "ts", "cf")
-    keys = c.select(KEY).distinct()
-
-    # ``seq`` may repeat across breakers, so a node names its breaker too
-    node_id = lambda t, s: F.concat(F.lit(t), F.lit(":"), s.cast("string"), F.lit(":"), F.col(KEY))
-    start_id = F.concat(F.lit("S:"), F.col(KEY))
-
-    # TRIP(i) -> first call k after ts_i + recovery, then the call after k
-    q = fails.select(KEY, node_id("T", F.col("seq")).alias("qid"),
-                     (F.col("ts") + F.make_dt_interval(secs=F.lit(cfg.recovery_timeout_s))).alias("qts"))
-    fa = _first_after_time(c, q, bucket_seconds)
-    k, k2 = F.col("first_after"), F.col("first_after.nxt")
-    dst = (
-        F.when(k.isNull(), F.lit(None))
-        .when(~k.getField("ok"), node_id("T", k.getField("seq")))
-        .when(k2.isNull(), F.lit(None))
-        .when(~k2.getField("ok"), node_id("T", k2.getField("seq")))
-        .otherwise(node_id("R", k2.getField("seq")))
-    )
-    via = F.when(k.isNull(), F.lit(None)).when(~k.getField("ok"), F.lit("open")).otherwise(F.lit("half_open"))
-    e_trip = _checkpoint(
-        fa.select(
-            F.col("qid").alias("src"),
-            dst.alias("dst"),
-            F.when(k.isNotNull() & k.getField("ok"), k.getField("ts")).alias("half_open_at"),
-            via.alias("dst_via"),
-        )
-    )
-
-    resets = e_trip.filter(F.col("dst").startswith("R:")).select(F.col("dst").alias("node")).distinct()
-    r_nodes = succ.select(node_id("R", F.col("seq")).alias("node"), KEY, F.lit("R").alias("type"), "seq", "ts", "cf").join(
-        resets, on="node", how="left_semi"
-    )
-    nodes = (
-        keys.select(start_id.alias("node"), KEY, F.lit("S").alias("type"), F.lit(None).cast("long").alias("seq"),
-                    F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("cf"))
-        .unionByName(fails.select(node_id("T", F.col("seq")).alias("node"), KEY, F.lit("T").alias("type"), "seq", "ts", "cf"))
-        .unionByName(r_nodes)
-    )
-
-    # START / RESET(j) -> TRIP at the threshold-th failure after j
-    closed_src = nodes.filter(F.col("type") != "T").select(F.col("node").alias("src"), KEY, (F.col("cf") + T_).alias("target"))
-    tgt = fails.select(KEY, F.col("cf").alias("target"), node_id("T", F.col("seq")).alias("dst"))
-    e_closed = closed_src.join(tgt, on=[KEY, "target"], how="inner").select(
-        "src", "dst", F.lit(None).cast("timestamp_ntz").alias("half_open_at"), F.lit("closed").alias("dst_via")
-    )
-    return nodes, e_closed.unionByName(e_trip)
-
-
-def path_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Nodes reachable from each START with their distance ``d`` (pointer jumping)."""
-    # only nodes with a predecessor (or a START) can ever be on a path
-    live = edges.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("src")).unionByName(
-        nodes.filter(F.col("type") == "S").select(F.col("node").alias("src"))
-    )
-    jump = _checkpoint(edges.filter(F.col("dst").isNotNull()).select("src", "dst").join(live.distinct(), on="src", how="left_semi"))
-    reached = nodes.filter(F.col("type") == "S").select("node", F.lit(0).cast("long").alias("d"))
-    n_reached = reached.count()
-    step = 1
-    for _ in range(max_rounds):
-        # nodes with d in [step, 2*step): one jump of length `step` from d in [0, step)
-        new = reached.join(jump, reached["node"] == jump["src"]).select(F.col("dst").alias("node"), (F.col("d") + step).alias("d"))
-        # the row count comes back with the write itself (no extra job)
-        obs = Observation()
-        reached = _checkpoint(reached.unionByName(new).observe(obs, F.count(F.lit(1)).alias("n")))
-        n_now = obs.get["n"]
-        if n_now == n_reached:
-            break
-        n_reached = n_now
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        jump = _checkpoint(j2)
-        step *= 2
-    else:
-        raise RuntimeError(f"the path of events is longer than 2^{max_rounds}")
-    return reached
-
-
-def replay(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600):
-    """Run the breaker over ``calls`` (seq, ts, service, operation, ok).
-
-    Returns ``(calls_with_disposition, path_events)``."""
-    c = _checkpoint(enrich_calls(calls, cfg, bucket_seconds))
-    nodes, edges = candidate_edges(c, cfg, bucket_seconds)
-    edges = _checkpoint(edges)
-    reached = path_nodes(nodes, edges)
-    ev = reached.join(nodes, on="node").join(edges.withColumnRenamed("src", "node"), on="node", how="left")
-    ev = ev.select("node", KEY, "type", "seq", "ts", "cf", "d", "dst", "half_open_at", "dst_via")
-
-    # how each path event was entered (the via of its predecessor edge)
-    entered = ev.filter(F.col("dst").isNotNull()).select(F.col("dst").alias("node"), F.col("dst_via").alias("entered_via"))
-    ev = ev.join(entered, on="node", how="left")
-
-    # last RESET/START at or before each event -> trips since the last reset
-    evb = ev.withColumn("ebucket", F.coalesce(_bucket(F.col("ts"), bucket_seconds), F.lit(-(2**62))))
-    evb = last_before(
-        evb, F.when(F.col("type") != "T", F.col("d")), [F.col("ebucket"), F.col("d")], "ebucket", "reset_d", inclusive=True
-    )
-    T_ = cfg.failure_threshold
-    ev = evb.withColumn(
-        "failure_count", F.when(F.col("type") == "T", F.lit(T_ - 1) + F.col("d") - F.col("reset_d")).otherwise(F.lit(0))
-    ).drop("ebucket")
-    ev = _checkpoint(ev)
-
-    # per call: the last path event strictly before it
-    ev_rows = ev.filter(F.col("type") != "S").select(
-        KEY, "ts", "seq", F.lit(1).alias("kind"),
-        F.struct(F.col("type").alias("type"), F.col("ts").alias("ts")).alias("e"),
-    )
-    extra = [x for x in calls.columns if x not in ("ts", "seq", "ok", "service", "operation")]
-    call_rows = c.select(
-        KEY, "ts", "seq", F.lit(0).alias("kind"), F.lit(None).cast(ev_rows.schema["e"].dataType).alias("e"), "ok", "service", "operation", *extra
-    )
-    u = call_rows.unionByName(ev_rows, allowMissingColumns=True).withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
-    u = last_before(u, F.col("e"), [F.col("bucket"), F.col("ts"), F.col("seq"), F.col("kind")], "bucket", "prev_event")
-    rec = F.make_dt_interval(secs=F.lit(cfg.recovery_timeout_s))
-    pe = F.col("prev_event")
-    rejected = F.coalesce((pe.getField("type") == "T") & (F.col("ts") <= pe.getField("ts") + rec), F.lit(False))
-    disp = F.when(rejected, F.lit("rejected")).when(F.col("ok"), F.lit("ok")).otherwise(F.lit("failed"))
-    out = u.filter(F.col("kind") == 0).select("seq", "ts", "service", "operation", "ok", *extra, KEY, disp.alias("disposition"))
-    return out, ev
-
-
-def final_state(dispositions: DataFrame, events: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig()) -> DataFrame:
-    """One row per breaker key: state, failure count and timestamps after the log."""
-    rec = F.make_dt_interval(secs=F.lit(cfg.recovery_timeout_s))
-    last = events.groupBy(KEY).agg(
-        F.max_by(F.struct("type", "seq", "ts", "cf", "failure_count", "dst", "half_open_at"), F.col("d")).alias("last"),
-        F.max(F.when(F.col("type") == "T", F.col("ts"))).alias("last_trip"),
-        F.count_if(F.col("type") == "T").alias("trips"),
-    )
-    per_call = dispositions.groupBy(KEY, "service", "operation").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if(F.col("disposition") == "rejected").alias("rejected"),
-        F.max(F.when(F.col("disposition") == "failed", F.col("ts"))).alias("last_failure_at"),
-        F.count_if(~F.col("ok")).alias("failures"),
-    )
-    fails_total = dispositions.groupBy(KEY).agg(F.count_if(~F.col("ok")).alias("cf_end"))
-    j = per_call.join(last, on=KEY).join(fails_total, on=KEY)
-    L = F.col("last")
-    is_trip = L.getField("type") == "T"
-    state = F.when(~is_trip, F.lit("closed")).when(L.getField("half_open_at").isNotNull() & L.getField("dst").isNull(), F.lit("half_open")).otherwise(F.lit("open"))
-    fc = F.when(is_trip, L.getField("failure_count")).otherwise(F.col("cf_end") - L.getField("cf"))
-    return j.select(
-        "service",
-        "operation",
-        state.alias("state"),
-        fc.cast("long").alias("failure_count"),
-        "last_failure_at",
-        F.col("last_trip").alias("opened_at"),
-        (F.col("last_trip") + rec).alias("next_attempt_at"),
-        "calls",
-        "rejected",
-        F.col("trips").cast("long").alias("trips"),
-    )
-
-
-def breaker_fold(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600) -> DataFrame:
-    disp, ev = replay(calls, cfg, bucket_seconds)
-    return final_state(disp, ev, cfg)
-
-
-def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), registry: DataFrame | None = None,
-                  bucket_seconds: int = 3600) -> DataFrame:
+@dataclass(frozen=True)
+class Exit:
+    """The state at the end of a segment; its failures are added to those at the entry unless ``reset``."""
+
+    kind: int
+    next: int
+    failures: int
+    reset: bool
+
+    def more(self, n: int) -> Exit:
+        """The exit when ``n`` failures came before."""
+        return self if self.reset else Exit(self.kind, self.next, self.failures + n, False)
+
+    def of(self, failures: int) -> State:
+        return State(self.kind, self.failures + (0 if self.reset else failures), self.next)
+
+
+def step(state: State, t: int, ok: bool, threshold: int, wait: int) -> tuple[State, bool]:
+    """The state after one call, and whether the call was let through."""
+    kind, f = state.kind, state.failures
+    if kind == OPEN and not state.next < t:
+        return state, False
+    if ok:
+        if kind == HALF:
+            return State(CLOSED, 0, state.next), True
+        return State(HALF if kind == OPEN else CLOSED, f, state.next), True
+    f += 1
+    return (State(OPEN, f, t + wait) if f >= threshold else State(kind, f, state.next)), True
+
+
+class Segment:
+    """What a run of calls does to any state: lookups from one backward pass.
+
+    ``opened[k]`` is the exit of a breaker that is open, with all but one of its
+    failures spent, when call k is the first let through.
+    """
+
+    def __init__(self, t: np.ndarray, ok: np.ndarray, threshold: int, wait: int):
+        self.t, self.n, self.threshold, self.wait = t, len(t), threshold, wait
+        self.ok = ok.tolist()
+        self.after = np.searchsorted(t, t + wait, "right").tolist()
+        self.fails = np.flatnonzero(~ok).tolist()
+        self.before = np.concatenate([[0], np.cumsum(~ok)]).tolist()  # failures before each call
+        self.times = t.tolist()
+        self.opened: list[Exit] = [None] * self.n
+        for k in range(self.n - 1, -1, -1):
+            self.opened[k] = self._opened(k)
+
+    def trip(self, j: int) -> Exit:
+        """The exit after call j opens the breaker (its own failure is not counted)."""
+        k = self.after[j]
+        return Exit(OPEN, self.times[j] + self.wait, 0, False) if k == self.n else self.opened[k]
+
+    def _opened(self, k: int) -> Exit:
+        if not self.ok[k]:
+            return self.trip(k).more(1)
+        if k + 1 == self.n:
+            return Exit(HALF, NEVER, 0, False)
+        return self.trip(k + 1).more(1) if not self.ok[k + 1] else self.closed(k + 2)
+
+    def closed(self, i: int) -> Exit:
+        """The exit of a breaker that is closed without failures before call i."""
+        j = self.before[i] + self.threshold - 1
+        if j >= len(self.fails):
+            return Exit(CLOSED, NEVER, len(self.fails) - self.before[i], True)
+        out = self.trip(self.fails[j])
+        return out if out.reset else Exit(out.kind, out.next, out.failures + self.threshold, True)
+
+    def summary(self, start: State) -> dict:
+        """What ``advance`` needs; ``start`` is the state that the breaker had before the log."""
+        cut = [k for k in range(self.n) if k + 1 == self.n or self.opened[k] != self.opened[k + 1]]
+        head = min(self.n, self.threshold + 2)
+        out = {
+            "until": [self.times[k] for k in cut], "opened": [self.opened[k] for k in cut], "threshold": self.threshold, "wait": self.wait,
+            "trips": [self.trip(j) for j in self.fails[: self.threshold]], "failures": len(self.fails), "last": self.times[-1],
+            # for the few calls that a breaker with a stored state of its own takes to fall in line
+            "head": list(zip(self.times[:head], self.ok[:head])), "head_trips": [self.trip(i) for i in range(head)],
+            "head_closed": [self.closed(i) for i in range(head + 1)], "whole": head == self.n,
+        }
+        if start.fresh:
+            state = start
+            for t, ok in zip(self.times, self.ok):
+                state, _ = step(state, t, ok, self.threshold, self.wait)
+            out["from_start"] = state
+        return out
+
+
+def advance(s: dict, state: State) -> State:
+    """The state after a segment, from its summary and the state before it."""
+    if state.fresh:
+        return s["from_start"]
+    threshold = s["threshold"]
+    if state.kind == CLOSED:
+        need = max(threshold - state.failures, 1)
+        if need > s["failures"]:
+            return State(CLOSED, state.failures + s["failures"], state.next)
+        return s["trips"][need - 1].of(state.failures + need)
+    if state.kind == OPEN and state.next >= s["last"]:
+        return state
+    if state.kind == OPEN and state.failures + 1 >= threshold:
+        return s["opened"][bisect_right(s["until"], state.next)].of(state.failures)
+    # half-open, or open with failures to spare (every call is let through then): a few calls decide
+    for i, (t, ok) in enumerate(s["head"]):
+        after, _ = step(state, t, ok, threshold, s["wait"])
+        if after.kind == OPEN and not ok and after.failures >= threshold:
+            return s["head_trips"][i].of(after.failures)
+        if after.kind == CLOSED:
+            return s["head_closed"][i + 1].of(0)
+        state = after
+    return state
+
+
+# ---- the passes ---------------------------------------------------------------------
+
+def _start(row) -> State:
+    stored = row.start_state != "closed" or row.start_failures
+    return State(STATES.index(row.start_state), int(row.start_failures), NEVER if pd.isna(row.start_next) else int(row.start_next), bool(stored))
+
+
+def _runs(batches, columns: list[str], most: int | None = None):
+    """Frames of consecutive rows that are equal in ``columns``, of at most ``most`` rows, across batch borders."""
+    held, size, now = [], 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        codes = np.stack([pd.factorize(b[c])[0] for c in columns])  # null is a value of its own, -1
+        cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), len(b)]
+        for s, e in zip(cuts, cuts[1:]):
+            key = tuple(None if pd.isna(b[c].iloc[s]) else b[c].iloc[s] for c in columns)
+            if held and key != now:
+                yield pd.concat(held)
+                held, size = [], 0
+            now = key
+            while s < e:
+                take = e - s if most is None else min(e - s, most - size)
+                held.append(b.iloc[s : s + take])
+                s, size = s + take, size + take
+                if size == most:
+                    yield pd.concat(held)
+                    held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def _summaries(kept: list[str]):
+    """Call rows with their segment, and a row with its summary after each segment."""
+
+    def run(batches):
+        part, i = TaskContext.get().partitionId() << 32, 0
+        for rows in _runs(batches, list(KEY), SEGMENT):
+            first = next(rows.itertuples())
+            made = Segment(rows["t"].to_numpy(np.int64), rows["ok"].to_numpy(bool), int(first.threshold), int(first.recovery) * 1_000_000)
+            start = _start(first)
+            summary = pickle.dumps((start, made.summary(start)))
+            yield rows[kept].assign(segment=part + i, summary=None)
+            yield rows[kept].iloc[:1].assign(segment=part + i, summary=[summary])
+            i += 1
+
+    return run
+
+
+def _entries(batches):
+    """(segment, kind, failures, next): the state before each segment; summaries come in order, one at a time."""
+    now, state = None, None
+    for b in batches:
+        out = []
+        for row in b.itertuples():
+            start, summary = pickle.loads(row.summary)
+            key = (row.service, row.operation) if row.operation == row.operation else (row.service, None)
+            if key != now:
+                now, state = key, start
+            out.append((row.segment, state.kind, state.failures, state.next, state.fresh))
+            state = advance(summary, state)
+        yield pd.DataFrame(out, columns=["segment", "kind", "failures", "next", "fresh"])
+
+
+def _replayed(kept: list[str]):
+    """Call rows with what became of them, replayed from the state before their segment."""
+
+    def run(batches):
+        for rows in _runs(batches, ["segment"]):
+            first = next(rows.itertuples())
+            threshold, wait = int(first.threshold), int(first.recovery) * 1_000_000
+            state = State(int(first.kind), int(first.failures), int(first.next))
+            out = []
+            for t, ok in zip(rows["t"].tolist(), rows["ok"].tolist()):
+                after, through = step(state, t, ok, threshold, wait)
+                trip = through and not ok and after.kind == OPEN and after.failures >= threshold
+                moved = trip or after.kind != state.kind
+                out.append((
+                    ("ok" if ok else "failed") if through else "rejected", STATES[state.kind] if moved else None,
+                    STATES[after.kind], after.failures, bool(trip), None if after.next == NEVER else after.next,
+                ))
+                state = after
+            made = pd.DataFrame(out, columns=["disposition", "from_state", "state", "failure_count", "trip", "next_attempt"], index=rows.index)
+            made["next_attempt"] = made["next_attempt"].astype("Int64")
+            yield pd.concat([rows[kept], made], axis=1)
+
+    return run
+
+
+_REPLAYED = "disposition string, from_state string, state string, failure_count long, trip boolean, next_attempt long"
+
+
+class Replay:
+    """The replay of ``calls`` (seq, ts, service, operation, ok, ..): one table that dispositions, history and states read.
+
+    ``breakers`` gives stored breakers (see ``with_limits``).  Calls of equal
+    time go by seq; null services and operations are names like others; an
+    empty log gives empty results.  Other columns are kept.
+    """
+
+    def __init__(self, calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), breakers: DataFrame | None = None):
+        self.calls = calls
+        self.extra = [c for c in calls.columns if c not in (*KEY, "seq", "ts", "ok")]
+        narrow = calls.select(*KEY, "seq", micros(F.col("ts")).alias("t"), "ok", *self.extra)
+        limits = with_limits(narrow, cfg, breakers).withColumns({c: F.col(c).cast("long") for c in ("threshold", "recovery", "seq")})
+        dealt = limits.repartitionByRange(*KEY, "t", "seq").sortWithinPartitions(*KEY, "t", "seq")
+        kept = dealt.columns
+        schema = T.StructType([*dealt.schema.fields, T.StructField("segment", T.LongType()), T.StructField("summary", T.BinaryType())])
+        table = _checkpoint(dealt.mapInPandas(_summaries(kept), schema))
+        heads = table.where("summary is not null")
+        # a breaker's segments in order: a row for up to SEGMENT calls
+        ordered = heads.select(*KEY, "t", "seq", "segment", "summary").repartition(*KEY).sortWithinPartitions(*KEY, "t", "seq")
+        entries = ordered.select(*KEY, "segment", "summary").mapInPandas(_entries, "segment long, kind int, failures long, next long, fresh boolean")
+        rows = table.where("summary is null").drop("summary").join(_checkpoint(entries.drop("fresh")), "segment")
+        rows = rows.repartition("segment").sortWithinPartitions("segment", "t", "seq")
+        keep = [*KEY, "seq", "t", "ok", *self.extra]
+        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+        self.rows = _checkpoint(rows.mapInPandas(_replayed(keep), f"{out}, {_REPLAYED}"))
+
+    def dispositions(self) -> DataFrame:
+        """The calls with ``disposition``: ok, failed or rejected (breaker open)."""
+        return self.rows.select("seq", from_micros(F.col("t")).alias("ts"), *KEY, "ok", *self.extra, "disposition")
+
+    def history(self) -> DataFrame:
+        """State transitions (service, operation, ts, from_state, to_state, failure_count)."""
+        moved = self.rows.where("from_state is not null")
+        return moved.select(*KEY, from_micros(F.col("t")).alias("ts"), "from_state", F.col("state").alias("to_state"), "failure_count")
+
+    def states(self) -> DataFrame:
+        """One row per breaker that was called: state, failure count and times after the log."""
+        last, time = F.struct("t", "seq"), from_micros
+        g = self.rows.groupBy(*KEY).agg(
+            F.max_by("state", last).alias("state"), F.max_by("failure_count", last).alias("failure_count"),
+            F.max(F.when(F.col("disposition") == "failed", F.col("t"))).alias("failed"), F.max(F.when(F.col("trip"), F.col("t"))).alias("opened"),
+            F.coalesce(F.max(F.when(F.col("trip"), F.col("next_attempt"))), F.max("next_attempt")).alias("next"), F.count(F.lit(1)).alias("calls"),
+            F.count_if(F.col("disposition") == "rejected").alias("rejected"), F.count_if("trip").alias("trips"),
+        )
+        times = (("failed", "last_failure_at"), ("opened", "opened_at"), ("next", "next_attempt_at"))
+        return g.select(*KEY, "state", "failure_count", *[time(F.col(a)).alias(b) for a, b in times], "calls", "rejected", "trips")
+
+
+def breaker_fold(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), breakers: DataFrame | None = None) -> DataFrame:
+    return Replay(calls, cfg, breakers).states()
+
+
+def breaker_history(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), breakers: DataFrame | None = None) -> DataFrame:
+    return Replay(calls, cfg, breakers).history()
+
+
+def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), registry: DataFrame | None = None, breakers: DataFrame | None = None) -> DataFrame:
     """Per call: ``ok``, ``failed`` or ``rejected`` (breaker open), and for the
     last two the fallback that answers instead (registered strategy for
     ``service.operation``, then ``service``, then the transient / permanent
@@ -343,8 +377,7 @@ def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), re
     from faultline.functions.classify import is_transient
     from faultline.operators.joins import fallback_resolution
 
-    disp, _ = replay(calls, cfg, bucket_seconds)
-    disp = disp.drop(KEY)
+    disp = Replay(calls, cfg, breakers).dispositions()
     if registry is None:
         registry = calls.sparkSession.createDataFrame([], "key string, strategy string")
     msg = F.when(F.col("disposition") == "rejected", F.lit("Circuit breaker is open"))
@@ -357,25 +390,24 @@ def guarded_calls(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), re
     return good.unionByName(fb).drop("error_message")
 
 
-def breaker_history(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600) -> DataFrame:
-    """State transitions (ts, from_state, to_state, failure_count) per breaker."""
-    _, ev = replay(calls, cfg, bucket_seconds)
-    svc = F.get_json_object(F.col(KEY), "$.service")
-    op = F.get_json_object(F.col(KEY), "$.operation")
-    trips = ev.filter(F.col("type") == "T").select(
-        svc.alias("service"), op.alias("operation"), "ts", "seq",
-        F.coalesce(F.col("entered_via"), F.lit("closed")).alias("from_state"), F.lit("open").alias("to_state"), "failure_count",
-    )
-    halfs = ev.filter((F.col("type") == "T") & F.col("half_open_at").isNotNull()).select(
-        svc.alias("service"), op.alias("operation"), F.col("half_open_at").alias("ts"), F.lit(None).cast("long").alias("seq"),
-        F.lit("open").alias("from_state"), F.lit("half_open").alias("to_state"), "failure_count",
-    )
-    resets = ev.filter(F.col("type") == "R").select(
-        svc.alias("service"), op.alias("operation"), "ts", "seq",
-        F.lit("half_open").alias("from_state"), F.lit("closed").alias("to_state"), F.lit(0).cast("long").alias("failure_count"),
-    )
-    out = trips.unionByName(halfs).unionByName(resets)
-    return out.select("service", "operation", "ts", "from_state", "to_state", F.col("failure_count").cast("long").alias("failure_count"))
+# ---- first trips ----------------------------------------------------------------------
+
+BKEY = "bkey"
+
+
+def with_key(calls: DataFrame) -> DataFrame:
+    """Null-safe single-column key for (service, operation)."""
+    return calls.withColumn(BKEY, F.to_json(F.struct("service", "operation")))
+
+
+def running_count(df: DataFrame, flag: Column, order: list[Column], bucket: str, name: str) -> DataFrame:
+    """Inclusive running count of ``flag`` per key, via bucket offsets."""
+    w = Window.partitionBy(BKEY, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_f", flag.cast("long")).withColumn("_within", F.sum("_f").over(w))
+    totals = x.groupBy(BKEY, bucket).agg(F.sum("_f").alias("_bt"))
+    wb = Window.partitionBy(BKEY).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(BKEY, bucket, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+    return x.join(offs, on=[BKEY, bucket], how="left").withColumn(name, F.col("_within") + F.col("_off")).drop("_f", "_within", "_off")
 
 
 def breaker_first_trip(calls: DataFrame, cfg: C.BreakerConfig = C.BreakerConfig(), bucket_seconds: int = 3600) -> DataFrame:

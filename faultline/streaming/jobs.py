@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from faultline import config as C
-from faultline.operators.breaker import micros, from_micros
+from faultline.operators.breaker import from_micros, micros, with_limits
 from faultline.session import ensure_checkpoint_dir
 from faultline.sources import tables as T
 
@@ -237,8 +237,6 @@ BREAKER_OUT = (
     "service string, operation string, state string, failure_count long, last_failure long, opened long, "
     "next_attempt long, calls long, rejected long, trips long"
 )
-#: Columns of a call with its breaker's limits and the state that it had before the stream.
-LIMITS = ("threshold", "recovery", "start_state", "start_failures", "start_next")
 
 
 def _breaker_step(key, pdfs, state):
@@ -298,23 +296,6 @@ def breaker_states(table: PartialTable) -> DataFrame:
     )
 
 
-def with_limits(calls: DataFrame, cfg: C.BreakerConfig, breakers: DataFrame | None) -> DataFrame:
-    """Calls with the limits and the stored state of their breaker (``LIMITS``), else those of ``cfg`` at rest."""
-    none = F.lit(None)
-    rest = {"threshold": F.lit(cfg.failure_threshold), "recovery": F.lit(cfg.recovery_timeout_s), "start_state": F.lit("closed"),
-            "start_failures": F.lit(0).cast("long"), "start_next": none.cast("long")}
-    if breakers is None:
-        return calls.withColumns(rest)
-    b = breakers.select(
-        F.col("service").alias("__s"), F.col("operation").alias("__o"), F.col("failure_threshold").alias("threshold"),
-        F.col("recovery_timeout").alias("recovery"), F.col("state").alias("start_state"),
-        F.col("failure_count").cast("long").alias("start_failures"), micros(F.col("next_attempt_at")).alias("start_next"),
-    )
-    same = F.col("service").eqNullSafe(F.col("__s")) & F.col("operation").eqNullSafe(F.col("__o"))
-    joined = calls.join(b, same, "left").drop("__s", "__o")
-    return joined.withColumns({c: F.coalesce(c, v) for c, v in rest.items()})
-
-
 def breaker_stream(spark: SparkSession, sf_dir: str, cfg: C.BreakerConfig = C.BreakerConfig(), available_now: bool = True, refresh: str = "15 seconds",
                    path: str | None = None, max_files: int | None = None, compact_every: int | None = None, breakers: DataFrame | None = None):
     """Breaker states kept current from a call stream (``applyInPandasWithState``).
