@@ -69,11 +69,14 @@ def avg_response_time(err: DataFrame, as_of, days: int = 7) -> DataFrame:
 
 def top_error_groups(err: DataFrame, as_of, days: int = 7, limit: int = 10) -> DataFrame:
     """Count by (error_code, message), most frequent first (TakeOrderedAndProject)."""
+    P.check_days(days)
+    P.check_limit(limit)
     g = P.since_days(err, as_of, days).groupBy("error_code", "message").agg(F.count(F.lit(1)).alias("count"))
     return g.orderBy(F.col("count").desc(), F.col("error_code").asc_nulls_first(), F.col("message")).limit(limit)
 
 
 def errors_by_status(err: DataFrame, as_of, days: int = 7) -> DataFrame:
+    P.check_days(days)
     g = P.since_days(err, as_of, days).groupBy("status_code").agg(F.count(F.lit(1)).alias("count"))
     return g.orderBy(F.col("count").desc(), "status_code")
 
@@ -84,6 +87,7 @@ def status_distribution(err: DataFrame, as_of, days: int = 7) -> DataFrame:
     The share is a window over the *aggregated* rows (one per status code),
     so the single-partition window only ever sees a few hundred rows.
     """
+    P.check_days(days)
     g = P.since_days(err, as_of, days).groupBy("status_code").agg(F.count(F.lit(1)).alias("count"))
     share = F.round(F.lit(100.0) * F.col("count") / F.sum("count").over(Window.partitionBy()), 2)
     return g.select("status_code", "count", share.cast("double").alias("percentage")).orderBy(

@@ -237,9 +237,13 @@ def breakers_to_reset(cb: DataFrame, ident=None, service: str | None = None, sta
     return out
 
 
-def breakers_unhealthy(cb: DataFrame) -> DataFrame:
+def breakers_unhealthy(cb: DataFrame, as_of) -> DataFrame:
+    """The breakers that are not closed, and whether they would let a call through now."""
+    from faultline.functions.classify import can_attempt
+
+    attempt = can_attempt(F.col("state"), F.col("next_attempt_at"), _ts(as_of))
     return cb.filter(F.col("state") != "closed").select(
-        "service", "operation", "state", "failure_count", "next_attempt_at"
+        "service", "operation", "state", "failure_count", "next_attempt_at", attempt.alias("can_attempt")
     )
 
 

@@ -50,6 +50,8 @@ def live_shape(err: DataFrame) -> DataFrame:
 
 def top_errors(err: DataFrame, as_of, limit: int = 10, days: int = 7) -> DataFrame:
     """Error *rows* with the highest occurrence_count in the window."""
+    P.check_days(days)
+    P.check_limit(limit)
     w = P.since_days(err, as_of, days)
     top = w.orderBy(F.col("occurrence_count").desc(), F.col("id").desc()).limit(int(limit))
     return top.select(

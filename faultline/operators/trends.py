@@ -33,6 +33,7 @@ def period_label(ts: Column, interval: str) -> Column:
 
 def trend(err: DataFrame, as_of, days: int = 7, interval: str = "day") -> DataFrame:
     """Error counts per period, ascending; empty periods are absent."""
+    P.check_days(days)
     w = P.since_days(err, as_of, days)
     g = w.groupBy(period_label(F.col("created_at"), interval).alias("period")).agg(F.count(F.lit(1)).alias("count"))
     return g.orderBy("period")
@@ -43,6 +44,7 @@ def auto_interval(days: int) -> str:
 
 
 def error_rate_series(err: DataFrame, as_of, days: int = 1, interval: str | None = None) -> DataFrame:
+    P.check_days(days)
     return trend(err, as_of, days, interval or auto_interval(days))
 
 

@@ -23,7 +23,9 @@ ERR = """err AS (
     CASE WHEN event_id % 10 < 6 THEN CAST(user_id AS VARCHAR) END AS user_id,
     k % 5 = 0 AS is_resolved, k % 10 + 1 AS occurrence_count, value AS response_ms,
     ts AS created_at, ts AS updated_at,
-    CASE WHEN k % 5 = 0 THEN ts + INTERVAL 1 HOUR END AS resolved_at
+    CASE WHEN k % 5 = 0 THEN ts + INTERVAL 1 HOUR END AS resolved_at,
+    concat('10.', k, '.', event_id % 256, '.7') AS ip_address,
+    list_extract(list_value('Mozilla/5.0','curl/8.5','okhttp/4.12'), k % 3 + 1) AS user_agent
   FROM (SELECT e.*, CAST(json_extract(props, '$.k') AS INT) AS k FROM events e) x
 )"""
 

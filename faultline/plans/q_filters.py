@@ -85,7 +85,7 @@ def errors_page(spark, sf):
 
 @query("error_detail", with_("err", body="SELECT * FROM err WHERE id = 42"))
 def error_detail(spark, sf):
-    return P.by_id(_err(spark, sf), 42)
+    return P.by_id_or_fail(_err(spark, sf), 42, "error")
 
 
 @query(
@@ -103,10 +103,11 @@ def breakers_to_reset(spark, sf):
 
 @query(
     "breakers_unhealthy",
-    with_("cb", body="SELECT service, operation, state, failure_count, next_attempt_at FROM cb WHERE state <> 'closed'"),
+    with_("cb", body="SELECT service, operation, state, failure_count, next_attempt_at, "
+         "coalesce(state = 'half_open' OR next_attempt_at < TIMESTAMP '2024-01-31 00:00:00', false) AS can_attempt FROM cb WHERE state <> 'closed'"),
 )
 def breakers_unhealthy(spark, sf):
-    return P.breakers_unhealthy(T.breakers(spark, sf))
+    return P.breakers_unhealthy(T.breakers(spark, sf), T.AS_OF)
 
 
 @query(
@@ -165,3 +166,8 @@ def recoverable_requests(spark, sf):
 )
 def breakers_stuck_open(spark, sf):
     return P.breakers_stuck_open(T.breakers(spark, sf), AS_OF, 30)
+
+
+@query("errors_page_total", with_("err", body="SELECT count(*) AS total FROM err WHERE status_code = 500 AND NOT is_resolved"))
+def errors_page_total(spark, sf):
+    return P.page_total(_err(spark, sf), {"status_code": 500, "status": "unresolved"})

@@ -332,6 +332,7 @@ _MAIL, _STARRED = "'u' || uid || '@example.com'", "'u' || repeat('*', least(leng
 _IP, _TOKEN, _PW = "'192.168.1.' || (k % 100)", "'tok-' || id", "'pw' || k"
 _QUOTED = f"""'"{C.MASK_STRING}"'"""
 JSON_SQL = {
+    "stored_meta": _json_sql(_TOKEN, _PW, "k", _MAIL, _PW, _IP, "'null'", "NULL"),
     "mask_json_text": _json_sql(M, M, _QUOTED, _MAIL, M, _IP, _QUOTED, f"'token={C.MASK_STRING} of ' || {_MAIL}"),
     "redact_json_text": _json_sql(_TOKEN, _PW, "k", _STARRED, _PW, "'192.*.*.*'", "'null'", f"'token=tok' || k || ' of ' || {_STARRED}"),
     "secure_json_text": _json_sql(M, M, _QUOTED, _STARRED, M, "'192.*.*.*'", _QUOTED, f"'token={C.MASK_STRING} of ' || {_STARRED}"),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
 from faultline import config as C
 from faultline.operators import aggregates as AG
 from faultline.operators import reports as RP
@@ -9,7 +14,10 @@ from faultline.operators import shapes as SH
 from faultline.operators import topk as TK
 from faultline.operators import trends as TR
 from faultline.plans.oracle import with_
+from faultline.plans.q_redact import JSON_SQL
 from faultline.plans.registry import query
+from faultline.session import ensure_checkpoint_dir
+from faultline.sources import stored as ST
 from faultline.sources import tables as T
 
 AS_OF = T.AS_OF
@@ -57,7 +65,7 @@ def scan_breakers(spark, sf):
     with_(
         "err",
         body="""SELECT id, error_id, message, error_code, status_code, occurrence_count, request_url, request_method,
-  CAST(NULL AS VARCHAR) AS ip_address, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, is_resolved
+  ip_address, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, is_resolved
 FROM err ORDER BY created_at DESC, id DESC LIMIT 50""",
     ),
 )
@@ -204,3 +212,69 @@ UNION ALL SELECT 'top_errors', CAST(rk AS INTEGER), message, occurrence_count FR
 )
 def doc_stats(spark, sf):
     return RP.doc_stats(_err(spark, sf), AS_OF, 30)
+
+
+# ---- stored tables -----------------------------------------------------------------
+
+
+def _stored(spark, make):
+    """A fresh stored table under the shared checkpoint folder."""
+    return make(spark, os.path.join(ensure_checkpoint_dir(spark), "stored", uuid.uuid4().hex))
+
+
+_RAW_META = JSON_SQL["stored_meta"]
+STORED_SQL = with_(
+    "err",
+    body=f""", meta AS ({_RAW_META})
+SELECT err.id, error_id, request_method, request_url, '{{"Accept":"application/json","Authorization":"[REDACTED]","X-Request-Id":"req-' || err.id || '"}}' AS request_headers,
+  CASE WHEN err.id % 2 = 0 THEN '{{"amount":' || k || ',"password":"[REDACTED]"}}' END AS request_data, user_id, ip_address, user_agent,
+  CASE WHEN err.id % 8 < 7 THEN payload END AS meta, CASE WHEN is_resolved THEN 'ops' END AS resolved_by, created_at AS first_occurred_at
+FROM err JOIN meta ON meta.id = err.id JOIN (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) ks ON ks.id = err.id
+WHERE created_at >= TIMESTAMP '2024-01-10' AND created_at < TIMESTAMP '2024-01-21'""",
+)
+
+
+@query("scan_stored_errors", STORED_SQL)
+def scan_stored_errors(spark, sf):
+    """Eleven days read back from a stored errors table."""
+    table = _stored(spark, ST.errors_table)
+    table.write(T.stored_errors(spark, sf))
+    return table.read(since="2024-01-10", until="2024-01-20").select(
+        "id", "error_id", "request_method", "request_url", "request_headers", "request_data", "user_id", "ip_address", "user_agent", "meta",
+        "resolved_by", "first_occurred_at",
+    )
+
+
+@query("scan_stored_trends", with_("err", body=", " + TREND_SQL + " SELECT * FROM trend WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"))
+def scan_stored_trends(spark, sf):
+    table = _stored(spark, ST.trends_table)
+    table.write(trend_table(spark, sf))
+    return table.read(since="2024-01-10", until="2024-01-20")
+
+
+@query("scan_stored_breakers", with_("cb", body="SELECT * REPLACE (CAST(failure_threshold AS INTEGER) AS failure_threshold, CAST(success_threshold AS INTEGER) AS success_threshold) FROM cb"))
+def scan_stored_breakers(spark, sf):
+    table = _stored(spark, ST.breakers_table)
+    table.write(T.breakers(spark, sf))
+    return table.read()
+
+
+@query("request_meta", with_("err", body="SELECT id, request_method AS method, request_url AS url, ip_address AS ip, user_agent FROM err"))
+def request_meta(spark, sf):
+    return _err(spark, sf).select("id", ST.request_meta(_err(spark, sf)).alias("m")).select("id", "m.*")
+
+
+MERGE_SQL = with_(
+    "rollup",
+    body="SELECT error_id, occurrence_count, first_occurred_at, last_occurred_at FROM rollup",
+)
+
+
+@query("merge_stored_errors", MERGE_SQL)
+def merge_stored_errors(spark, sf):
+    """Two batches of sightings merged into a stored table, which rewrites the days that they touch."""
+    table = _stored(spark, ST.errors_table)
+    seen = T.stored_errors(spark, sf).withColumn("occurrence_count", F.lit(1))
+    for part in (0, 1):
+        ST.merge_errors(table, seen.where(F.col("id") % 2 == part))
+    return table.read().select("error_id", "occurrence_count", "first_occurred_at", "last_occurred_at")

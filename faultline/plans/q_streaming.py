@@ -12,7 +12,7 @@ ATTRS = "exception_class, error_code, message, status_code, request_method, requ
 LIVE_SQL = with_(
     "err",
     body="""SELECT id, error_id, message, error_code, status_code, occurrence_count, request_url, request_method,
-  CAST(NULL AS VARCHAR) AS ip_address, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, is_resolved FROM err""",
+  ip_address, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, is_resolved FROM err""",
 )
 TRENDS_SQL = with_(
     "err",

@@ -37,6 +37,7 @@ STATUS_CODES = (400, 401, 403, 404, 422, 429, 500, 502, 503)
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 SERVICES = ("api-service", "database", "payment-gateway", "email-service", "storage-service")
 OPERATIONS = ("create_user", "process_payment", "send_email", "upload_file", "fetch_data")
+USER_AGENTS = ("Mozilla/5.0", "curl/8.5", "okhttp/4.12")
 ATTEMPT_STATUS = (429, 500, 502, 503, 422)
 ATTEMPT_MESSAGES = ("Connection timeout", "Invalid data", "Network error", "HTTP 503 error")
 
@@ -57,6 +58,11 @@ def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def _text(*parts) -> Column:
+    """Literals and columns as one string."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One error row per event; ``error_id`` repeats so roll-ups have work."""
     return errors_from_events(read(spark, sf_dir, "events"))
@@ -86,6 +92,8 @@ def errors_from_events(e: DataFrame, *keep: str) -> DataFrame:
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
         F.when(kk % 5 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("resolved_at"),
+        _text("10.", kk, ".", F.col("event_id") % 256, ".7").alias("ip_address"),
+        pick(USER_AGENTS, kk % 3 + 1).alias("user_agent"),
     )
 
 
@@ -259,11 +267,6 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("event_id").alias("id"), _validation_map(F.col("k"), F.col("user_id")).alias("errors"))
 
 
-def _text(*parts) -> Column:
-    """Literals and columns as one string."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text of mixed types and depths, one per event (every eighth is null, some are no documents)."""
     x = _events_k(spark, sf_dir)
@@ -307,6 +310,19 @@ def error_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("__uid", "__k")
 
 
+def stored_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors with all that is stored of them: request, user, sightings and resolution too."""
+    x = error_responses(spark, sf_dir)
+    k, eid = F.col("line"), F.col("id")
+    return x.withColumns({
+        "request_headers": _text('{"Accept":"application/json","Authorization":"[REDACTED]","X-Request-Id":"req-', eid, '"}'),
+        "request_data": F.when(eid % 2 == 0, _text('{"amount":', k, ',"password":"[REDACTED]"}')),
+        "resolved_by": F.when(F.col("is_resolved"), "ops"),
+        "first_occurred_at": F.col("created_at"),
+        "last_occurred_at": F.col("created_at"),
+    })
+
+
 def trace_column(eid: Column, occurrences: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(1), occurrences + 4),

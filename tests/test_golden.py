@@ -260,3 +260,39 @@ def test_auto_interval():
     from faultline.operators.trends import auto_interval
 
     assert auto_interval(1) == "hour" and auto_interval(2) == "day"
+
+
+def test_retry_follows_the_strategy_of_its_service(spark):
+    log = [(c, (i,), False, 503, "Network error", svc) for c, svc in ((1, "a"), (2, "b"), (3, "c"), (4, None)) for i in range(6)]
+    df = spark.createDataFrame(log, "call_id long, ord struct<n:int>, ok boolean, status_code int, message string, service string")
+    rules = spark.createDataFrame([("a", 5, 10, 3.0), ("b", 1, 10, 2.0), ("b", 4, 1, 1.0), ("c", 0, 1, 1.0)], "service string, max_retries int, base_delay_ms int, multiplier double")
+    out = {r.call_id: (r.tries, r.outcome, r.backoff_ms) for r in RT.retry_outcomes(df, strategies=rules).collect()}
+    # two strategies of one service: the one with the fewest retries; a strategy without retries does not count
+    assert out == {1: (5, "max_retries", 400.0), 2: (1, "max_retries", 0.0), 3: (3, "max_retries", 3000.0), 4: (3, "max_retries", 3000.0)}
+    plans = RT.backoff_schedule(df, rules.where("max_retries > 0")).where("service = 'b'").collect()
+    assert plans == []
+
+
+@pytest.mark.parametrize("days,limit", [(0, 10), (366, 10), (7, 0), (7, 101)])
+def test_windows_and_limits_are_checked(spark, days, limit):
+    from faultline.operators import trends as TR
+
+    e = _err(spark, [{}])
+    with pytest.raises(ValueError):
+        TK.top_errors(e, NOW, limit, days)
+    with pytest.raises(ValueError):
+        AG.top_error_groups(e, NOW, days, limit)
+    if limit == 10:
+        for fn in (AG.status_distribution, TR.trend, TR.error_rate_series):
+            with pytest.raises(ValueError):
+                fn(e, NOW, days)
+
+
+def test_page_total_and_unhealthy_breakers(spark):
+    e = _err(spark, [{"status_code": 500}, {"status_code": 500}, {}])
+    assert P.page_total(e, {"status_code": 500}).first().total == 2
+    cb = spark.createDataFrame(
+        [("a", None, "open", 5, NOW - dt.timedelta(seconds=1)), ("b", None, "open", 5, NOW), ("c", None, "half_open", 1, None), ("d", None, "closed", 0, None)],
+        "service string, operation string, state string, failure_count int, next_attempt_at timestamp_ntz",
+    )
+    assert {r.service: r.can_attempt for r in P.breakers_unhealthy(cb, NOW).collect()} == {"a": True, "b": False, "c": True}

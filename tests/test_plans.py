@@ -7,7 +7,7 @@ from faultline.plans.registry import QUERIES, load_all
 
 load_all()
 # these run jobs while building (streams, checkpointed replay rounds, probes)
-EAGER = ("stream_", "breaker_fold", "guarded_calls", "breaker_history", "resolve_error")
+EAGER = ("stream_", "breaker_fold", "guarded_calls", "breaker_history", "resolve_error", "scan_stored", "merge_stored")
 LAZY = sorted(n for n in QUERIES if not n.startswith(EAGER))
 
 
