@@ -27,7 +27,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern that cuts text into pieces before merging.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces that a task remembers, and the longest piece worth remembering.
-REMEMBER, SHORT = 200_000, 64
+REMEMBER, SHORT = 50_000, 64
 #: Characters of text turned into one output batch.
 BATCH_CHARS = 2 << 20
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Scratch
-from faultline.llm.vectors import common_length, matrix, one_each, unit
+from faultline.llm.vectors import matrix, one_each, unit
 
 #: Projections, half a window's width for radius 1, and the share of windows that a vector must lie in to be verified.
 #: A vector at the radius lies in a window with probability 0.63, and in 0.56 of 128 windows with about 0.95.
@@ -77,29 +77,31 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines of the original vectors; equal vectors get equal numbers whatever their place."""
     top = np.abs(x).max(axis=1, keepdims=True)
     x, q = x / top, q / np.abs(q).max()
-    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return np.clip((x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())), -1.0, 1.0)
 
 
 def _search(shared, k: int):
+    """The nearest that each query finds in each block of vectors of its own length."""
+
     def run(batches):
-        qids, q = shared.value
-        held, size = [], 0
+        queries = shared.value  # length -> (ids, vectors)
+        held: dict[int, list] = {}
 
-        def out():
-            ids = np.concatenate([i for i, _ in held])
-            rows = search_block(ids, np.concatenate([x for _, x in held]), qids, q, k)
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        def out(dim: int):
+            some = held.pop(dim)
+            ids, x = np.concatenate([i for i, _ in some]), np.concatenate([v for _, v in some])
+            for s in range(0, len(ids), BLOCK):
+                rows = search_block(ids[s : s + BLOCK], x[s : s + BLOCK], *queries[dim], k)
+                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
         for b in batches:
-            for s in range(0, len(b), BLOCK):
-                part = b.iloc[s : s + BLOCK]
-                if size + len(part) > BLOCK and held:
-                    yield out()
-                    held, size = [], 0
-                held.append((part["vec_id"].to_numpy(np.int64), matrix(part["vec"])))
-                size += len(part)
-        if held:
-            yield out()
+            for dim, part in b.groupby(b["vec"].map(len)):
+                if dim in queries:
+                    held.setdefault(dim, []).append((part["vec_id"].to_numpy(np.int64), matrix(part["vec"])))
+            for dim in [d for d, some in held.items() if sum(len(i) for i, _ in some) >= BLOCK]:
+                yield from out(dim)
+        for dim in list(held):
+            yield from out(dim)
 
     return run
 
@@ -112,16 +114,15 @@ def nearest_vectors(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "ve
     parameters above at least 0.9 of the true nearest are found.  Queries go
     to the blocks in bounded chunks.
 
-    Vectors that are null, empty, zero or hold null or non-finite components,
-    and vectors of another length than most, take no part; rows that repeat a
-    vec_id count once; with fewer candidates all are returned; equal scores are
+    Vectors that are null, empty, zero or hold null or non-finite components
+    take no part; vectors of different lengths are no candidates for each other;
+    rows that repeat a vec_id count once; with fewer candidates all are returned; equal scores are
     ranked by the smaller vec_id; an empty table gives an empty result; other
     columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     each = scratch.write(one_each(vectors, id_col, vec_col), "vectors")
-    each = each.where(F.size("vec") == common_length(each))
     queries = each.where(query_ids)
     chunks = queries.count() // QUERIES + 1
     found = None
@@ -130,7 +131,8 @@ def nearest_vectors(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "ve
         chunk = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toPandas().sort_values("vec_id")
         if not len(chunk):
             continue
-        shared = spark.sparkContext.broadcast((chunk["vec_id"].to_numpy(np.int64), matrix(chunk["vec"])))
+        by_length = chunk.groupby(chunk["vec"].map(len))
+        shared = spark.sparkContext.broadcast({d: (rows["vec_id"].to_numpy(np.int64), matrix(rows["vec"])) for d, rows in by_length})
         part = each.mapInPandas(_search(shared, k), "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
     if found is None:

@@ -73,16 +73,17 @@ def mix_sources(
     source's words, the excess goes to the others by weight until none is above.
     Every document is repeated floor(target / source_size) times whole; the rest
     of the target is filled with one further copy of documents in the order of a
-    seeded hash, up to the document whose middle passes the target.  So a
+    seeded hash of id and text, up to the document whose middle passes the target.  So a
     source's taken words miss its target by half a document at most, and reruns
     agree.
 
     A null or empty text has size 0 and takes 0 words; null sources are one
-    source; a source without words has target 0; repeated rows are documents of
-    their own; an empty table gives an empty result; other columns are ignored.
+    source; a source without words has target 0; rows that share an id or have
+    none are ordered by their texts, equal rows are documents of their own; an empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), own).cast("binary"))
     sized = scratch.write(
         docs.select("doc_id", "source", n_words().alias("size"), h.alias("h"))
         .withColumn("b", F.conv(F.substring("h", 1, HEX), 16, 10).cast("int")),
@@ -115,7 +116,7 @@ def mix_sources(
         "cuts",
     )
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
-    order = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.sum("size").over(order) - F.col("size") / 2
     edge = placed.where("b = top").withColumn("extra", (middle < F.col("left")).cast("long"))
     clear = placed.where("b <> top").withColumn("extra", (F.col("b") < F.col("top")).cast("long"))

@@ -54,7 +54,7 @@ class _Words(dict):
     """Hashes of words; emptied when it grows past its bound, so long tasks stay small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -74,8 +74,12 @@ def shingle_set(text: str | None, n: int, words: _Words) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the hashes in at least len(s) bits, a power of two: xor-ing halves gives the sketch of half the size."""
-    bits = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    """Parity of the hashes in at least 2 * len(s) bits, a power of two: xor-ing halves gives the sketch of half the size.
+
+    Sets of one bucket differ in size by less than two, so a sketch that is
+    folded to the least size there still has a bit for each of its hashes.
+    """
+    bits = max(64, 1 << (2 * max(1, len(s)) - 1).bit_length())
     count = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
 
@@ -265,8 +269,9 @@ def _in_blocks(num: int, den: int):
     def find(run: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
         doc, sets = run["rep"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in run["items"]]
         size = np.array([len(s) for s in sets])
-        least = max(64, 1 << (int(size.min()) - 1).bit_length()) // 8
-        sk = np.stack([_fold(np.frombuffer(sketch(s), np.uint8), least) for s in sets])
+        sketches = [np.frombuffer(sketch(s), np.uint8) for s in sets]
+        least = min(map(len, sketches))
+        sk = np.stack([_fold(x, least) for x in sketches])
         _, label = np.unique(run["comp"].to_numpy(np.int64), return_inverse=True)  # merged as links are found
         out = []
         for x, y in _sides(run, i, j):

@@ -34,7 +34,7 @@ SQL = {"op3_ngram_jaccard": jaccard_sql("documents", 3, 9, 10)}
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 SQL["op7_source_mix"] = f"""
-WITH sized AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
   FROM sized GROUP BY source),
 filled AS (SELECT *, sum(n) OVER () AS t, sum(w) OVER () AS ws,
@@ -45,7 +45,7 @@ level AS (SELECT arg_min(v, 3.0 * n / w) AS v FROM (SELECT *, CAST(t - used AS D
 plan AS (SELECT source, n AS source_size, least(v * w, CAST(3 * n AS DOUBLE)) AS target FROM sources, level),
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan),
 run AS (SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, target - whole * source_size AS rest,
-  sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+  sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
 copies AS (SELECT *, whole + CASE WHEN middle < rest THEN 1 ELSE 0 END AS copies FROM run)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM copies"""

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import Scratch, components
-from faultline.llm.vectors import common_length, matrix, one_each, runs, unit
+from faultline.llm.vectors import long_lengths, matrix, one_each, runs, unit
 
 #: Pivots, pivots that describe a vector, sample that they are taken from, and the cosine that separates them.
 #: On 64 dimensions a pair at cosine 0.95 shares two of its 8 nearest of 256 pivots in 99.8 % of cases or more.
 PIVOTS, NEAREST, SAMPLE, APART = 256, 8, 4096, 0.6
 #: Vectors of a posting list that are compared at once.
 BLOCK = 1024
+#: Up to so many vectors of one length are one posting list; more have pivots of their own.
+FEW = 512
 
 
 def choose_pivots(sample: np.ndarray, dim: int, pivots: int = PIVOTS) -> np.ndarray:
@@ -108,6 +110,21 @@ def _link(pivots: int, threshold: float):
     return run
 
 
+def _one_list(pivots: int):
+    """The rows of vectors of a rare length, which share one posting list a length."""
+
+    def run(batches):
+        mask = np.zeros(pivots, np.uint8)
+        mask[:2] = 1
+        packed = np.packbits(mask).tobytes()
+        for b in batches:
+            # a key no pivots have; its lowest two shared pivots are 0 and 1
+            key = 1 - b["vec"].map(len).astype(np.int64) * pivots * pivots
+            yield pd.DataFrame({"rep": b["rep"], "key": key, "mask": [packed] * len(b)})
+
+    return run
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, nearest: int = NEAREST
 ) -> DataFrame:
@@ -118,8 +135,9 @@ def near_duplicates(
     below the threshold is linked; pairs above it that share fewer than two of
     their nearest pivots are missed (see NEAREST for the measured recall).
 
-    Vectors that are null, empty, zero or hold null or non-finite components,
-    and vectors of another length than most, link with nothing.  Rows that
+    Vectors that are null, empty, zero or hold null or non-finite components
+    link with nothing; vectors link with those of their own length: lengths that
+    few vectors have are compared whole, others have an index of their own.  Rows that
     repeat a vec_id count once (the least usable vector); rows with a null
     vec_id are left out; equal vectors link; an empty table gives an empty
     result; other columns are ignored.
@@ -128,14 +146,18 @@ def near_duplicates(
     scratch = Scratch(spark, "pivots")
     each = one_each(vectors, id_col, vec_col)
     each = scratch.write(each.withColumn("c1", F.xxhash64("vec")).withColumn("c2", F.md5(F.to_json("vec"))), "each")
-    dim = common_length(each)
-    groups = each.where(F.size("vec") == dim).groupBy("c1", "c2")
+    groups = each.groupBy("c1", "c2")
     classes = scratch.write(groups.agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")), "classes")
     named = each.join(classes.select("c1", "c2", "rep", "copies"), ["c1", "c2"], "left").select("vec_id", "rep", "copies")
-    sample = classes.orderBy(F.xxhash64("c2"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]
-    chosen = choose_pivots(unit(matrix(sample)) if len(sample) else np.empty((0, dim)), dim, pivots) if dim else np.ones((pivots, 1))
-    shared = spark.sparkContext.broadcast(chosen)
-    lists = classes.select("rep", "vec").mapInPandas(_describe(shared, nearest), "rep long, key long, mask binary")
+    length, of_list = F.size("vec"), "rep long, key long, mask binary"
+    dims = long_lengths(classes, FEW)
+    lists = classes.where(~length.isin(dims)).select("rep", "vec").mapInPandas(_one_list(pivots), of_list)
+    for i, dim in enumerate(dims):
+        same = classes.where(length == dim)
+        sample = same.orderBy(F.xxhash64("c2"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]
+        shared = spark.sparkContext.broadcast(choose_pivots(unit(matrix(sample)), dim, pivots))
+        described = same.select("rep", "vec").mapInPandas(_describe(shared, nearest), of_list)
+        lists = lists.union(described.withColumn("key", F.col("key") + i * pivots * pivots))
     lists = scratch.write(lists, "lists")
     long = lists.groupBy("key").agg(F.count("*").alias("n"))
     long = long.where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))

@@ -17,8 +17,7 @@ def usable(v: Column) -> Column:
 
 
 def one_each(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec array<double>) of the usable vectors: of rows that repeat an id the least vector counts, and vectors of
-    another length than most have take no part."""
+    """(vec_id, vec array<double>) of the usable vectors: of rows that repeat an id the least vector counts."""
     rows = vectors.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")
     )
@@ -26,10 +25,10 @@ def one_each(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows
 
 
-def common_length(vectors: DataFrame) -> int:
-    """The most frequent length (the smaller of equals), 0 for an empty table."""
-    top = vectors.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return top["d"] if top else 0
+def long_lengths(vectors: DataFrame, more_than: int) -> list[int]:
+    """The lengths that more than so many vectors have."""
+    counts = vectors.groupBy(F.size("vec").alias("d")).count().where(F.col("count") > more_than)
+    return sorted(r["d"] for r in counts.collect())  # at most a row for every so many vectors
 
 
 def matrix(column: pd.Series) -> np.ndarray:

@@ -148,6 +148,15 @@ def test_toxicity_separates_held_out_rows(spark):
 # ---- mixing --------------------------------------------------------------------------
 
 
+def test_mix_of_rows_without_ids_of_their_own(spark):
+    from faultline.llm.mixing import mix_sources
+
+    rows = [(None, " ".join(["w"] * (1 + i % 17)) + f" n{i}", "a") for i in range(60)] + [(7, "x y z", "a"), (7, "x y", "a"), (7, "x y", "b")]
+    df = spark.createDataFrame(rows, DOCS)
+    took = lambda d: sorted((tuple(r) for r in mix_sources(d).collect()), key=repr)
+    assert took(df.repartition(1)) == took(df.repartition(7, "text")) == took(df.orderBy(F.desc("text")))
+
+
 def test_mix_reaches_capped_targets(spark):
     from faultline.llm.mixing import mix_sources
 

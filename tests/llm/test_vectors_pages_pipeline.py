@@ -23,6 +23,35 @@ def vectors(spark, seed=0, dim=32):
     return spark.createDataFrame(data, VEC).withColumn("rep", F.lit("clash")), [d[:2] for d in data]
 
 
+def test_vectors_of_every_length(spark, monkeypatch):
+    """Links and neighbours are found within each length, whether few or many vectors have it."""
+    import faultline.llm.pivot_dedup as D
+    from faultline.llm.collision_ann import nearest_vectors
+
+    rng = np.random.default_rng(8)
+    data, at = [], 0
+    for dim, n in ((2, 3), (3, 40), (48, 700), (64, 90), (5, 1)):
+        base = rng.normal(size=(n // 3 + 1, dim))
+        for i in range(n):
+            data.append((at, (base[i % len(base)] + 0.05 * rng.normal(size=dim)).tolist()))
+            at += 1
+    data += [(at + i, [1.0] * (2 + i % 2)) for i in range(6)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in data], VEC)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data}
+    cos = lambda a, b: float(unit[a] @ unit[b]) if len(unit[a]) == len(unit[b]) else -9.0
+    ids = sorted(unit)
+    links = {a: {b for b in ids if b != a and cos(a, b) >= 0.95} for a in ids}
+    got = {r.vec_id: r.n_links for r in D.near_duplicates(df).collect()}
+    assert got == {a: len(b) for a, b in links.items()}
+    found = {}
+    for r in nearest_vectors(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score <= 1.0
+    for q in [i for i in ids if i % 50 == 0]:
+        near = sorted((b for b in ids if b != q and len(unit[b]) == len(unit[q])), key=lambda b: (-cos(q, b), b))[:5]
+        assert len(found.get(q, [])) == len(near) and len(set(found.get(q, [])) & set(near)) >= len(near) - 1
+
+
 def usable(data, dim=32):
     out = {}
     for i, v in data:
@@ -216,6 +245,19 @@ def test_pipeline_stages(spark, sf):
         assert empty.count() == 0
 
 
+def test_distinct_with_repeated_and_missing_ids(spark, sf):
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w3 ", "x ")
+    rows = [(7, text), (7, text), (None, text), (None, near), (3, near), (7, "another text of the id"), (None, "no id here"), (None, "no id here"), (None, None), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __row string").repartition(3)
+    left = P.distinct(spark, docs.drop("__row"), sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(
+        [(3, near), (7, "another text of the id"), (None, "no id here"), (None, None), (None, None), (9, "")], key=repr
+    )
+
+
 def test_unclosed_elements_leave_the_rest_of_the_page():
     from faultline.llm.html_crf import blocks
 
