@@ -26,10 +26,23 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a Jaccard similarity of 0.8 over five-word shingles."""
-    groups = ngram_components(docs, n=5, num=4, den=5)
-    other = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(small(other, other.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked by a Jaccard similarity of 0.8 over five-word shingles.
+
+    It is the one with the smallest id.  Of rows that share an id, and of rows
+    without one, equal texts are one group as well, and of several texts each is
+    compared by itself; documents without words are each kept.
+    """
+    scratch = Scratch(spark, "distinct")
+    # rows are named by a number of their own, so an id may repeat or be missing
+    rows = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = scratch.write(ngram_components(rows.select(F.col("__row").alias("doc_id"), "text"), n=5, num=4, den=5), "groups")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    member = groups.join(several, "component_id").select(F.col("doc_id").alias("__row"), "component_id")
+    member = scratch.write(member.join(rows.select("__row", "doc_id"), "__row"), "member")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    stays = member.groupBy("component_id").agg(F.min_by("__row", order).alias("stays"))
+    other = scratch.write(member.join(stays, "component_id").where("__row <> stays").select("__row"), "other")
+    return rows.join(small(other, other.count()), "__row", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
