@@ -204,6 +204,22 @@ LIVE_FEED_LIMIT = 50
 RETENTION_DAYS = 30
 
 
+@dataclass(frozen=True)
+class Rule:
+    """One step of a text mask: matches of ``pattern`` become ``replacement`` ($1 is the first group), or, where that is
+    None, the partial mask of the ``kind`` (ip, email or phone)."""
+
+    kind: str
+    pattern: str
+    replacement: str | None = None
+
+
+#: Rules in the order in which they apply.
+SECRET_RULES = tuple(Rule("secret", p, r) for p, r in SECRET_PATTERNS)
+PII_RULES = (Rule("ip", PII_IP_PATTERN), Rule("email", PII_EMAIL_PATTERN), Rule("phone", PII_PHONE_PATTERN))
+TAG_RULES = tuple(Rule(kind, p, f"[{kind}:REDACTED]") for kind, p in TAG_PATTERNS)
+
+
 @dataclass(frozen=True)
 class RedactionConfig:
     mask_sensitive_data: bool = True
@@ -213,6 +229,8 @@ class RedactionConfig:
     sensitive_headers: tuple[str, ...] = SENSITIVE_HEADERS
     sanitize_sql: bool = True
     production: bool = True
+    secret_rules: tuple[Rule, ...] = SECRET_RULES
+    pii_rules: tuple[Rule, ...] = PII_RULES
 
 
 @dataclass(frozen=True)

@@ -59,6 +59,28 @@ def errors_with_trends(err: DataFrame, trends: DataFrame) -> DataFrame:
     )
 
 
+def trend_chunks(trends: DataFrame) -> DataFrame:
+    """The trend rows of each error_code, nested by month: (error_code, month, trends).
+
+    A list holds a month's (date, status_code, count) rows in order, so its
+    length is bounded by days and status codes however often a code occurs.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("date", "status_code", "count")))
+    known = trends.filter(F.col("error_code").isNotNull())
+    return known.groupBy("error_code", F.trunc("date", "month").alias("month")).agg(rows.alias("trends"))
+
+
+def errors_with_trend_rows(err: DataFrame, trends: DataFrame) -> DataFrame:
+    """Each error with the trend rows of its code nested, a row a month: (id, error_id, error_code, month, trends).
+
+    An error whose code is null or has no trend has one row with a null month
+    and an empty list.
+    """
+    none = F.array().cast("array<struct<date:date,status_code:int,count:bigint>>")
+    j = err.select("id", "error_id", "error_code").join(trend_chunks(trends), "error_code", "left")
+    return j.select("id", "error_id", "error_code", "month", F.coalesce("trends", none).alias("trends"))
+
+
 def related_errors(err: DataFrame, limit: int = 5) -> DataFrame:
     """For every error: the ``limit`` newest other errors on the same endpoint."""
     newest = Window.partitionBy("request_url").orderBy(F.col("related_at").desc(), F.col("related_id").desc())

@@ -57,6 +57,22 @@ def errors_with_trends(spark, sf):
     return J.errors_with_trends(e, TR.daily_trends(e, "occurrences"))
 
 
+@query(
+    "errors_with_trend_rows",
+    with_(
+        "rollup",
+        body=f""", {TREND_OCC}
+SELECT id, error_id, rollup.error_code, CAST(date_trunc('month', date) AS DATE) AS month, date, trend.status_code, count
+FROM rollup LEFT JOIN trend ON rollup.error_code = trend.error_code""",
+    ),
+)
+def errors_with_trend_rows(spark, sf):
+    """The rolled-up errors with the nested trend rows of their codes, unnested again to compare."""
+    e = _err(spark, sf)
+    nested = J.errors_with_trend_rows(J.error_occurrences(e), TR.daily_trends(e, "occurrences"))
+    return nested.select("id", "error_id", "error_code", "month", F.explode_outer("trends").alias("t")).select("id", "error_id", "error_code", "month", "t.*")
+
+
 @query(
     "related_errors",
     with_(

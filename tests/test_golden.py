@@ -296,3 +296,18 @@ def test_page_total_and_unhealthy_breakers(spark):
         "service string, operation string, state string, failure_count int, next_attempt_at timestamp_ntz",
     )
     assert {r.service: r.can_attempt for r in P.breakers_unhealthy(cb, NOW).collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_nested_trend_rows_are_bounded_lists(spark):
+    from faultline.operators import joins as J
+
+    e = spark.createDataFrame([(i, f"e{i}", "HOT") for i in range(50)] + [(90, "x", None), (91, "y", "NONE")], "id long, error_id string, error_code string")
+    days = [(dt.date(2024, m, d), "HOT", s, m * d) for m in (1, 2) for d in (3, 1, 2) for s in (500, 404)]
+    trends = spark.createDataFrame([*days, (dt.date(2024, 1, 1), None, 500, 9)], "date date, error_code string, status_code int, count long")
+    out = J.errors_with_trend_rows(e, trends).collect()
+    assert len(out) == 50 * 2 + 2
+    hot = [r for r in out if r.id == 7]
+    assert sorted(r.month.month for r in hot) == [1, 2]
+    january = next(r for r in hot if r.month.month == 1)
+    assert [(t.date.day, t.status_code) for t in january.trends] == [(1, 404), (1, 500), (2, 404), (2, 500), (3, 404), (3, 500)]
+    assert all(r.trends == [] and r.month is None for r in out if r.id in (90, 91))
