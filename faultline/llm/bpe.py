@@ -27,7 +27,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern that cuts text into pieces before merging.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Pieces that a task remembers, and the longest piece worth remembering.
-REMEMBER, SHORT = 50_000, 64
+REMEMBER, SHORT = 200_000, 64
 #: Characters of text turned into one output batch.
 BATCH_CHARS = 2 << 20
 
@@ -114,30 +114,33 @@ def merge(ids: list[int], merges: dict[int, int]) -> list[int]:
 class Codec:
     """Encodes and decodes texts within a task."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.seen = vocabulary, {}
+    def __init__(self, vocabulary: Vocabulary, remember: int = REMEMBER):
+        self.v, self.most = vocabulary, max(remember // 2, 1)
+        #: pieces met lately, and those met before them: the ones that are met again stay
+        self.seen, self.before = {}, {}
         self.pieces = regex.compile(PIECE).findall
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split if added else None
 
     def piece(self, piece: str) -> bytes:
-        v = self.v
-        ids = merge([v.byte_ids[b] for b in piece.encode("utf-8", "replace")], v.merges)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        v, out = self.v, self.before.get(piece)
+        if out is None:
+            ids = merge([v.byte_ids[b] for b in piece.encode("utf-8", "replace")], v.merges)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT:
-            if len(self.seen) >= REMEMBER:
-                self.seen.clear()
+            if len(self.seen) >= self.most:
+                self.seen, self.before = {}, self.seen
             self.seen[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        out, seen, piece = [], self.seen, self.piece
+        out, piece = [], self.piece
         for part in self.split(text) if self.split else [text]:
             if part in self.v.added:
                 out.append(np.array([self.v.added[part]], "<u4").tobytes())
             else:
-                out += [seen.get(p) or piece(p) for p in self.pieces(part)]
+                out += [self.seen.get(p) or piece(p) for p in self.pieces(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -148,19 +151,20 @@ class Codec:
 _kept: dict[str, Codec] = {}
 
 
-def _codec(name: str, shared) -> Codec:
+def _codec(name: str, shared, remember: int) -> Codec:
     if name not in _kept:
         _kept.clear()
-        _kept[name] = Codec(shared.value)
+        _kept[name] = Codec(shared.value, remember)
     return _kept[name]
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """``docs`` without ``text`` and with ``ids`` binary (little-endian unsigned 32-bit) and ``decoded`` string.
 
     ids are those of the tokenizer file at ``path`` with no special tokens
     added; the text of an added token in a document is that token.  decoded is
-    made from the ids.  A null text counts as empty: no ids, an empty decoded
+    made from the ids.  ``remember`` bounds the pieces whose ids a task keeps: fewer
+    take less memory and more time.  A null text counts as empty: no ids, an empty decoded
     text.  Texts of any length are read whole; a piece without white space of
     any length takes n log n steps.  Repeated rows are treated alike; an empty
     table gives an empty result; other columns are kept, but for those named
@@ -173,7 +177,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = docs.select(*kept).schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches):
-        codec = _codec(name, shared)
+        codec = _codec(name, shared, remember)
         for batch in batches:
             column = batch.column(len(kept))
             start, n, ids, decoded = 0, 0, [], []
