@@ -60,7 +60,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every row."""
-    return digests(encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+    # workers of the stages before may still be alive, so this one remembers less
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return digests(encode_decode(docs.select("doc_id", "lang", "source", "text"), path, remember=60_000))
 
 
 STAGES = [
