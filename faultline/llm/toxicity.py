@@ -50,6 +50,10 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: Words whose features a task remembers.
+REMEMBERED = 60_000
+
+
 class Model:
     """Weights of the used features and a bias; a text's score depends on which of them it has."""
 
@@ -57,18 +61,23 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def scorer(self):
-        """A function of a text.  It remembers the used features of words, up to a bound."""
+        """A function of a text.  It remembers the used features of words, up to a bound; those met again stay."""
         seen: dict[str, tuple] = {}
+        before: dict[str, tuple] = {}
         weights = self.weights
 
         def score(text: str | None) -> float:
+            nonlocal seen, before
             hit: set[int] = set()
             for w in words(text):
                 f = seen.get(w)
                 if f is None:
-                    if len(seen) > 150_000:
-                        seen.clear()
-                    seen[w] = f = tuple(x for x in features(w) if x in weights)
+                    f = before.get(w)
+                    if f is None:
+                        f = tuple(x for x in features(w) if x in weights)
+                    if len(seen) >= REMEMBERED // 2:
+                        seen, before = {}, seen
+                    seen[w] = f
                 if f:
                     hit.update(f)
             return float(_sigmoid(self.bias + sum(weights[x] for x in sorted(hit))))
