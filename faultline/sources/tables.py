@@ -53,6 +53,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows spread evenly over all cores, for work that costs far more than reading: a scan has one task for
+    each large row group at most, however many cores there are."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def pick(values, index: Column) -> Column:
     """``values[index]`` for a 1-based integer column over a literal list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -170,13 +176,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return _with_k(read(spark, sf_dir, "events"))
+
+
+def _with_k(e: DataFrame) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def contact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text lines with phones, e-mails, IPs and secrets, one per event."""
-    x = _events_k(spark, sf_dir)
+    x = _with_k(spread(read(spark, sf_dir, "events")))
     uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
     line = F.concat(
         F.lit("Contact user"), uid.cast("string"), F.lit(" at +"), (uid % 9 + 1).cast("string"),
@@ -292,7 +301,7 @@ def meta_text(eid: Column, uid: Column, k: Column) -> Column:
 
 def error_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The errors with what their responses are made of: meta, suggestion, link, validation messages, place and trace."""
-    e = read(spark, sf_dir, "events").withColumns({"__uid": F.col("user_id"), "__k": F.get_json_object("props", "$.k").cast("int")})
+    e = spread(read(spark, sf_dir, "events")).withColumns({"__uid": F.col("user_id"), "__k": F.get_json_object("props", "$.k").cast("int")})
     x = errors_from_events(e, "__uid", "__k")
     k, uid, eid, message = F.col("__k"), F.col("__uid"), F.col("id"), F.col("message")
     named = F.concat(message, _text(" for u", uid, "@example.com password=pw", k))
