@@ -55,10 +55,14 @@ def unquote(token: Column) -> Column:
     return let(token, plain)
 
 
+#: Printable ASCII without quotes and backslashes: what JSON writes as it is.
+AS_IT_IS = r"^[ !#-\[\]-~]*+\z"
+
+
 def quote(text: Column) -> Column:
-    """The JSON string token of a string; null for null."""
+    """The JSON string token of a string; null for null.  Only strings that need it pass through a JSON writer."""
     token = lambda j: F.substring(j, F.lit(2), F.length(j) - 2)
-    return let(text, lambda t: F.when(t.isNotNull(), let(F.to_json(F.array(t)), token)))
+    return let(text, lambda t: F.when(t.rlike(AS_IT_IS), quote_plain(t)).when(t.isNotNull(), let(F.to_json(F.array(t)), token)))
 
 
 def requote(token: Column, fn: Callable[[Column], Column]) -> Column:
