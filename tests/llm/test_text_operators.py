@@ -361,6 +361,31 @@ def test_suffix_tree_gathers_more_from_more(spark, monkeypatch):
     assert whole == pytest.approx({r.doc_id: r.score for r in S.lm_scores(docs, held).collect()}, rel=1e-9)
 
 
+def test_suffix_tree_counts_travel_packed(spark, monkeypatch):
+    import faultline.llm.suffix_lm as S
+    from faultline.llm.common import Scratch
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(60, size=40)) for _ in range(300)] + ["p q r s", "q r t"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    held = F.col("doc_id") % 7 == 0
+    whole = {r.doc_id: r.score for r in S.lm_scores(df, held).collect()}
+    # many buckets, chunks and rounds, and pairs that are counted only where met twice: the same scores
+    monkeypatch.setattr(S, "BUCKET", 40)
+    monkeypatch.setattr(S, "CHUNK", 500)
+    monkeypatch.setattr(S, "ROUNDS", 3)
+    assert whole == pytest.approx({r.doc_id: r.score for r in S.lm_scores(df, held).collect()}, rel=1e-9)
+    # a chunk's counts are a row for each bucket, not for each pair
+    monkeypatch.undo()
+    scratch = Scratch(spark, "test")
+    rows = df.select(F.lit(None).cast("string").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    encoded = scratch.write(rows.mapInPandas(S._encode, S.ENCODED), "encoded").select("chunk", "x")
+    bits = spark.sparkContext.broadcast(np.full(S.BITS // 64, ~np.uint64(0)))
+    chunks = encoded.select("chunk").distinct().count()
+    assert encoded.mapInPandas(S._pairs(bits, None, 1, 4), "at long, whole boolean, a binary, b binary, n binary").count() <= 2 * 4 * chunks
+    assert encoded.mapInPandas(S._needs(bits, 1, 4), "at long, chunk long, key binary, v binary").count() <= 4 * chunks
+
+
 # ---- personal data -------------------------------------------------------------------
 
 
