@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,11 +160,12 @@ def score(spark: SparkSession, model: Model, text: str = "text") -> Column:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # a batch's texts become Python strings one at a time
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = shared.value.scorer()
         for texts in batches:
-            yield pd.Series(map(one, texts), dtype="float64")
+            yield pa.array((one(t.as_py()) for t in texts), pa.float64())
 
     return scored(text)
 

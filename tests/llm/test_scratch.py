@@ -23,3 +23,47 @@ def test_shuffle_files_go_with_their_step(spark):
     again = Scratch(spark, "test", tidy=True).write(rows.withColumn("m", F.col("n")), "t")
     assert len(_shuffled(spark) - before) <= left
     assert again.count() == kept.count() == 1000
+
+
+def test_batches_are_bounded_where_asked(spark):
+    import pandas as pd
+
+    from faultline.llm.common import BATCH
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    before = spark.conf.get(BATCH)
+    got = Scratch(spark, "test").write(spark.range(3_000).coalesce(1).mapInPandas(sizes, "n long"), "t", batch=500)
+    assert spark.conf.get(BATCH) == before
+    assert got.agg(F.max("n"), F.sum("n")).first() == (500, 3_000)
+
+
+def test_pipeline_sends_few_texts_at_once(spark, tmp_path):
+    import pandas as pd
+
+    import corpus_pipeline
+    from faultline.llm import toxicity
+    from faultline.llm.common import BATCH
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.conf.get(BATCH)
+    try:
+        assert corpus_pipeline.clean(spark, docs, str(tmp_path)).count() == 4_000
+        assert docs.coalesce(1).mapInPandas(sizes, "n long").agg(F.max("n")).first()[0] <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(BATCH, "7")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(BATCH) == "7"
+        # null and empty texts are scored as texts without words
+        odd = spark.createDataFrame([(None,), ("",), ("a b",)], "text string")
+        got = [r[0] for r in odd.select(toxicity.score(spark, toxicity.Model({}, 0.0))).collect()]
+        assert got == [0.5, 0.5, 0.5]
+    finally:
+        spark.conf.set(BATCH, before)
