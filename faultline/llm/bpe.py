@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding; merges are found by a segment tree.
 
 The leaves of the tree are the ranks of the adjacent pairs of a piece, in
-order, each joined with its position; an inner node is the smallest of its
-children.  So the root is the leftmost pair of the lowest rank.  A merge
-changes three leaves and their paths, and merging ends when the root is no
-rank.  Nodes have 32 children, so a word's tree is a root above its leaves.
+order, each joined with the pair's merged id; an inner node is the smallest of
+its children.  So the root is the lowest rank, and the first child equal to it,
+level by level, leads to the leftmost pair of that rank.  A merge changes three
+leaves and their paths, and merging ends when the root is no rank.  Nodes have
+32 children, so a word's tree is a root above its leaves.
 """
 
 from __future__ import annotations
@@ -65,14 +66,12 @@ def merge(ids: list[int], merges: dict[int, int]) -> list[int]:
     """Merges pairs by rank, leftmost first, until no pair has one."""
     n = len(ids)
     get = merges.get
-    rank = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
-    leaves = [(r & ~LOW) | i if r != NONE else NONE for i, r in enumerate(rank)]
+    leaves = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
     tree = [leaves]
     while len(tree[-1]) > FAN:
         below = tree[-1]
         tree.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
-    top, inner = tree[-1], tree[1:]
-    made = [r & LOW for r in rank]
+    top, inner, lower = tree[-1], tree[1:], tree[-2::-1]
     ids, right, left = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
 
     def climb(i: int) -> None:
@@ -83,24 +82,22 @@ def merge(ids: list[int], merges: dict[int, int]) -> list[int]:
             below = level
 
     while top and (best := min(top)) != NONE:
-        i = best & LOW
+        i = top.index(best)
+        for level in lower:
+            i = level.index(best, i * FAN)
         j = right[i]
         k = right[j]
-        new = ids[i] = made[i]
+        new = ids[i] = best & LOW
         right[i] = k
         if k < n:
             left[k] = i
             leaves[j] = NONE  # the last symbol starts no pair and has no leaf
-            found = get(new << 32 | ids[k], NONE)
-            made[i] = found & LOW
-            leaves[i] = (found & ~LOW) | i if found != NONE else NONE
+            leaves[i] = get(new << 32 | ids[k], NONE)
         else:
             leaves[i] = NONE
         h = left[i]
         if h >= 0:
-            found = get(ids[h] << 32 | new, NONE)
-            made[h] = found & LOW
-            leaves[h] = (found & ~LOW) | h if found != NONE else NONE
+            leaves[h] = get(ids[h] << 32 | new, NONE)
         if inner:
             for x in {i // FAN, j // FAN, max(h, 0) // FAN}:
                 climb(x * FAN)

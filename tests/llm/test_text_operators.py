@@ -233,6 +233,24 @@ def test_segment_tree_merges_like_a_scan():
         assert merge(ids, merges) == scan(ids, merges)
 
 
+def test_a_pair_is_taken_apart_only_when_it_is_merged():
+    from faultline.llm.bpe import merge
+
+    class Pair(int):
+        taken = 0
+
+        def __and__(self, other):
+            Pair.taken += 1
+            return int(self) & other
+
+    # a leaf is compared far more often than it is merged: "abababab..." finds a pair at every place, and merges half of them
+    merges = {0 << 32 | 1: Pair(0 << 32 | 2), 1 << 32 | 0: Pair(1 << 32 | 3)}
+    for n in (4, 20, 400):
+        Pair.taken = 0
+        assert merge([0, 1] * n, merges) == [2] * n
+        assert Pair.taken == n
+
+
 # ---- language model ------------------------------------------------------------------
 
 
