@@ -67,3 +67,15 @@ def test_pipeline_sends_few_texts_at_once(spark, tmp_path):
         assert got == [0.5, 0.5, 0.5]
     finally:
         spark.conf.set(BATCH, before)
+
+
+def test_blocks_are_bounded_where_asked(spark):
+    import pyarrow.dataset as ds
+
+    scratch = Scratch(spark, "test")
+    rows = spark.range(0, 4000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    for block, groups in ((None, 1), (32 << 10, 4)):
+        assert scratch.write(rows, f"rows-{block}", None, block).count() == 4000
+        files = list(ds.dataset(f"{scratch.base.removeprefix('file:')}/rows-{block}").get_fragments())
+        assert sum(f.metadata.num_row_groups for f in files) >= groups
+        assert (block is None) == (sum(f.metadata.num_row_groups for f in files) == 1)

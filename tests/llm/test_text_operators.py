@@ -404,6 +404,54 @@ def test_suffix_tree_counts_travel_packed(spark, monkeypatch):
     assert encoded.mapInPandas(S._needs(bits, 1, 4), "at long, chunk long, key binary, v binary").count() <= 4 * chunks
 
 
+def test_a_bucket_is_looked_up_in_few_steps():
+    import faultline.llm.suffix_lm as S
+
+    rng = np.random.default_rng(12)
+    for low, high in ((0, 1 << 63), (5 << 50, 6 << 50), (-(6 << 50), -(5 << 50)), (7, 7 + 4000)):
+        key = np.unique(rng.integers(low, high, 2000))
+        held, v = rng.permutation(key[::2]), rng.random(len(key[::2]))
+        values = S.Lookup([held.tobytes()], [v.tobytes()])
+        # however small the range of the hash, as in one of many buckets
+        assert np.diff(values.start).max() <= 12
+        asked = np.concatenate([key, [-(1 << 63), -1, 0, (1 << 63) - 1]])
+        on, found = values.find(asked)
+        of = dict(zip(held.tolist(), v.tolist()))
+        assert on.tolist() == [k in of for k in asked.tolist()]
+        assert found[on].tolist() == [of[k] for k in asked[on].tolist()]
+
+
+def test_suffix_tree_reads_and_sends_less_at_once(spark, monkeypatch):
+    import pandas as pd
+
+    import faultline.llm.suffix_lm as S
+
+    # a chunk that is scored is a part of what is counted together
+    chunk = [3 << 32 | i for i in range(10) for _ in range(2)]
+    batches = [pd.DataFrame({"chunk": chunk[i : i + 7], "x": [b"x"] * len(chunk[i : i + 7])}) for i in range(0, 20, 7)]
+    assert [len(x) for _, x in S._blocks(batches)] == [2] * 10
+    assert [len(x) for _, x in S._blocks(batches, 4)] == [8, 8, 4]
+    assert S.CHUNK * S.TOGETHER == 1_000_000
+
+    # only texts with a long context are read for longer ones; many pairs are counted in turns
+    texts = ["a b c d e f g h"] * 40 + [f"u{i} v{i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in S.lm_scores(df, F.col("doc_id") % 9 == 0).collect()}
+    wrote, write = [], S.Scratch.write
+
+    def spy(self, frame, name, *bounds):
+        out = write(self, frame, name, *bounds)
+        wrote.append((name, out.count() if name.startswith("alive") else 0))
+        return out
+
+    monkeypatch.setattr(S.Scratch, "write", spy)
+    monkeypatch.setattr(S, "BUCKET", 3)
+    assert whole == pytest.approx({r.doc_id: r.score for r in S.lm_scores(df, F.col("doc_id") % 9 == 0).collect()}, rel=1e-9)
+    alive = [n for name, n in wrote if name.startswith("alive")]
+    assert alive and alive[0] <= 40
+    assert {"pairs-1/0", "pairs-1/1"} <= {name for name, _ in wrote}
+
+
 # ---- personal data -------------------------------------------------------------------
 
 
