@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -452,6 +453,54 @@ def test_suffix_tree_reads_and_sends_less_at_once(spark, monkeypatch):
     assert {"pairs-1/0", "pairs-1/1"} <= {name for name, _ in wrote}
 
 
+def test_words_are_hashed_together():
+    import faultline.llm.suffix_lm as S
+
+    texts = ["", " ", "A b\tAB\x0bab\x0c\r\nÄ\u00a0b c\x1cd", "x" * 1024, "x" * 1025 + " " + "x" * 2000, "12345678 123456789 1234567", "\ud800 z"]
+    got = S._words_of([t.encode("utf-8", "surrogatepass") for t in texts])
+    assert [x.tolist() for x in got] == [[S.hashed(w) for w in S.tokens(t)[:-1]] for t in texts]
+    kinds = {w for t in texts for w in S.tokens(t)} | {b"a" * n for n in range(1, 40)} | {b"a" * n + b"\0" for n in range(40)}
+    assert len({S.hashed(w) for w in kinds}) == len(kinds) and S.ROOT not in map(S.hashed, kinds)
+    assert S._words_of([]) == []
+
+
+def test_states_that_cannot_grow_are_not_counted_on(spark, monkeypatch):
+    import faultline.llm.suffix_lm as S
+    from faultline.llm.common import Scratch
+
+    # after "a" comes "b" at once, so no word before "a" tells more; after "k" and "z" it does
+    texts = ["a b a b a b"] * 60 + ["q k x", "p k y"] * 60
+    tree, prob = _suffix_tree(texts)
+    wrote, write = {}, Scratch.write
+
+    def spy(self, frame, name, *bounds):
+        wrote[name] = out = write(self, frame, name, *bounds)
+        return out
+
+    monkeypatch.setattr(Scratch, "write", spy)
+    held = ["a b", "q k x p k y", "b a p k x"]
+    df = spark.createDataFrame(list(enumerate(texts + held)), "doc_id long, text string")
+    scratch, n = Scratch(spark, "test"), len(texts)
+    small, model = S.train(scratch, df.where(F.col("doc_id") < n).select("text"))
+    assert len(small.suffix) == len(tree) + 1
+    key = {c: int(reduce(lambda h, w: S.mix(h, np.array([S.hashed(w)])), reversed(c), np.zeros(1, np.int64))[0]) for c in tree}
+    assert {c for c in tree if len(c) == 2} == {(b"q", b"k"), (b"p", b"k")}
+    grows = {r.ctx for r in wrote["kept-1"].where("grows").collect()}
+    assert key[(b"k",)] in grows and key[(b"a",)] not in grows
+    # one write for all joins of a length, of which only states are kept
+    assert {r.ctx for r in wrote["kept-1"].collect()} == {key[c] for c in tree if len(c) == 1}
+    assert not any(name.startswith(("sized", "each")) for name in wrote)
+    out = {r.doc_id: r.score for r in S.lm_scores(df, F.col("doc_id") >= n).collect()}
+    for i, t in enumerate(held, n):
+        s, score = [b"", *words(t), b""], 0
+        for j in range(1, len(s)):
+            d = 0
+            while d < j and tuple(s[j - d - 1 : j]) in tree:
+                d += 1
+            score += math.log10(prob(tuple(s[j - d : j]), s[j]))
+        assert math.isclose(out[i], score, rel_tol=1e-9)
+
+
 # ---- personal data -------------------------------------------------------------------
 
 
